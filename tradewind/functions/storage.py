@@ -1,0 +1,31 @@
+"""Cutting lineage on storage that outlives any one executor, and size checks for broadcasts."""
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the session's checkpoint folder and read it back from there."""
+    _use_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def _use_checkpoint_dir(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tradewind-checkpoint-")
+    context.setCheckpointDir(folder)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only after counting; beyond the bound Spark shuffles as usual."""
+    return F.broadcast(df) if df.count() <= max_rows else df
