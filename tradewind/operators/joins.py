@@ -219,11 +219,13 @@ def returns_by_product_region(star: Star) -> DataFrame:
         "line_item_id",
         "order_id",
         "product_id",
-        quotient(F.col("line_total"), F.col("quantity"), "decimal(28,14)").alias("unit_value"),
+        quotient(F.col("line_total"), F.col("quantity"), "decimal(24,14)").alias("unit_value"),
     )
-    # A line with many returns meets them as one row.
+    # A line with many returns meets them as one row. The unit value has 24 digits and the units 13,
+    # so that their product keeps all fourteen decimals.
     per_line = star.fact_returns.groupBy("line_item_id").agg(
-        F.count("return_id").alias("returns"), F.sum("return_quantity").alias("units")
+        F.count("return_id").alias("returns"),
+        F.sum("return_quantity").cast("decimal(13,0)").alias("units"),
     )
     per_ids = (
         per_line.join(lines, "line_item_id")
@@ -232,7 +234,7 @@ def returns_by_product_region(star: Star) -> DataFrame:
         .agg(
             F.sum("returns").alias("returns"),
             F.sum("units").alias("units"),
-            F.sum((F.col("unit_value") * F.col("units")).cast("decimal(38,14)")).alias("value"),
+            F.sum(F.col("unit_value") * F.col("units")).alias("value"),
         )
     )
     return (
@@ -240,7 +242,7 @@ def returns_by_product_region(star: Star) -> DataFrame:
         .groupBy("product_id", "region_name")
         .agg(
             F.sum("returns").alias("total_returns"),
-            F.sum("units").alias("total_returned_quantity"),
+            F.sum("units").cast("bigint").alias("total_returned_quantity"),
             F.sum("value").cast("decimal(28,6)").alias("estimated_return_value"),
         )
         .join(star.dim_products.select("product_id", "product_name"), "product_id")
