@@ -184,7 +184,7 @@ STAR.add(
         JOIN (VALUES ('Monthly'), ('Quarterly')) AS kinds(kind) ON kind = 'Monthly' OR month_num % 3 = 1
         JOIN (VALUES (0), (1)) AS copies(copy) ON copy = 0 OR s_suppkey % 7 = 0""",
     product_promotions="""
-        SELECT p_partkey AS promotion_id, p_partkey AS product_id, 19990601 AS start_date_id,
-               19990901 AS end_date_id
+        SELECT p_partkey AS promotion_id, p_partkey AS product_id, 19990601 + p_partkey % 28 AS start_date_id,
+               19990901 + p_partkey % 28 AS end_date_id
         FROM part""",
 )

@@ -1,0 +1,109 @@
+"""Hand-written stars: give only the rows and columns a test needs."""
+
+from datetime import date, timedelta
+from decimal import Decimal
+
+from pyspark.sql import types as T
+
+from tradewind import Star
+from tradewind.schema import struct_of
+from tradewind.sources.retail import calendar
+
+
+def day(text: str) -> int:
+    return int(text.replace("-", ""))
+
+
+def make_star(spark, first="2023-01-01", last="2024-12-31", **tables) -> Star:
+    frames = {}
+    for name in Star.names():
+        schema = struct_of(name)
+        if name == "dim_date" and name not in tables:
+            days = calendar(spark, date.fromisoformat(first), date.fromisoformat(last))
+            frames[name] = days.select([days[f.name].cast(f.dataType) for f in schema])
+            continue
+        rows = [tuple(_value(row.get(f.name), f.dataType) for f in schema) for row in tables.get(name, [])]
+        frames[name] = spark.createDataFrame(rows, schema)
+    return Star(**frames)
+
+
+def _value(value, type_):
+    if value is not None and isinstance(type_, T.DecimalType):
+        return Decimal(str(value))
+    return value
+
+
+def sales(orders) -> dict:
+    """Orders and their lines. Each order: (id, customer, rep, region, date, [(product, units, total)])."""
+    heads, lines = [], []
+    for order, customer, rep, region, placed, items in orders:
+        heads.append(
+            {
+                "order_id": order,
+                "customer_id": customer,
+                "sales_rep_id": rep,
+                "region_id": region,
+                "order_date_id": None if placed is None else day(placed),
+                "shipping_date_id": None if placed is None else day(placed),
+                "net_total": sum(total or 0 for _, _, total in items),
+            }
+        )
+        for number, (product, units, total) in enumerate(items, 1):
+            lines.append(
+                {
+                    "line_item_id": f"{order}-{number}",
+                    "order_id": order,
+                    "product_id": product,
+                    "quantity": units,
+                    "unit_price": None if not units else Decimal(total) / units,
+                    "discount_amount": 0,
+                    "line_total": total,
+                }
+            )
+    return {"fact_sales_orders": heads, "fact_order_line_items": lines}
+
+
+REGIONS = [
+    {"region_id": 1, "country_name": "Peru", "region_name": "America", "territory_name": "North"},
+    {"region_id": 2, "country_name": "Peru", "region_name": "America", "territory_name": None},
+    {"region_id": 3, "country_name": "Mali", "region_name": "Africa", "territory_name": "West"},
+]
+CATEGORIES = [
+    {"category_id": 1, "category_name": "Tools"},
+    {"category_id": 2, "category_name": "Tools"},
+]
+PRODUCTS = [
+    {"product_id": 1, "product_name": "Saw", "category_id": 1, "unit_cost": 4, "list_price": 10, "is_active": True},
+    {"product_id": 2, "product_name": "Axe", "category_id": 2, "unit_cost": 9, "list_price": 10, "is_active": True},
+    {"product_id": 3, "product_name": "Peg", "category_id": 1, "unit_cost": 1, "list_price": 0, "is_active": True},
+]
+CUSTOMERS = [
+    {"customer_id": 1, "customer_code": "C1", "customer_name": "Ada", "country_name": "Peru", "region_id": 1},
+    {"customer_id": 2, "customer_code": "C2", "customer_name": "Bo", "country_name": "Mali", "region_id": 3},
+]
+REPS = [
+    {"sales_rep_id": 1, "first_name": "Ann", "last_name": "Lee", "region_id": 1, "employee_code": 1},
+    {"sales_rep_id": 2, "first_name": "Abe", "last_name": None, "region_id": 1, "employee_code": 2},
+    {"sales_rep_id": 3, "first_name": "bob", "last_name": "Ng", "region_id": 3, "employee_code": 3},
+]
+DIMENSIONS = {
+    "dim_regions": REGIONS,
+    "dim_categories": CATEGORIES,
+    "dim_products": PRODUCTS,
+    "dim_customers": CUSTOMERS,
+    "dim_sales_reps": REPS,
+}
+
+
+def by(df, *keys):
+    """Rows keyed by one or more columns."""
+    rows = {}
+    for row in df.collect():
+        key = tuple(row[k] for k in keys)
+        assert (key if len(keys) > 1 else key[0]) not in rows, f"duplicate {key}"
+        rows[key if len(keys) > 1 else key[0]] = row
+    return rows
+
+
+def days_after(text: str, days: int) -> str:
+    return (date.fromisoformat(text) + timedelta(days=days)).isoformat()

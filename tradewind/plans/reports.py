@@ -54,7 +54,12 @@ def rep_performance_scorecard(star: Star) -> DataFrame:
     )
     last_quarter = quarterly.agg(F.max("quarter_num")).scalar()
 
-    attainment = sum_rep_quota_attainment(star, year=last_year)
+    # One grouping serves both scopes: a latest-quarter row keeps its period and so stays alone,
+    # while the months of the year drop theirs and add up.
+    is_quarterly = F.col("quota_period_type") == "Quarterly"
+    reported = (F.col("quota_period_type") == "Monthly") | (
+        is_quarterly & (F.col("quarter_num") == last_quarter)
+    )
     rep = [
         "sales_rep_id",
         "employee_code",
@@ -65,40 +70,48 @@ def rep_performance_scorecard(star: Star) -> DataFrame:
         "country_name",
         "year_num",
     ]
-    period = ["quarter_num", "month_num", "month_name", "quota_period_type"]
-    results = ["actual_revenue", "quota_target", "quota_attainment_pct", "customer_count"]
-    current = attainment.filter(
-        (F.col("quota_period_type") == "Quarterly") & (F.col("quarter_num") == last_quarter)
-    ).select(*rep, *period, *results, F.lit("CURRENT_QUARTER").alias("period_scope"), "date_id")
-    year_to_date = (
-        sums(
-            attainment.filter(F.col("quota_period_type") == "Monthly"),
-            rep,
-            actual_revenue=F.col("actual_revenue"),
-            quota_target=F.col("quota_target"),
-            customer_count=F.col("customer_count"),
-        )
-        .withColumn(
-            "quota_attainment_pct", percent_ratio(F.col("actual_revenue"), F.col("quota_target"))
-        )
+    period = ["quarter_num", "month_num", "month_name"]
+    scoped = (
+        sum_rep_quota_attainment(star, year=last_year)
+        .filter(reported)
         .select(
             *rep,
-            F.lit(None).cast("int").alias("quarter_num"),
-            F.lit(None).cast("int").alias("month_num"),
-            F.lit(None).cast("string").alias("month_name"),
-            F.lit("YTD").alias("quota_period_type"),
-            *results,
-            F.lit("YTD").alias("period_scope"),
-            F.lit(None).cast("int").alias("date_id"),
+            *[F.when(is_quarterly, F.col(column)).alias(column) for column in period],
+            F.when(is_quarterly, "Quarterly").otherwise("YTD").alias("quota_period_type"),
+            F.when(is_quarterly, "CURRENT_QUARTER").otherwise("YTD").alias("period_scope"),
+            F.when(is_quarterly, F.col("date_id")).alias("quota_date"),
+            F.when(is_quarterly, F.col("quota_target")).alias("quota"),
+            "actual_revenue",
+            "quota_target",
+            "customer_count",
         )
     )
-    return rank_descending(
-        current.unionByName(year_to_date),
+    results = sums(
+        scoped,
+        [*rep, *period, "quota_period_type", "period_scope", "quota_date", "quota"],
+        actual_revenue=F.col("actual_revenue"),
+        quota_target=F.col("quota_target"),
+        customer_count=F.col("customer_count"),
+    )
+    attainment = percent_ratio(F.col("actual_revenue"), F.col("quota_target"))
+    ranked = rank_descending(
+        results.withColumn("quota_attainment_pct", attainment),
         ["region_id", "year_num", "period_scope"],
         "quota_attainment_pct",
-        ["sales_rep_id", "date_id", "quota_target"],
+        ["sales_rep_id", "quota_date", "quota"],
+        "regional_rank",
+    )
+    return ranked.select(
+        *rep,
+        *period,
+        "quota_period_type",
+        "actual_revenue",
+        "quota_target",
+        "quota_attainment_pct",
+        "customer_count",
+        "period_scope",
         "regional_rank",
-    ).drop("date_id")
+    )
 
 
 def customer_360(star: Star, *, as_of: date) -> DataFrame:

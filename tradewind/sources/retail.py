@@ -341,8 +341,8 @@ def _promotions(part: DataFrame) -> DataFrame:
         key.alias("product_id"),
         F.lit("Summer Sale").alias("promotion_name"),
         ((key % 31).cast("decimal(4,0)") * F.lit("0.01").cast("decimal(3,2)")).alias("discount_pct"),
-        F.lit(19990601).alias("start_date_id"),
-        F.lit(19990901).alias("end_date_id"),
+        (key % 28 + 19990601).alias("start_date_id"),
+        (key % 28 + 19990901).alias("end_date_id"),
         (key % 2 == 0).alias("is_active"),
         F.lit("00:00.0").alias("created_at"),
     )
