@@ -1,0 +1,154 @@
+"""One key holding a third of all rows: its rows must spread over tasks, and results stay whole."""
+
+import re
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.tiny import DIMENSIONS, make_star
+from tradewind import Star
+from tradewind.operators import advanced, joins, kpi, questions
+from tradewind.plans import base, summaries
+from tradewind.schema import struct_of
+
+ROWS = 60_000
+KEYS = 2_000
+
+
+@pytest.fixture(scope="module")
+def star(spark, tmp_path_factory):
+    """A third of the lines share one product and one order, a third of the orders one customer,
+    and a third of the assignments one rep."""
+    tiny = make_star(spark, **DIMENSIONS)
+    hot = F.col("id") % 3 == 0
+    spread = F.col("id") % KEYS
+    pad = F.sha2(F.col("id").cast("string"), 512)
+
+    def table(name, df):
+        columns = {f.name: f.dataType for f in struct_of(name)}
+        return df.select(
+            [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]
+        )
+
+    ids = spark.range(0, ROWS, numPartitions=8)
+    keys = spark.range(0, KEYS, numPartitions=4)
+    lines = ids.select(
+        F.concat(F.col("id").cast("string"), F.lit("-"), pad).alias("line_item_id"),
+        F.when(hot, 0).otherwise(F.col("id")).alias("order_id"),
+        F.when(hot, 0).otherwise(spread).alias("product_id"),
+        F.lit(2).alias("quantity"),
+        F.lit(3).alias("unit_price"),
+        (F.abs(F.xxhash64("id")) % 10_000_000 / 100).alias("discount_amount"),
+        F.lit(6).alias("line_total"),
+    )
+    orders = ids.select(
+        F.col("id").alias("order_id"),
+        F.concat(F.lit("SO"), pad).alias("order_number"),
+        F.when(hot, 0).otherwise(spread).alias("customer_id"),
+        (spread % 7).alias("sales_rep_id"),
+        F.lit(1).alias("region_id"),
+        F.lit(20240105).alias("order_date_id"),
+        F.lit(20240205).alias("shipping_date_id"),
+        F.lit("Pending").alias("order_status"),
+        F.lit(6).alias("net_total"),
+    )
+    assignments = ids.select(
+        F.col("id").alias("assignment_id"),
+        F.when(hot, 0).otherwise(spread).alias("sales_rep_id"),
+        F.when(hot, 0).otherwise(spread).alias("customer_id"),
+        F.lit(20230101).alias("start_date_id"),
+        F.lit(True).alias("is_primary_rep"),
+        pad.alias("created_at"),
+    )
+    frames = {name: getattr(tiny, name) for name in Star.names()}
+    large = {
+        "dim_products": keys.select(
+            F.col("id").alias("product_id"), F.lit("Saw").alias("product_name"), F.lit(1).alias("category_id"),
+            F.lit(2).alias("unit_cost"), F.lit(True).alias("is_active"),
+        ),
+        "dim_customers": keys.select(
+            F.col("id").alias("customer_id"), F.concat(F.lit("N"), F.col("id").cast("string")).alias("customer_name"),
+            F.lit("Germany").alias("country_name"), F.lit(1).alias("region_id"),
+        ),
+        "dim_sales_reps": keys.select(
+            F.col("id").alias("sales_rep_id"), F.lit("Ann").alias("first_name"), F.lit(1).alias("region_id")
+        ),
+        "fact_order_line_items": lines,
+        "fact_sales_orders": orders,
+        "rep_customer_assignments": assignments,
+    }
+    # As files, so that Spark cannot fold the constants away.
+    folder = tmp_path_factory.mktemp("skewed")
+    for name, df in large.items():
+        table(name, df).write.parquet(f"{folder}/{name}")
+        frames[name] = spark.read.parquet(f"{folder}/{name}")
+    return Star(**frames)
+
+
+@pytest.fixture(autouse=True)
+def no_broadcasts_and_low_thresholds(conf):
+    conf(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__shuffle__partitions="16",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="16KB",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="3",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="16KB",
+    )
+
+
+def run(df):
+    """Rows, and the keys of the joins that split a skewed partition."""
+    rows = df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return rows, set(re.findall(r"skew=true\) \[(\w+)#", plan))
+
+
+def test_row_level_joins_split_the_hot_key(star):
+    rows, split = run(joins.line_realised_profit(star))
+    assert len(rows) == ROWS and split == {"product_id"}
+
+    for query in (joins.full_order_summary, base.base_sales_order_line):
+        rows, split = run(query(star))
+        assert len(rows) == ROWS and split >= {"product_id", "customer_id", "order_id"}
+
+    rows, split = run(questions.delayed_shipments(star))
+    assert len(rows) == ROWS and split == {"customer_id"}
+
+
+def test_hot_rep_keeps_all_assignments(star):
+    rows, _ = run(questions.reps_without_recent_assignment(star, as_of=date(2024, 12, 31)))
+    idle = KEYS - star.rep_customer_assignments.select("sales_rep_id").distinct().count()
+    assert len(rows) == ROWS + idle
+
+
+def test_aggregates_fold_the_hot_key_before_the_shuffle(star):
+    """No skewed join is left to split: each key reaches the join as one row."""
+    for query in (
+        kpi.gross_rev_month_customer_country,
+        kpi.product_gross_margin,
+        kpi.low_margin_categories,
+        joins.geo_revenue_rollup,
+        joins.customer_order_performance,
+        advanced.customer_rfm_1y,
+        summaries.sum_monthly_country_sales,
+        summaries.sum_customer_metrics,
+    ):
+        _, split = run(query(star))
+        assert not split, query.__name__
+    total = sum(r.total_revenue for r in joins.revenue_customer_region_country(star).collect())
+    assert total == ROWS * 6
+
+
+def test_mismatch_does_not_pair_a_hot_customers_orders_and_assignments(star):
+    """20,000 orders meet 20,000 assignments of one customer: 400 million pairs if joined as such."""
+    rows, _ = run(joins.rep_customer_mismatch(star))
+    # Of assignments alike in all but id the highest id counts; every assignment gives its own rep.
+    hot = [r for r in rows if r.customer_name == "N0"]
+    assert {r.assigned_rep for r in hot} == {0}
+    assert len(hot) == sum(1 for i in range(0, ROWS, 3) if (i % KEYS) % 7 != 0)
+
+
+def test_running_total_of_one_group_spans_tasks(star, spark):
+    rows = advanced.quarter_running_total(star).collect()
+    assert [r.running_quarter_revenue for r in rows] == [6 * i for i in range(1, ROWS + 1)]

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tradewind.schema import struct_of
 from tradewind.star import Star
 
 # Order queries filter by date, so one folder per order date lets Spark skip the other days
@@ -10,7 +11,9 @@ PARTITIONED_BY = {"fact_sales_orders": "order_date_id", "fact_quotas": "date_id"
 
 
 def read_star(spark: SparkSession, folder: str) -> Star:
-    return Star(**{name: spark.read.parquet(f"{folder}/{name}") for name in Star.names()})
+    return Star(
+        **{name: spark.read.schema(struct_of(name)).parquet(f"{folder}/{name}") for name in Star.names()}
+    )
 
 
 def write_star(star: Star, folder: str) -> None:
