@@ -22,19 +22,18 @@ QUERIES = {
         "customer_id# customer_name",
     ),
     "rep_customer_mismatch": (
-        """FROM (SELECT order_id, customer_name, o.sales_rep_id AS order_rep, a.sales_rep_id AS assigned_rep
+        """FROM (SELECT order_id, customer_name, o.sales_rep_id AS order_rep, span.sales_rep_id AS assigned_rep
                  FROM fact_sales_orders AS o
                  JOIN dim_customers USING (customer_id)
-                 JOIN dim_date AS placed ON placed.date_id = o.order_date_id
-                 JOIN rep_customer_assignments AS a USING (customer_id)
-                 JOIN dim_date AS begins ON begins.date_id = a.start_date_id
-                 LEFT JOIN dim_date AS ends ON ends.date_id = a.end_date_id
-                 WHERE placed.full_date >= begins.full_date
-                   AND placed.full_date <= coalesce(ends.full_date, DATE '9999-12-31')
-                 QUALIFY row_number() OVER (
-                     PARTITION BY order_id
-                     ORDER BY begins.full_date DESC, coalesce(ends.full_date, DATE '9999-12-31') DESC,
-                              assignment_id DESC) = 1)
+                 JOIN dim_date AS placed ON placed.date_id = order_date_id
+                 JOIN (SELECT a.*, begins.full_date AS starts,
+                              coalesce(ends.full_date, DATE '9999-12-31') AS stops
+                       FROM rep_customer_assignments AS a
+                       JOIN dim_date AS begins ON begins.date_id = start_date_id
+                       LEFT JOIN dim_date AS ends ON ends.date_id = end_date_id) AS span
+                   ON span.customer_id = o.customer_id AND placed.full_date BETWEEN starts AND stops
+                 QUALIFY row_number() OVER (PARTITION BY order_id
+                                            ORDER BY starts DESC, stops DESC, assignment_id DESC) = 1)
            WHERE order_rep <> assigned_rep""",
         "order_id# customer_name order_rep# assigned_rep#",
     ),

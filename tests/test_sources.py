@@ -10,7 +10,7 @@ from tradewind.functions import storage
 from tradewind.operators import advanced, selection
 from tradewind.plans.views import register_views
 from tradewind.schema import TABLES, struct_of
-from tradewind.sources import csv, parquet, retail
+from tradewind.sources import csv, parquet, retail, tables
 
 
 @pytest.fixture
@@ -129,7 +129,27 @@ def test_checkpoint_uses_the_sessions_folder(spark):
     assert "ExistingRDD" in out._jdf.queryExecution().executedPlan().toString()
 
 
-def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+def test_bucketed_tables_join_orders_and_lines_without_a_shuffle(spark, conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    orders = [(i, 1 + i % 2, 1, 1, f"2024-0{1 + i % 9}-05", [(1, 1, i), (2, 1, 1)]) for i in range(30)]
+    star = make_star(spark, **DIMENSIONS, **sales(orders))
+    wanted = selection.gross_rev_month_region_country(star).collect()
+    try:
+        assert not tables.save_star(star, "lumpy", buckets=4, max_lines_per_order=1)
+        lumpy = selection.gross_rev_month_region_country(tables.table_star(spark, "lumpy"))
+        assert lumpy.collect() == wanted
+        assert tables.save_star(star, "even", buckets=4)
+        even = selection.gross_rev_month_region_country(tables.table_star(spark, "even"))
+        assert even.collect() == wanted
+        assert "hashpartitioning(order_id" in lumpy._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(order_id" not in even._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for database in ("lumpy", "even"):
+            spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")
+
+
+def test_filters_and_columns_reach_the_scan(spark, conf, tmp_path):
+    conf(spark__sql__maxMetadataStringLength="10000")
     star = make_star(spark, **DIMENSIONS)
     parquet.write_star(star, str(tmp_path))
     read = parquet.read_star(spark, str(tmp_path))

@@ -11,6 +11,33 @@ from tradewind.functions.slices import rank_descending
 from tradewind.operators.facts import per_order
 from tradewind.star import Star
 
+# Fixed values
+CUSTOMER_FAULTS = [
+    "Missing customer code",
+    "Missing customer name",
+    "Missing country",
+    "Missing credit limit",
+    "Invalid credit limit",
+]
+ORDER_FAULTS = [
+    "Missing customer",
+    "Missing sales rep",
+    "Missing date reference",
+    "Missing net total",
+    "Invalid total",
+]
+FAULTLESS = "Valid"
+MARGIN_BANDS = ["High Margin", "Medium Margin", "Low Margin"]
+DISCOUNT_LEVELS = ["High Discount", "Medium Discount", "Low Discount"]
+
+
+def _banded(tests: list[Column], labels: list[str]) -> Column:
+    """Label of the first test that holds; the last label if none does."""
+    chosen = F
+    for test, label in zip(tests, labels):
+        chosen = chosen.when(test, label)
+    return chosen.otherwise(labels[-1])
+
 
 def region_alias(star: Star) -> DataFrame:
     return star.dim_regions.select(F.col("region_id").alias("id"), F.col("region_name").alias("name"))
@@ -74,10 +101,7 @@ def product_margin_band(star: Star, *, high: int = 60, medium: int = 30) -> Data
             "list_price",
             profit.alias("gross_profit"),
             F.round(margin, 2).alias("gross_margin_pct"),
-            F.when(margin >= high, "High Margin")
-            .when(margin >= medium, "Medium Margin")
-            .otherwise("Low Margin")
-            .alias("margin_category"),
+            _banded([margin >= high, margin >= medium], MARGIN_BANDS).alias("margin_category"),
         )
         .orderBy(F.desc("gross_margin_pct"), "product_id")
     )
@@ -94,10 +118,9 @@ def discount_impact(star: Star, *, high: float = 0.2, medium: float = 0.1) -> Da
             "total_discount",
             "total_revenue",
             rounded_percent(given, revenue).alias("discount_impact_pct"),
-            F.when(share > _percent_limit(high), "High Discount")
-            .when(share > _percent_limit(medium), "Medium Discount")
-            .otherwise("Low Discount")
-            .alias("discount_level"),
+            _banded(
+                [share > _percent_limit(high), share > _percent_limit(medium)], DISCOUNT_LEVELS
+            ).alias("discount_level"),
         )
         .orderBy(F.desc("total_revenue"), "product_id")
     )
@@ -123,13 +146,6 @@ def _blank(column: str) -> Column:
     return F.col(column).isNull() | (F.trim(column) == "")
 
 
-def _first_failure(rules: list[tuple[Column, str]]) -> Column:
-    status = F
-    for failed, label in rules:
-        status = status.when(failed, label)
-    return status.otherwise("Valid").alias("validation_status")
-
-
 def customer_validation(star: Star, *, min_credit: int | None = 45000) -> DataFrame:
     """First rule each customer breaks. ``min_credit=None`` validates every customer; with a
     minimum, the two credit-limit rules cannot fire."""
@@ -137,12 +153,12 @@ def customer_validation(star: Star, *, min_credit: int | None = 45000) -> DataFr
     limit = F.col("credit_limit")
     if min_credit is not None:
         customers = customers.filter(limit > min_credit)
-    rules = [
-        (_blank("customer_code"), "Missing customer code"),
-        (_blank("customer_name"), "Missing customer name"),
-        (_blank("country_name"), "Missing country"),
-        (limit.isNull(), "Missing credit limit"),
-        (limit < 0, "Invalid credit limit"),
+    faults = [
+        _blank("customer_code"),
+        _blank("customer_name"),
+        _blank("country_name"),
+        limit.isNull(),
+        limit < 0,
     ]
     return customers.select(
         "customer_id",
@@ -153,7 +169,7 @@ def customer_validation(star: Star, *, min_credit: int | None = 45000) -> DataFr
         "country_name",
         "credit_limit",
         "account_tier",
-        _first_failure(rules),
+        _banded(faults, [*CUSTOMER_FAULTS, FAULTLESS]).alias("validation_status"),
     ).orderBy(F.desc("credit_limit"), "customer_name", "customer_id")
 
 
@@ -164,12 +180,12 @@ def order_validation(star: Star, *, min_total: int | None = 1000) -> DataFrame:
     total = F.col("net_total")
     if min_total is not None:
         orders = orders.filter(total > min_total)
-    rules = [
-        (F.col("customer_id").isNull(), "Missing customer"),
-        (F.col("sales_rep_id").isNull(), "Missing sales rep"),
-        (F.col("order_date_id").isNull(), "Missing date reference"),
-        (total.isNull(), "Missing net total"),
-        (total <= 0, "Invalid total"),
+    faults = [
+        F.col("customer_id").isNull(),
+        F.col("sales_rep_id").isNull(),
+        F.col("order_date_id").isNull(),
+        total.isNull(),
+        total <= 0,
     ]
     return orders.select(
         "order_id",
@@ -179,7 +195,7 @@ def order_validation(star: Star, *, min_total: int | None = 1000) -> DataFrame:
         "order_status",
         "net_total",
         "order_date_id",
-        _first_failure(rules),
+        _banded(faults, [*ORDER_FAULTS, FAULTLESS]).alias("validation_status"),
     ).orderBy(F.desc("net_total"), "order_id")
 
 
