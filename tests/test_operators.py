@@ -3,6 +3,8 @@
 from datetime import date, datetime
 from decimal import Decimal as D
 
+import pytest
+
 from tests.tiny import CUSTOMERS, DIMENSIONS, PRODUCTS, REGIONS, REPS, by, day, make_star, sales
 from tradewind.operators import advanced, integrity, joins, kpi, questions, selection
 from tradewind.plans import base, reports, summaries
@@ -10,6 +12,11 @@ from tradewind.plans import base, reports, summaries
 AS_OF = date(2024, 12, 31)
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(conf):
+    conf(spark__sql__shuffle__partitions="2")
+
+
 def quota(id_, rep, start, kind, target, region=1):
     return {
         "quota_id": id_,

@@ -38,6 +38,8 @@ def duck():
 
 def check(spark, duck, name):
     got = queries[name](spark, FOLDER)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     wanted = duck.execute(oracles[name])
     types = {column[0]: str(column[1]) for column in wanted.description}
     assert sorted(got.columns) == sorted(types)

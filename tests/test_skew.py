@@ -18,8 +18,8 @@ KEYS = 2_000
 
 @pytest.fixture(scope="module")
 def star(spark, tmp_path_factory):
-    """A third of the lines share one product and one order, a third of the orders one customer,
-    and a third of the assignments one rep."""
+    """A third of the lines share one order and another third one product; a third of the orders
+    share one customer, and a third of the assignments one rep and customer."""
     tiny = make_star(spark, **DIMENSIONS)
     hot = F.col("id") % 3 == 0
     spread = F.col("id") % KEYS
@@ -36,8 +36,9 @@ def star(spark, tmp_path_factory):
     lines = ids.select(
         F.concat(F.col("id").cast("string"), F.lit("-"), pad).alias("line_item_id"),
         F.when(hot, 0).otherwise(F.col("id")).alias("order_id"),
-        F.when(hot, 0).otherwise(spread).alias("product_id"),
-        F.lit(2).alias("quantity"),
+        F.when(F.col("id") % 3 == 1, 0).otherwise(spread).alias("product_id"),
+        # Noise, since Spark measures skew in compressed bytes.
+        (F.abs(F.xxhash64("id")) % 100_000).alias("quantity"),
         F.lit(3).alias("unit_price"),
         (F.abs(F.xxhash64("id")) % 10_000_000 / 100).alias("discount_amount"),
         F.lit(6).alias("line_total"),
@@ -116,6 +117,17 @@ def test_row_level_joins_split_the_hot_key(star):
     assert len(rows) == ROWS and split == {"customer_id"}
 
 
+def test_joins_before_an_aggregate_split_the_hot_key(star):
+    _, split = run(summaries.sum_region_period_sales(star))
+    assert split == {"product_id"}
+    rows, split = run(
+        joins.active_products_unordered_12m(star, as_of=date(2024, 12, 31)).unionByName(
+            joins.active_products_unordered_12m(star, as_of=date(2030, 12, 31))
+        )
+    )
+    assert split == {"order_id"} and len(rows) == KEYS
+
+
 def test_hot_rep_keeps_all_assignments(star):
     rows, _ = run(questions.reps_without_recent_assignment(star, as_of=date(2024, 12, 31)))
     idle = KEYS - star.rep_customer_assignments.select("sales_rep_id").distinct().count()

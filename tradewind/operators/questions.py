@@ -20,8 +20,8 @@ def gold_customers_by_country(
     )
     return (
         star.dim_customers.filter(wanted)
+        .orderBy(F.desc("credit_limit"), "customer_name", "customer_id")
         .select("customer_name", "country_name", "account_tier", "credit_limit")
-        .orderBy(F.desc("credit_limit"), "customer_name")
     )
 
 
@@ -47,13 +47,9 @@ def margin_over_3x(star: Star, *, multiple: int = 3) -> DataFrame:
     price, cost = F.col("list_price"), F.col("unit_cost")
     return (
         star.dim_products.filter(price > cost * multiple)
-        .select(
-            "product_name",
-            "unit_cost",
-            "list_price",
-            percent_ratio(price - cost, price).alias("margin_percentage"),
-        )
-        .orderBy(F.desc("margin_percentage"), "product_name")
+        .withColumn("margin_percentage", percent_ratio(price - cost, price))
+        .orderBy(F.desc("margin_percentage"), "product_name", "product_id")
+        .select("product_name", "unit_cost", "list_price", "margin_percentage")
     )
 
 

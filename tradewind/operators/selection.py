@@ -69,8 +69,8 @@ def customers_missing_postal(star: Star) -> DataFrame:
 
 
 def reps_sorted(star: Star) -> DataFrame:
-    reps = star.dim_sales_reps.select("first_name", "last_name", "status")
-    return reps.orderBy(F.asc("first_name"), F.desc("last_name"))
+    reps = star.dim_sales_reps.orderBy("first_name", F.desc("last_name"), "sales_rep_id")
+    return reps.select("first_name", "last_name", "status")
 
 
 def customers_top10(star: Star, *, n: int = 10) -> DataFrame:

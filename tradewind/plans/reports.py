@@ -18,7 +18,7 @@ from tradewind.plans.summaries import (
     sum_rep_quota_attainment,
     sum_returns_metrics,
 )
-from tradewind.star import Star
+from tradewind.star import Star, present
 
 
 def monthly_trend(star: Star) -> DataFrame:
@@ -45,7 +45,7 @@ def rep_performance_scorecard(star: Star) -> DataFrame:
     The year is the latest with a quota, the quarter the latest of that year with a quarterly one.
     Year-to-date customers add up the months.
     """
-    dated = star.fact_quotas.dropna(subset=["sales_rep_id", "region_id"]).join(
+    dated = star.fact_quotas.filter(present("sales_rep_id", "region_id")).join(
         star.calendar("date_id", "year_num", "quarter_num"), "date_id"
     )
     last_year = dated.agg(F.max("year_num")).scalar()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tradewind.functions.ratios import percent_ratio, ratio
 from tradewind.operators.advanced import Rfm, segment
 from tradewind.operators.facts import sums
-from tradewind.star import Star
+from tradewind.star import Star, present
 
 # Fixed values
 LIFETIME_SEGMENTS = {
@@ -201,7 +201,7 @@ def rep_period_attainment(star: Star, *, year: Column | None = None) -> DataFram
         F.col("quota_period_type") == "Quarterly", F.col("quarter_num")
     )
     quotas = (
-        star.fact_quotas.dropna(subset=["sales_rep_id", "region_id"])
+        star.fact_quotas.filter(present("sales_rep_id", "region_id"))
         .groupBy(*quota_keys)
         .agg(F.count(F.lit(1)).alias("copies"))
         .join(

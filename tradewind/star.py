@@ -1,13 +1,16 @@
 """The twelve tables that every operator takes."""
 
 from dataclasses import dataclass, fields
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions.storage import broadcast_if_small
 
+RETURNABLE_KEYS = ("customer_id", "sales_rep_id", "region_id")
+SOLD_KEYS = (*RETURNABLE_KEYS, "order_date_id")
+
 
 @dataclass(frozen=True)
 class Star:
@@ -57,32 +60,31 @@ class Star:
     def sold_lines(self) -> DataFrame:
         """Lines with an order and a product that has a category."""
         uncategorised = self.dim_products.filter(F.col("category_id").isNull()).select("product_id")
-        return self.fact_order_line_items.dropna(subset=["order_id", "product_id"]).join(
-            broadcast_if_small(uncategorised), "product_id", "left_anti"
-        )
+        lines = self.fact_order_line_items.filter(present("order_id", "product_id"))
+        return lines.join(broadcast_if_small(uncategorised), "product_id", "left_anti")
 
     @property
     def sold_orders(self) -> DataFrame:
         """Orders with customer, rep, region and order date."""
-        return self.fact_sales_orders.dropna(
-            subset=["customer_id", "sales_rep_id", "region_id", "order_date_id"]
-        )
+        return self.fact_sales_orders.filter(present(*SOLD_KEYS))
 
     @property
     def returnable_orders(self) -> DataFrame:
         """Orders with customer, rep and region."""
-        return self.fact_sales_orders.dropna(subset=["customer_id", "sales_rep_id", "region_id"])
+        return self.fact_sales_orders.filter(present(*RETURNABLE_KEYS))
 
     @cached_property
     def unsold_order_ids(self) -> DataFrame:
-        return self._lacking("customer_id", "sales_rep_id", "region_id", "order_date_id")
+        return self._orders_lacking(SOLD_KEYS)
 
     @cached_property
     def unreturnable_order_ids(self) -> DataFrame:
-        return self._lacking("customer_id", "sales_rep_id", "region_id")
+        return self._orders_lacking(RETURNABLE_KEYS)
+
+    def _orders_lacking(self, keys: tuple[str, ...]) -> DataFrame:
+        return broadcast_if_small(self.fact_sales_orders.filter(~present(*keys)).select("order_id"))
+
 
-    def _lacking(self, *keys: str) -> DataFrame:
-        lacks = F.col(keys[0]).isNull()
-        for key in keys[1:]:
-            lacks |= F.col(key).isNull()
-        return broadcast_if_small(self.fact_sales_orders.filter(lacks).select("order_id"))
+def present(*columns: str) -> Column:
+    """None of ``columns`` is NULL."""
+    return reduce(Column.__and__, [F.col(column).isNotNull() for column in columns])
