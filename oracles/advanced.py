@@ -33,7 +33,7 @@ QUERIES = {
            FROM fact_sales_orders
            JOIN dim_regions USING (region_id)
            JOIN dim_date ON date_id = order_date_id""",
-        "order_id# region_name year_num# quarter_num# full_date net_total$ running_quarter_revenue$",
+        "order_id# region_name year_num# quarter_num# full_date@ net_total$ running_quarter_revenue$",
     ),
     "rep_rank_in_region": (
         f"""FROM (SELECT sales_rep_id, first_name, last_name, s.region_id, region_name, year_num, quarter_num,
@@ -68,7 +68,7 @@ QUERIES = {
                 WHEN recency_days > 180 AND frequency_orders >= 2 THEN 'At Risk'
                 WHEN recency_days > 365 THEN 'Lost'
                 ELSE 'New' END AS rfm_segment""",
-        "customer_id# customer_name last_order_date recency_days# frequency_orders# monetary_value$ rfm_segment",
+        "customer_id# customer_name last_order_date@ recency_days# frequency_orders# monetary_value$ rfm_segment",
     ),
     "products_never_in_high_rev_regions": (
         f"""FROM dim_products AS p WHERE product_id NOT IN (

@@ -15,7 +15,7 @@ QUERIES = {
             JOIN dim_date ON date_id = order_date_id
             WHERE order_status IN ('Pending', 'Partially Delivered') AND quarter_num = 3
               AND year_num = (SELECT max(year_num) FROM dim_date WHERE year_num < year({AS_OF}))""",
-        "customer_name order_date total_value$",
+        "customer_name order_date@ total_value$",
     ),
     "margin_over_3x": (
         f"""FROM dim_products SELECT *, {pct('list_price - unit_cost', 'list_price')} AS margin_percentage
@@ -44,11 +44,11 @@ QUERIES = {
            JOIN dim_date AS ordered ON ordered.date_id = order_date_id
            JOIN dim_date AS shipped ON shipped.date_id = shipping_date_id
            WHERE country_name = 'NATION_7' AND shipped.full_date - ordered.full_date > 14""",
-        "order_number customer_name country_name order_date shipping_date",
+        "order_number customer_name country_name order_date@ shipping_date@",
     ),
     "product_keyword_search": (
         "FROM dim_products WHERE regexp_matches(product_name, 'pro|plus|max', 'i')",
         "product_id# sku# product_name category_id# unit_cost$ list_price$ stock_quantity# is_active"
-        " created_at",
+        " created_at@",
     ),
 }

@@ -54,7 +54,7 @@ QUERIES = {
                USING (customer_id)
            LEFT JOIN dim_sales_reps USING (sales_rep_id)""",
         "customer_id# customer_code customer_name account_tier lifetime_revenue$ order_frequency#"
-        " last_order_date average_order_value$ return_rate$ assigned_rep recency_days# frequency_orders#"
+        " last_order_date@ average_order_value$ return_rate$ assigned_rep recency_days# frequency_orders#"
         " monetary_value$ rfm_segment",
     ),
     "returns_analysis": (

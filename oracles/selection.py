@@ -2,14 +2,14 @@ from oracles.star import cents, half_up, pct2, per_hundred
 
 _CUSTOMER = (
     "customer_id# customer_code customer_name billing_address city postal_code country_name"
-    " credit_limit$ account_tier region_id# created_at"
+    " credit_limit$ account_tier region_id# created_at@"
 )
 
 QUERIES = {
     "region_alias": ("FROM dim_regions SELECT region_id AS id, region_name AS name", "id# name"),
     "region_equals": (
         "FROM dim_regions WHERE region_name = 'AMERICA'",
-        "region_id# country_name region_name territory_name country_code is_active created_at",
+        "region_id# country_name region_name territory_name country_code is_active created_at@",
     ),
     "customers_created_between": (
         """FROM dim_customers
@@ -18,12 +18,12 @@ QUERIES = {
     ),
     "dates_in_years": (
         "FROM dim_date WHERE year_num BETWEEN 1999 AND 2001",
-        "date_id# full_date year_num# quarter_num# month_num# month_name",
+        "date_id# full_date@ year_num# quarter_num# month_num# month_name",
     ),
     "reps_name_prefix": (
         "FROM dim_sales_reps WHERE upper(left(first_name, 1)) = 'A'",
-        "sales_rep_id# employee_code# first_name last_name email phone hire_date base_salary$ status"
-        " region_id# created_at",
+        "sales_rep_id# employee_code# first_name last_name email phone hire_date@ base_salary$ status"
+        " region_id# created_at@",
     ),
     "customers_missing_postal": ("FROM dim_customers WHERE postal_code IS NULL", _CUSTOMER),
     "reps_sorted": ("FROM dim_sales_reps", "first_name last_name status"),

@@ -42,7 +42,7 @@ class Statements:
         self.parts.update(parts)
 
     def query(self, body: str, columns: str) -> str:
-        """``columns`` lists the output; # marks a whole number and $ an amount or ratio."""
+        """``columns`` lists the output; # marks a whole number, $ an amount or ratio, @ a date."""
         chosen = [_cast(column) for column in columns.split()]
         parts = {**self.parts, "answer": body}
         text = ",\n".join(f"{name} AS ({part.strip()})" for name, part in parts.items())
@@ -50,7 +50,7 @@ class Statements:
 
 
 def _cast(column: str) -> str:
-    types = {"#": "BIGINT", "$": "DOUBLE"}
+    types = {"#": "BIGINT", "$": "DOUBLE", "@": "TIMESTAMP"}
     kind = types.get(column[-1])
     return column if kind is None else f"CAST({column[:-1]} AS {kind}) AS {column[:-1]}"
 
