@@ -120,6 +120,8 @@ def test_row_level_joins_split_the_hot_key(star):
 def test_joins_before_an_aggregate_split_the_hot_key(star):
     _, split = run(summaries.sum_region_period_sales(star))
     assert split == {"product_id"}
+    _, split = run(advanced._sales_to_high_value_customers(star))
+    assert split == {"customer_id", "order_id"}
     rows, split = run(
         joins.active_products_unordered_12m(star, as_of=date(2024, 12, 31)).unionByName(
             joins.active_products_unordered_12m(star, as_of=date(2030, 12, 31))
@@ -154,7 +156,8 @@ def test_aggregates_fold_the_hot_key_before_the_shuffle(star):
 
 def test_mismatch_does_not_pair_a_hot_customers_orders_and_assignments(star):
     """20,000 orders meet 20,000 assignments of one customer: 400 million pairs if joined as such."""
-    rows, _ = run(joins.rep_customer_mismatch(star))
+    rows, split = run(joins.rep_customer_mismatch(star))
+    assert "customer_id" in split
     # Of assignments alike in all but id the highest id counts; every assignment gives its own rep.
     hot = [r for r in rows if r.customer_name == "N0"]
     assert {r.assigned_rep for r in hot} == {0}

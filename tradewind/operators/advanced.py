@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tradewind.functions.ratios import ratio, rounded_percent
 from tradewind.functions.slices import rank_descending, row_number, running_total
+from tradewind.functions.storage import checkpointed
 from tradewind.operators.facts import latest, sums
 from tradewind.star import Star
 
@@ -262,20 +263,28 @@ def customer_qoq_decline(star: Star) -> DataFrame:
     )
 
 
-def products_of_high_value_customers(star: Star) -> DataFrame:
-    """Products by units sold to customers whose total order value is above the average customer's."""
+def _sales_to_high_value_customers(star: Star) -> DataFrame:
     orders = star.fact_sales_orders.select("order_id", "customer_id", "net_total")
-    per_customer = sums(orders, ["customer_id"], revenue=F.col("net_total"))
+    # Checkpointed, since both the average and the selection read it. It also lets Spark split the
+    # orders of a busy customer in the join, which it cannot when one side is an aggregate in place.
+    per_customer = checkpointed(sums(orders, ["customer_id"], revenue=F.col("net_total")))
     average = per_customer.agg(F.avg("revenue")).scalar()
     high_value = per_customer.filter(F.col("revenue") > average).select("customer_id")
     their_orders = orders.join(high_value, "customer_id", "left_semi").select("order_id")
     lines = star.fact_order_line_items.select("order_id", "product_id", "quantity", "line_total")
-    sold = sums(
+    return sums(
         lines.join(their_orders, "order_id", "left_semi"),
         ["product_id"],
         total_quantity_sold=F.col("quantity"),
         total_revenue=F.col("line_total"),
-    ).join(star.dim_products.select("product_id", "product_name"), "product_id")
+    )
+
+
+def products_of_high_value_customers(star: Star) -> DataFrame:
+    """Products by units sold to customers whose total order value is above the average customer's."""
+    sold = _sales_to_high_value_customers(star).join(
+        star.dim_products.select("product_id", "product_name"), "product_id"
+    )
     best = [
         F.desc("total_quantity_sold"),
         F.desc("total_revenue"),

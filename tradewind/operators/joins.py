@@ -72,10 +72,12 @@ def rep_customer_mismatch(star: Star) -> DataFrame:
         .distinct()
         .join(star.calendar("order_date_id", F.col("full_date").alias("day")), "order_date_id")
     )
+    # Grouping by the day as well as its id makes the result shuffle again for the join with orders.
+    # That lets Spark split a customer's busy day, which it cannot if one side is an aggregate in place.
     assigned = (
         days.join(spans, "customer_id")
         .filter(F.col("day").between(F.col("starts"), F.col("ends")))
-        .groupBy("customer_id", "order_date_id")
+        .groupBy("customer_id", "order_date_id", "day")
         .agg(F.max_by("assigned_rep", "starts").alias("assigned_rep"))
     )
     return (
