@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from tradewind.functions.ratios import percent_ratio
 from tradewind.functions.slices import rank_descending
+from tradewind.functions.storage import checkpointed
 from tradewind.operators.facts import sums
 from tradewind.plans.summaries import (
-    rep_period_attainment,
+    monthly_sales,
+    period_sales,
+    quota_attainment,
+    region_report,
     rfm_columns,
     sum_customer_metrics,
     sum_monthly_country_sales,
     sum_product_metrics,
-    sum_region_period_sales,
     sum_rep_quota_attainment,
     sum_returns_metrics,
 )
@@ -166,16 +169,24 @@ def returns_analysis(star: Star) -> DataFrame:
 
 def sales_executive_summary(star: Star) -> DataFrame:
     """Region sales by month with the attainment of all quotas of that region name and month; zero
-    without quotas."""
+    without quotas.
+
+    Both sides come from the same sales, checkpointed per rep, region and month, so that the lines
+    are read and shuffled once.
+    """
+    sales = checkpointed(monthly_sales(star, "sales_rep_id", "region_id"))
+    rep = ["sales_rep_id"]
+    per_rep = sums(sales, [*rep, "year_num", "quarter_num", "month_num"], revenue=F.col("revenue"))
+    attained = quota_attainment(star, period_sales(per_rep, rep))
     keys = ["region_name", "year_num", "quarter_num", "month_num"]
     quotas = sums(
-        rep_period_attainment(star).join(star.regions.select("region_id", "region_name"), "region_id"),
+        attained.join(star.regions.select("region_id", "region_name"), "region_id"),
         keys,
         actual_revenue=F.col("actual_revenue"),
         quota_target=F.col("quota_target"),
     )
     attainment = percent_ratio(F.col("actual_revenue"), F.col("quota_target"))
-    sales = sum_region_period_sales(star)
-    return sales.join(quotas, keys, "left").select(
-        *sales.columns, F.coalesce(attainment, F.lit(0.0)).alias("quota_attainment_pct")
+    regions = region_report(star, sales)
+    return regions.join(quotas, keys, "left").select(
+        *regions.columns, F.coalesce(attainment, F.lit(0.0)).alias("quota_attainment_pct")
     )

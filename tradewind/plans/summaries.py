@@ -24,6 +24,8 @@ LIFETIME_SEGMENTS = {
     "Lost": Rfm(min_recency=180),
 }
 
+_PERIOD = ["sales_rep_id", "quota_period_type", "year_num", "period_num"]
+
 
 def _orders_with(star: Star, columns: list[str], **measures: Column) -> DataFrame:
     """Sold orders with ``columns`` and the sums of their lines."""
@@ -163,39 +165,39 @@ def sum_customer_rfm(star: Star, *, as_of: date) -> DataFrame:
     )
 
 
-def rep_period_attainment(star: Star, *, year: Column | None = None) -> DataFrame:
-    """Quotas by rep, region, date, type and target with the rep's sales of the period.
+def period_sales(monthly: DataFrame, keys: list[str]) -> DataFrame:
+    """Each rep's revenue by month and by quarter, told apart by the quota type they answer to.
 
-    Monthly quotas meet the rep's sales of their month, quarterly ones those of their quarter, any
-    other type none. Identical quotas are one row whose revenue counts once per quota, while
-    customers are distinct in any case. Sales are summed to rep and period first, and one equi-join
-    on (rep, type, year, period) serves both types.
+    ``monthly`` has one row per ``keys`` and month, with the rep among the keys. With the customer as
+    the other key, ``customers`` counts the distinct customers of each period.
     """
-    when = None if year is None else F.col("year_num") == year
-    orders = _orders_with(
-        star, ["sales_rep_id", "customer_id", "order_date_id"], revenue=F.col("line_total")
-    ).join(
-        star.calendar("order_date_id", "year_num", "quarter_num", "month_num", where=when),
-        "order_date_id",
-    )
-    # One row per customer, so that counting rows counts distinct customers.
-    monthly = sums(
-        orders,
-        ["sales_rep_id", "customer_id", "year_num", "quarter_num", "month_num"],
-        revenue=F.col("revenue"),
-    )
-    quarterly = sums(
-        monthly,
-        ["sales_rep_id", "customer_id", "year_num", "quarter_num"],
-        revenue=F.col("revenue"),
-    )
-    period = ["sales_rep_id", "quota_period_type", "year_num", "period_num"]
-    sales = (
+    quarterly = sums(monthly, [*keys, "year_num", "quarter_num"], revenue=F.col("revenue"))
+    return (
         _typed_period(monthly, "Monthly", "month_num")
         .unionByName(_typed_period(quarterly, "Quarterly", "quarter_num"))
-        .groupBy(*period)
+        .groupBy(*_PERIOD)
         .agg(F.sum("revenue").alias("revenue"), F.count(F.lit(1)).alias("customers"))
     )
+
+
+def _typed_period(sales: DataFrame, period_type: str, column: str) -> DataFrame:
+    return sales.select(
+        "sales_rep_id",
+        F.lit(period_type).alias("quota_period_type"),
+        "year_num",
+        F.col(column).alias("period_num"),
+        "revenue",
+    )
+
+
+def quota_attainment(star: Star, sales: DataFrame, *, when: Column | None = None) -> DataFrame:
+    """Quotas by rep, region, date, type and target with the rep's ``period_sales``.
+
+    Monthly quotas meet the rep's sales of their month, quarterly ones those of their quarter, any
+    other type none. Identical quotas are one row whose revenue counts once per quota, while
+    customers are distinct in any case. One equi-join on (rep, type, year, period) serves both
+    types.
+    """
     quota_keys = ["sales_rep_id", "region_id", "date_id", "quota_period_type", "quota_target"]
     period_num = F.when(F.col("quota_period_type") == "Monthly", F.col("month_num")).when(
         F.col("quota_period_type") == "Quarterly", F.col("quarter_num")
@@ -213,7 +215,7 @@ def rep_period_attainment(star: Star, *, year: Column | None = None) -> DataFram
         .withColumn("period_num", period_num)
     )
     revenue = F.coalesce(F.col("revenue") * F.col("copies"), F.lit(0))
-    return quotas.join(sales, period, "left").select(
+    return quotas.join(sales, _PERIOD, "left").select(
         *quota_keys,
         "full_date",
         "year_num",
@@ -225,21 +227,22 @@ def rep_period_attainment(star: Star, *, year: Column | None = None) -> DataFram
     )
 
 
-def _typed_period(sales: DataFrame, period_type: str, column: str) -> DataFrame:
-    return sales.select(
-        "sales_rep_id",
-        F.lit(period_type).alias("quota_period_type"),
-        "year_num",
-        F.col(column).alias("period_num"),
-        "revenue",
-    )
-
-
 def sum_rep_quota_attainment(star: Star, *, year: Column | None = None) -> DataFrame:
     """Sales against each quota; ``year`` limits it to one year."""
+    when = None if year is None else F.col("year_num") == year
+    orders = _orders_with(
+        star, ["sales_rep_id", "customer_id", "order_date_id"], revenue=F.col("line_total")
+    ).join(
+        star.calendar("order_date_id", "year_num", "quarter_num", "month_num", where=when),
+        "order_date_id",
+    )
+    keys = ["sales_rep_id", "customer_id"]
+    monthly = sums(
+        orders, [*keys, "year_num", "quarter_num", "month_num"], revenue=F.col("revenue")
+    )
     reps = star.dim_sales_reps.select("sales_rep_id", "employee_code", "first_name", "last_name")
     return (
-        rep_period_attainment(star, year=year)
+        quota_attainment(star, period_sales(monthly, keys), when=when)
         .join(star.regions.select("region_id", "region_name", "country_name"), "region_id")
         .join(reps, "sales_rep_id")
         .select(
@@ -318,11 +321,9 @@ def sum_returns_metrics(star: Star) -> DataFrame:
     )
 
 
-def sum_region_period_sales(star: Star) -> DataFrame:
-    places = star.regions.select(
-        "region_id", "region_name", F.col("country_name").alias("region_country_name"), "territory_name"
-    )
-    periods = ["year_num", "quarter_num", "month_num", "month_name"]
+def monthly_sales(star: Star, *keys: str) -> DataFrame:
+    """Revenue, cost and orders by the order's ``keys`` and month."""
+    months = ["year_num", "quarter_num", "month_num", "month_name"]
     lines = star.sold_lines.select("order_id", "product_id", "quantity", "line_total").join(
         star.dim_products.select("product_id", "unit_cost"), "product_id"
     )
@@ -332,26 +333,51 @@ def sum_region_period_sales(star: Star) -> DataFrame:
         revenue=F.col("line_total"),
         cost=F.col("quantity") * F.col("unit_cost"),
     )
-    revenue = F.col("total_revenue")
     return (
-        star.sold_orders.select("order_id", "order_date_id", "region_id")
+        star.sold_orders.select("order_id", "order_date_id", *keys)
         .join(per_order, "order_id")
-        .join(star.calendar("order_date_id", *periods), "order_date_id")
-        .join(places, "region_id")
-        .groupBy("region_name", "region_country_name", "territory_name", *periods)
+        .join(star.calendar("order_date_id", *months), "order_date_id")
+        .groupBy(*keys, *months)
         .agg(
-            F.sum("revenue").alias("total_revenue"),
+            F.sum("revenue").alias("revenue"),
             F.sum("cost").alias("cost"),
-            F.count("order_id").alias("order_count"),
+            F.count("order_id").alias("orders"),
+        )
+    )
+
+
+def region_report(star: Star, sales: DataFrame) -> DataFrame:
+    """``monthly_sales`` that have the region among their keys, by region, country and territory."""
+    places = star.regions.select(
+        "region_id", "region_name", F.col("country_name").alias("region_country_name"), "territory_name"
+    )
+    keys = [
+        "region_name",
+        "region_country_name",
+        "territory_name",
+        "year_num",
+        "quarter_num",
+        "month_num",
+        "month_name",
+    ]
+    revenue, orders = F.col("total_revenue"), F.col("order_count")
+    return (
+        sums(
+            sales.join(places, "region_id"),
+            keys,
+            total_revenue=F.col("revenue"),
+            cost=F.col("cost"),
+            order_count=F.col("orders"),
         )
         .select(
-            "region_name",
-            "region_country_name",
-            "territory_name",
-            *periods,
+            *keys,
             "total_revenue",
             percent_ratio(revenue - F.col("cost"), revenue).alias("gross_margin_pct"),
             "order_count",
-            ratio(revenue, F.col("order_count")).alias("average_order_value"),
+            ratio(revenue, orders).alias("average_order_value"),
         )
     )
+
+
+def sum_region_period_sales(star: Star) -> DataFrame:
+    return region_report(star, monthly_sales(star, "region_id"))
