@@ -2,7 +2,7 @@
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions.ratios import percent, quotient, rounded_percent
@@ -180,35 +180,35 @@ def rep_quarter_below_quota(
     )
 
 
-def _category_margins(star: Star, below: int) -> DataFrame:
-    """Mean of the line margins per category, summed per product before the product is joined.
+def _per_product(star: Star) -> DataFrame:
+    """What a category's mean line margin needs of each product's lines.
 
-    A line's margin is 100 - 100 * unit cost * quantity / total, so a product needs only its line
-    count and the sum of quantity / total.
+    A line's margin is 100 - 100 * unit cost * quantity / total, so the count of lines and the sum of
+    quantity / total are enough. A line without a total has no margin.
     """
     total = F.nullif("line_total", F.lit(0).cast("decimal(14,2)"))
     units_per_money = F.col("quantity").cast("double") / total.cast("double")
-    per_product = star.fact_order_line_items.groupBy("product_id").agg(
-        F.count(units_per_money).alias("lines"), F.sum(units_per_money).alias("units_per_money")
+    return star.fact_order_line_items.groupBy("product_id").agg(
+        F.count(units_per_money).alias("lines"),
+        F.sum(units_per_money).alias("units_per_money"),
+        F.sum("quantity").alias("units"),
     )
+
+
+def _mean_margin() -> Column:
     cost = F.col("unit_cost").cast("double")
-    has_cost = F.when(F.col("unit_cost").isNotNull(), F.col("lines"))
-    margin = 100.0 - 100.0 * F.sum(cost * F.col("units_per_money")) / F.nullif(
-        F.sum(has_cost), F.lit(0)
-    )
-    return (
-        per_product.join(
-            star.dim_products.select("product_id", "category_id", "unit_cost"), "product_id"
-        )
-        .groupBy("category_id")
-        .agg(margin.alias("margin"))
-        .filter(F.col("margin") < below)
-    )
+    lines = F.when(F.col("unit_cost").isNotNull(), F.col("lines"))
+    return 100.0 - 100.0 * F.sum(cost * F.col("units_per_money")) / F.nullif(F.sum(lines), F.lit(0))
 
 
 def low_margin_categories(star: Star, *, max_margin: int = 25) -> DataFrame:
+    products = star.dim_products.select("product_id", "category_id", "unit_cost")
     return (
-        _category_margins(star, max_margin)
+        _per_product(star)
+        .join(products, "product_id")
+        .groupBy("category_id")
+        .agg(_mean_margin().alias("margin"))
+        .filter(F.col("margin") < max_margin)
         .select("category_id", F.round("margin", 2).alias("avg_gross_margin_pct"))
         .orderBy("category_id")
     )
@@ -218,24 +218,24 @@ def low_margin_high_return_categories(
     star: Star, *, max_margin: int = 25, min_return_rate: float = 10
 ) -> DataFrame:
     """Low-margin categories of which more than ``min_return_rate`` % of the units came back."""
-    products = star.dim_products.select("product_id", "category_id")
-    sold = sums(star.fact_order_line_items, ["product_id"], units=F.col("quantity"))
     per_line = sums(star.fact_returns, ["line_item_id"], returned=F.col("return_quantity"))
     returned = sums(
         star.fact_order_line_items.select("line_item_id", "product_id").join(per_line, "line_item_id"),
         ["product_id"],
         returned=F.col("returned"),
     )
-    units = (
-        sold.join(returned, "product_id", "left")
-        .join(products, "product_id")
-        .groupBy("category_id")
-        .agg(F.sum("units").alias("units"), F.coalesce(F.sum("returned"), F.lit(0)).alias("returned"))
-    )
     rate = percent(F.col("returned"), F.col("units"))
     return (
-        _category_margins(star, max_margin)
-        .join(units.filter(rate > min_return_rate), "category_id")
+        _per_product(star)
+        .join(returned, "product_id", "left")
+        .join(star.dim_products.select("product_id", "category_id", "unit_cost"), "product_id")
+        .groupBy("category_id")
+        .agg(
+            _mean_margin().alias("margin"),
+            F.sum("units").alias("units"),
+            F.coalesce(F.sum("returned"), F.lit(0)).alias("returned"),
+        )
+        .filter((F.col("margin") < max_margin) & (rate > min_return_rate))
         .select(
             "category_id",
             F.round("margin", 2).alias("avg_gross_margin_pct"),

@@ -247,7 +247,7 @@ def gross_rev_month_region_country(star: Star) -> DataFrame:
         .join(star.calendar("order_date_id", "year_num", "month_num"), "order_date_id")
         .join(star.regions.select("region_id", "country_name"), "region_id")
         .groupBy("year_num", "month_num", "country_name")
-        .agg(F.sum("gross_revenue").cast("decimal(14,2)").alias("gross_revenue"))
+        .agg(F.sum("gross_revenue").cast("decimal(28,2)").alias("gross_revenue"))
         .orderBy("year_num", "month_num", "country_name")
     )
 
