@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import decontam, line_dedup, pieces, quality, simhash
+from tradewind.llm import (
+    decontam,
+    embedding_dedup,
+    langid,
+    line_dedup,
+    pieces,
+    quality,
+    secret_scan,
+    simhash,
+    substring_dedup,
+    token_counts,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,14 +33,27 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_report(_table(spark, folder, "documents"))
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(_table(spark, folder, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.report(_table(spark, folder, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each length that occurs, with what holds for a context limit of that length."""
+    return token_counts.with_sums(token_counts.histogram(_table(spark, folder, "documents")))
+
+
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and digest of the decoded text; ``round_trip`` tells whether that is the text again."""
     docs = _table(spark, folder, "documents")
@@ -38,19 +62,37 @@ def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, folder, "embeddings"))
+
+
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The digest columns; the removed stretches are in the operator's own report."""
+    return substring_dedup.report(_table(spark, folder, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_classifier,
         op2_line_dedup,
+        op3_language_id,
         op4_simhash_near_dedup,
+        op5_secret_scan,
         op6_decontamination,
+        op7_token_counts,
         op8_sentencepiece,
+        op9_embedding_near_dedup,
+        op10_substring_dedup,
     )
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _LINE_DEDUP}
+    return {
+        "op2_line_dedup": _LINE_DEDUP,
+        "op9_embedding_near_dedup": _EMBEDDING_NEAR_DEDUP,
+        "op10_substring_dedup": _SUBSTRING_DEDUP,
+    }
 
 
 _LINE_DEDUP = r"""
@@ -75,3 +117,53 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+_EMBEDDING_NEAR_DEDUP = r"""
+WITH RECURSIVE sound AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM sound a JOIN sound b ON a.label = b.label AND len(a.v) = len(b.v) AND a.r <> b.r
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reached AS (
+  SELECT a AS node, b AS other FROM links
+  UNION
+  SELECT r.node, l.b FROM reached r JOIN links l ON r.other = l.a
+), least AS (
+  SELECT node, min(other) AS other FROM reached GROUP BY node
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links,
+       least(e.vec_id, coalesce(m.other, e.vec_id))::BIGINT AS component_id,
+       least(e.vec_id, coalesce(m.other, e.vec_id)) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least m ON m.node = e.vec_id
+"""
+
+_SUBSTRING_DEDUP = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), windows AS (
+  SELECT r, s, array_to_string(words[s:s + 34], ' ') AS stretch
+  FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS s FROM split)
+), repeated AS (
+  SELECT stretch FROM windows GROUP BY stretch HAVING count(*) > 1
+), covered AS (
+  SELECT DISTINCT r, unnest(range(s, s + 35)) AS k
+  FROM windows SEMI JOIN repeated USING (stretch)
+), kept AS (
+  SELECT w.r, count(*) AS n, string_agg(w.word, ' ' ORDER BY w.k) AS text
+  FROM (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM split) w
+  ANTI JOIN covered c ON c.r = w.r AND c.k = w.k
+  GROUP BY w.r
+)
+SELECT s.doc_id, len(s.words)::BIGINT AS n_words, (len(s.words) - coalesce(k.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON k.r = s.r
+"""

@@ -10,10 +10,9 @@ meets in some list, and a list holds a 2^32th of the documents, besides near cop
 meets, all 8 positional bytes are tallied, pairs with at least 5 matches are retained, and the bit
 distance verifies them.
 
-Equal fingerprints are folded first. Lists are range-sorted, so a long list spans partitions:
-each entry is compared with the entries of its own list through ``BLOCK`` x ``BLOCK`` blocks, which are
-dealt to tasks by (list, block, block). A task passes on a spanning forest of the links that it finds,
-never all pairs.
+Equal fingerprints are folded first. A list of more than ``BLOCK`` fingerprints is split into blocks, and
+each pair of blocks goes to a task of its own. A task passes on a spanning forest of the links that it
+finds, never all pairs.
 
 Defined results: a null text counts as empty; a text without words has fingerprint 0, linked like any
 other; with fewer words than a shingle the whole sequence is the one shingle. Rows that share an id keep
@@ -31,13 +30,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import arrow_map, lower_hex, raw, written
+from tradewind.llm.common import (
+    arrow_map,
+    forest,
+    lower_hex,
+    paired_blocks,
+    pairs_in_runs,
+    raw,
+    whole_runs,
+    written,
+)
 from tradewind.llm.components import components
 
 SHINGLE = 3
 MAX_BITS = 3
-BLOCK = 2048
+BLOCK = 1024
 _CHUNK = 1 << 16
+_LIST = ["list", "key"]
 _POSITIONS = [p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
 
 
@@ -91,24 +100,6 @@ def _postings(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.inline(F.array(*keys)))
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, smallest node it reaches) that join what the links a-b join."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left, right = ends[: len(a)], ends[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[left], label[right])
-        new = label.copy()
-        for ends_ in (label[left], label[right], left, right):
-            np.minimum.at(new, ends_, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
 def _verified(left: np.ndarray, right: np.ndarray, max_bits: int) -> np.ndarray:
     """Which pairs share enough positional bytes and lie within the bit distance."""
     differing = left ^ right
@@ -117,29 +108,16 @@ def _verified(left: np.ndarray, right: np.ndarray, max_bits: int) -> np.ndarray:
     return near[np.bitwise_count(differing[near]) <= max_bits]
 
 
-def _links_of(entries: pa.Table, max_bits: int) -> pa.RecordBatch:
-    """A spanning forest of the links within whole sorted groups."""
-    names = ("list", "key", "row", "col")
-    head = [entries.column(c).to_numpy() for c in names]
-    fp = entries.column("fp").to_numpy().view(np.uint64)
-    side = entries.column("side").to_numpy()
-    here, step = np.arange(len(fp)), 0
+def _links_of(runs: pa.Table, max_bits: int) -> pa.RecordBatch:
+    """A spanning forest of the links within whole runs."""
+    fp = runs.column("fp").to_numpy().view(np.uint64)
     a = b = np.zeros(0, np.uint64)
-    while True:
-        step += 1
-        here = here[here + step < len(fp)]
-        same = np.ones(len(here), bool)
-        for values in head:
-            same &= values[here] == values[here + step]
-        here = here[same]
-        if not len(here):
-            break
-        across = here[side[here] | side[here + step] == 3]
-        near = across[_verified(fp[across], fp[across + step], max_bits)]
-        a, b = np.concatenate([a, fp[near]]), np.concatenate([b, fp[near + step]])
+    for left, right in pairs_in_runs(runs, _LIST):
+        near = _verified(fp[left], fp[right], max_bits)
+        a, b = np.concatenate([a, fp[left[near]]]), np.concatenate([b, fp[right[near]]])
         if len(a) > 4 * len(fp):
-            a, b = _forest(a, b)
-    a, b = _forest(a, b)
+            a, b = forest(a, b)
+    a, b = forest(a, b)
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
 
@@ -147,44 +125,12 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b): links that connect all distinct fingerprints within ``max_bits`` bits, at most 3."""
     if not 0 <= max_bits <= 3:
         raise ValueError("the guaranteed count holds up to 3 differing bits")
-    postings = _postings(fps)
-    lists = postings.groupBy("list", "key").agg(F.count("*").alias("n")).where("n > 1")
-    lists = written(lists.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    entries = (
-        postings.join(lists, ["list", "key"])
-        .select("list", "key", "fp", block.alias("block"), F.explode(others).alias("other"))
-        .select(
-            "list",
-            "key",
-            "fp",
-            F.least("block", "other").alias("row"),
-            F.greatest("block", "other").alias("col"),
-            # 1: in the row block, 2: in the column block, 3: both are the same block
-            F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
-        )
-    )
-    group = ["list", "key", "row", "col"]
-    dealt = entries.repartition(*group).sortWithinPartitions(*group, "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            n = table.num_rows
-            last = np.ones(n, bool)
-            for c in group:
-                values = table.column(c).to_numpy()
-                last &= values == values[-1]
-            start = n - int(last[::-1].argmin()) if not last.all() else 0
-            rest = table.slice(start)
-            if start:
-                yield _links_of(table.slice(0, start), max_bits)
-        if rest is not None:
-            yield _links_of(rest, max_bits)
+        for runs in whole_runs(batches, [*_LIST, "row", "col"]):
+            yield _links_of(runs, max_bits)
 
+    dealt = paired_blocks(_postings(fps), _LIST, "fp", BLOCK)
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
