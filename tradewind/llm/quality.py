@@ -100,7 +100,7 @@ def _spread(z: np.ndarray) -> np.ndarray:
 
 
 def fit_ranking(x: np.ndarray, label: np.ndarray, penalty: float = 3.0, seed: int = 7) -> Ranking:
-    """Bradley-Terry weights by Newton steps on the loss of at most ``MAX_PAIRS`` preference pairs."""
+    """Bradley-Terry weights by Newton steps on the loss of all preference pairs, or ``MAX_PAIRS`` drawn."""
     x = x.astype(np.float64)
     mean = x.mean(0) if len(x) else np.zeros(WIDTH)
     scale = np.maximum(x.std(0), 1e-6) if len(x) else np.ones(WIDTH)
@@ -109,9 +109,9 @@ def fit_ranking(x: np.ndarray, label: np.ndarray, penalty: float = 3.0, seed: in
         return Ranking(mean, scale, np.zeros(3 * WIDTH), float(np.log(THRESHOLD / (1 - THRESHOLD))))
     z = _spread((x - mean) / scale)
     rng = np.random.default_rng(seed)
-    pairs = min(MAX_PAIRS, len(good) * len(bad))
-    first = good[np.arange(pairs) % len(good)]
-    second = bad[rng.permutation(pairs) % len(bad)]
+    possible = len(good) * len(bad)
+    pair = np.arange(possible) if possible <= MAX_PAIRS else rng.integers(possible, size=MAX_PAIRS)
+    pairs, first, second = len(pair), good[pair % len(good)], bad[pair // len(good)]
     weights = np.zeros(z.shape[1])
     for _ in range(12):
         gradient = penalty * weights
