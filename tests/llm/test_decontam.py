@@ -1,0 +1,87 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from tests.llm.samples import by_id, documents, words
+from tradewind.llm import decontam
+
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def _words(text):
+    return WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+
+
+def _brute(texts, items):
+    windows = {}
+    for item, text in items:
+        own = _words(text)
+        for k in range(max(1, len(own) - 12) if own else 0):
+            windows.setdefault(tuple(own[k : k + 13]), set()).add(str(item))
+    out = []
+    for text in texts:
+        own, hit, found = _words(text), set(), set()
+        for window, ids in windows.items():
+            for k in range(len(own) - len(window) + 1):
+                if tuple(own[k : k + len(window)]) == window:
+                    hit |= set(range(k, k + len(window)))
+                    found |= ids
+        names = ",".join(sorted(found))
+        out.append((len(own), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(own)))
+    return out
+
+
+def _sample(seed):
+    rng = random.Random(seed)
+    items = [(k, " ".join(words(rng, n, 60))) for k, n in enumerate([13, 14, 30, 40, 12, 5, 2, 1, 0, 13])]
+    items += [(10, "É ß １２ x"), (11, None), (3, items[0][1]), (None, items[1][1]), (12, items[0][1].upper())]
+    texts = [None, "", " .,", "w1"]
+    for _ in range(40):
+        own = words(rng, rng.randrange(60), 60)
+        for _ in range(rng.randrange(3)):
+            part = _words(rng.choice(items)[1])
+            at, cut = rng.randrange(len(own) + 1), rng.randrange(3)
+            own[at:at] = part[cut:]
+        texts.append(rng.choice([" ", ", ", "\n", "_-"]).join(rng.choice([w, w.upper()]) for w in own))
+    return texts, items
+
+
+@pytest.mark.parametrize("max_words", [2_000_000, 40])
+def test_report_equals_brute_force(spark, max_words):
+    texts, items = _sample(max_words)
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    benchmark = benchmark.where("item_id IS NOT NULL")
+    wanted = _brute(texts, [x for x in items if x[0] is not None])
+    got = by_id(decontam.report(documents(spark, texts), benchmark, max_words=max_words))
+    assert any(w[4] for w in wanted) and any(w[1] and not w[4] for w in wanted)
+    for i, row in enumerate(wanted):
+        assert tuple(got[i])[1:] == row, texts[i]
+
+
+def test_clean_keeps_rows_and_columns(spark):
+    rng = random.Random(1)
+    item = words(rng, 20)
+    other = words(rng, 500, 10_000)
+    texts = [" ".join(item), " ".join(other), " ".join(other + item), " ".join(other[:100] + item), None, ""]
+    docs = documents(spark, texts, ids=[1, 1, 2, 3, None, 5])
+    got = decontam.clean(docs, spark.createDataFrame([("a", " ".join(item))], "item_id string, text string"))
+    assert got.columns == docs.columns
+    assert sorted(str((r["doc_id"], r["text"] and len(r["text"]), r["row"])) for r in got.collect()) == sorted(
+        str((i, texts[k] and len(texts[k]), f"row of {i}")) for k, i in ((1, 1), (2, 2), (4, None), (5, 5))
+    )
+
+
+def test_empty_tables(spark):
+    docs, none = documents(spark, ["a b"]), spark.createDataFrame([], "item_id bigint, text string")
+    [row] = decontam.report(docs, none).collect()
+    assert (row["n_words"], row["n_hit"], row["contaminated"]) == (2, 0, False)
+    assert decontam.report(docs.limit(0), none).collect() == []
+    assert decontam.clean(docs, none).count() == 1
+
+
+def test_overlapping_and_repetitive_windows():
+    windows = decontam.Windows({(b"a",) * 13: ["1"], (b"a", b"b"): ["2"]})
+    n, spans, items = windows.find(b"a " * 30 + b"b")
+    assert (n, decontam._merged(spans), items) == (31, [(0, 31)], {"1", "2"})
