@@ -2,6 +2,31 @@ from oracles.star import over, pct2
 
 _TODAY = "(SELECT max(full_date) FROM dim_date)"
 
+_SEGMENT_COLUMNS = (
+    "customer_id# customer_name last_order_date@ recency_days# frequency_orders# monetary_value$ rfm_segment"
+)
+
+
+def _yearly_segments(champions: tuple[int, int], loyal: tuple[int, int], at_risk: int) -> str:
+    """The year's customers; each limit is a least number of orders, with a least value."""
+    return f"""
+        FROM (SELECT customer_id, customer_name, max(full_date) AS last_order_date,
+                     {_TODAY} - last_order_date AS recency_days, count(order_id) AS frequency_orders,
+                     sum(net_total) AS monetary_value
+              FROM fact_sales_orders
+              JOIN dim_customers USING (customer_id)
+              JOIN dim_date ON date_id = order_date_id
+              WHERE full_date >= {_TODAY} - INTERVAL 1 YEAR
+              GROUP BY ALL)
+        SELECT *, CASE
+            WHEN recency_days <= 30 AND frequency_orders >= {champions[0]} AND monetary_value >= {champions[1]}
+                THEN 'Champions'
+            WHEN recency_days <= 90 AND frequency_orders >= {loyal[0]} AND monetary_value >= {loyal[1]} THEN 'Loyal'
+            WHEN recency_days > 180 AND frequency_orders >= {at_risk} THEN 'At Risk'
+            WHEN recency_days > 365 THEN 'Lost'
+            ELSE 'New' END AS rfm_segment"""
+
+
 QUERIES = {
     "top_customer_per_country": (
         """SELECT customer_id, customer_name, country_name, account_tier, sum(net_total) AS total_revenue
@@ -53,23 +78,8 @@ QUERIES = {
         "sales_rep_id# first_name last_name region_name year_num# quarter_num# actual_revenue$ quota_target#"
         " quota_attainment_pct$ rep_rank_in_region#",
     ),
-    "customer_rfm_1y": (
-        f"""FROM (SELECT customer_id, customer_name, max(full_date) AS last_order_date,
-                         {_TODAY} - last_order_date AS recency_days, count(order_id) AS frequency_orders,
-                         sum(net_total) AS monetary_value
-                  FROM fact_sales_orders
-                  JOIN dim_customers USING (customer_id)
-                  JOIN dim_date ON date_id = order_date_id
-                  WHERE full_date >= {_TODAY} - INTERVAL 1 YEAR
-                  GROUP BY ALL)
-            SELECT *, CASE
-                WHEN recency_days <= 30 AND frequency_orders >= 2 AND monetary_value >= 400000 THEN 'Champions'
-                WHEN recency_days <= 90 AND frequency_orders >= 2 AND monetary_value >= 200000 THEN 'Loyal'
-                WHEN recency_days > 180 AND frequency_orders >= 2 THEN 'At Risk'
-                WHEN recency_days > 365 THEN 'Lost'
-                ELSE 'New' END AS rfm_segment""",
-        "customer_id# customer_name last_order_date@ recency_days# frequency_orders# monetary_value$ rfm_segment",
-    ),
+    "customer_rfm_1y": (_yearly_segments((2, 400000), (2, 200000), 2), _SEGMENT_COLUMNS),
+    "customer_rfm_1y_default": (_yearly_segments((20, 70000), (10, 30000), 10), _SEGMENT_COLUMNS),
     "products_never_in_high_rev_regions": (
         f"""FROM dim_products AS p WHERE product_id NOT IN (
                 SELECT product_id FROM fact_order_line_items

@@ -10,11 +10,17 @@ _REP_QUARTER = """
     JOIN dim_date ON date_id = order_date_id
     GROUP BY ALL"""
 
-_MARGINS = """
+# Units per unit of money in 10^14ths, an integer for each line; a product's unit cost in cents times their
+# sum is what its lines cost per unit of money, in 10^16ths. `margin` is in 10^12ths of a percent.
+_MARGINS = f"""
     SELECT category_id,
-           avg(CAST(line_total - quantity * unit_cost AS DOUBLE) * 100 / nullif(CAST(line_total AS DOUBLE), 0))
-               AS margin
-    FROM fact_order_line_items JOIN dim_products USING (product_id) GROUP BY ALL"""
+           100 * 1000000000000 - {half_up('sum(cents * units_per_money)', 'count(units_per_money) * 100')} AS margin
+    FROM (SELECT product_id, {half_up('quantity::HUGEINT * 10000000000000000', cents('line_total'))} AS units_per_money
+          FROM fact_order_line_items)
+    JOIN (SELECT product_id, category_id, {cents('unit_cost')} AS cents FROM dim_products) USING (product_id)
+    WHERE cents IS NOT NULL
+    GROUP BY ALL"""
+_MARGIN_PCT = per_hundred(half_up("margin", "10000000000"))
 
 _ATTAINMENT = (
     "sales_rep_id# first_name last_name year_num# month_num# actual_revenue$ total_quota_target#"
@@ -88,7 +94,7 @@ QUERIES = {
         " quota_attainment_pct$",
     ),
     "low_margin_categories": (
-        f"FROM ({_MARGINS}) SELECT category_id, round(margin, 2) AS avg_gross_margin_pct WHERE margin < 25",
+        f"FROM ({_MARGINS}) SELECT category_id, {_MARGIN_PCT} AS avg_gross_margin_pct WHERE margin < 25000000000000",
         "category_id# avg_gross_margin_pct$",
     ),
     "low_margin_high_return_categories": (
@@ -99,9 +105,9 @@ QUERIES = {
                   LEFT JOIN (SELECT line_item_id, sum(return_quantity) AS back FROM fact_returns GROUP BY ALL)
                       USING (line_item_id)
                   GROUP BY ALL) USING (category_id)
-            SELECT category_id, round(margin, 2) AS avg_gross_margin_pct,
+            SELECT category_id, {_MARGIN_PCT} AS avg_gross_margin_pct,
                    {per_hundred(half_up('returned * 10000', 'units'))} AS return_rate_pct
-            WHERE margin < 25 AND returned * 1000 > units * 26""",
+            WHERE margin < 25000000000000 AND returned * 1000 > units * 26""",
         "category_id# avg_gross_margin_pct$ return_rate_pct$",
     ),
     "frequent_low_value_customers": (

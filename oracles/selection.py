@@ -89,6 +89,17 @@ QUERIES = {
         "order_id# order_number customer_id# sales_rep_id# order_status net_total$ order_date_id#"
         " validation_status",
     ),
+    "order_validation_all": (
+        """FROM fact_sales_orders
+           SELECT *, CASE WHEN customer_id IS NULL THEN 'Missing customer'
+                          WHEN sales_rep_id IS NULL THEN 'Missing sales rep'
+                          WHEN order_date_id IS NULL THEN 'Missing date reference'
+                          WHEN net_total IS NULL THEN 'Missing net total'
+                          WHEN net_total <= 0 THEN 'Invalid total'
+                          ELSE 'Valid' END AS validation_status""",
+        "order_id# order_number customer_id# sales_rep_id# order_status net_total$ order_date_id#"
+        " validation_status",
+    ),
     "gold_high_credit": (
         """FROM dim_customers
            WHERE account_tier = 'Gold' AND country_name = 'NATION_7' AND credit_limit > 50000""",

@@ -1,13 +1,18 @@
 """Behaviour that the generated tables cannot show."""
 
+import random
+from dataclasses import replace
 from datetime import date, datetime
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.tiny import CUSTOMERS, DIMENSIONS, PRODUCTS, REGIONS, REPS, by, day, make_star, sales
 from tradewind.operators import advanced, integrity, joins, kpi, questions, selection
 from tradewind.plans import base, reports, summaries
+from tradewind.plans.views import register_views
+from tradewind.sources import tables
 
 AS_OF = date(2024, 12, 31)
 
@@ -571,6 +576,136 @@ def test_null_keys_pass_and_dangling_keys_count(spark):
     ]
     star = make_star(spark, dim_regions=REGIONS, dim_customers=customers)
     report = by(integrity.referential_integrity_report(star), "constraint_name")
-    assert len(report) == 22
+    assert len(report) == 30
     assert (report["fk_customer_region"].checked_rows, report["fk_customer_region"].violations) == (3, 2)
     assert all(row.violations == 0 for name, row in report.items() if name != "fk_customer_region")
+
+
+def test_repeated_parents_count_their_children_once(spark):
+    star = make_star(
+        spark,
+        dim_regions=[*REGIONS, REGIONS[0], REGIONS[0]],
+        dim_customers=[{"customer_id": k, "region_id": 1 + k % 2 * 8} for k in range(5)],
+        fact_returns=[{"return_id": 1, "line_item_id": "lost", "return_date_id": 20240101}],
+    )
+    report = by(integrity.referential_integrity_report(star), "constraint_name")
+    assert (report["fk_customer_region"].checked_rows, report["fk_customer_region"].violations) == (5, 2)
+    assert (report["fk_return_line"].checked_rows, report["fk_return_line"].violations) == (1, 1)
+    assert (report["fk_return_date"].checked_rows, report["fk_return_date"].violations) == (1, 0)
+    repeated = report["uq_dim_regions_region_id"]
+    assert (repeated.child_table, repeated.checked_rows, repeated.violations) == ("dim_regions", 5, 2)
+
+
+# Rules that clean data never breaks
+
+
+def test_every_order_fault_fires(spark):
+    whole = {"customer_id": 1, "sales_rep_id": 1, "order_date_id": 20240101, "net_total": 5}
+    faults = {
+        "Missing customer": {"customer_id": None},
+        "Missing sales rep": {"sales_rep_id": None},
+        "Missing date reference": {"order_date_id": None},
+        "Missing net total": {"net_total": None},
+        "Invalid total": {"net_total": 0},
+        "Valid": {},
+    }
+    orders = [{"order_id": k, **whole, **fault} for k, fault in enumerate(faults.values())]
+    rows = by(selection.order_validation(make_star(spark, fact_sales_orders=orders), min_total=None), "order_id")
+    assert [rows[k].validation_status for k in range(len(faults))] == list(faults)
+
+
+def test_margins_round_exact_decimals(spark):
+    """Two lines of margin 12.33 and 12.34: their mean is a tie, 12.335, which rounds away from zero."""
+    products = [{"product_id": 1, "category_id": 1, "unit_cost": D("87.67")}, {"product_id": 2, "category_id": 1, "unit_cost": D("87.66")}]
+    orders = [(1, 1, 1, 1, "2024-01-01", [(1, 1, 100), (2, 1, 100)])]
+    star = make_star(spark, **{**DIMENSIONS, "dim_products": products}, **sales(orders))
+    [row] = kpi.low_margin_categories(star).collect()
+    assert row.avg_gross_margin_pct == D("12.34")
+
+
+# Tiers on keys without a parent
+
+
+@pytest.fixture(scope="module")
+def full_star(spark):
+    rng = random.Random(8)
+    orders = [
+        (i, 1 + i % 2, 1 + i % 3, 1 + i % 3, f"2024-{1 + i % 12:02d}-05", [(rng.randint(1, 3), rng.randint(1, 9), rng.randint(5, 99)) for _ in range(3)])
+        for i in range(60)
+    ]
+    returns = [
+        {"return_id": k, "line_item_id": f"{k}-{1 + k % 3}", "return_date_id": day(f"2024-{1 + k % 12:02d}-20"), "return_quantity": 1,
+         "return_reason_code": "DEFECT", "credit_note_value": 3}
+        for k in range(0, 60, 2)
+    ]
+    quotas = [quota(k, 1 + k % 3, f"2024-{1 + k % 12:02d}-01", ["Monthly", "Quarterly"][k % 2], 500, 1 + k % 3) for k in range(12)]
+    return make_star(spark, **DIMENSIONS, **sales(orders), fact_returns=returns, fact_quotas=quotas)
+
+
+@pytest.mark.parametrize("table, gone", [
+    ("dim_customers", "customer_id = 2"),
+    ("dim_sales_reps", "sales_rep_id = 2"),
+    ("dim_products", "product_id = 2"),
+    ("dim_categories", "category_id = 2"),
+    ("dim_regions", "region_id = 2"),
+    ("fact_sales_orders", "order_id % 4 = 1"),
+])
+def test_summaries_equal_the_grouped_base_record(full_star, table, gone):
+    star = replace(full_star, **{table: getattr(full_star, table).filter(f"NOT ({gone})")})
+    lines, back, quotas = base.base_sales_order_line(star), base.base_returns(star), base.base_quota_rep_period(star)
+    assert lines.count() < full_star.fact_order_line_items.count()
+
+    def grouped(df, *columns):
+        return sorted(map(str, ([float(r[c]) if isinstance(r[c], D) else r[c] for c in columns] for r in df.collect())))
+
+    keys = {
+        summaries.sum_monthly_country_sales: (["region_country_name", "year_num", "month_num"], "net_revenue"),
+        summaries.sum_product_metrics: (["product_id"], "net_revenue"),
+        summaries.sum_customer_metrics: (["customer_id"], "lifetime_revenue"),
+        summaries.sum_region_period_sales: (["region_name", "territory_name", "year_num", "month_num"], "total_revenue"),
+    }
+    for summary, (group, revenue) in keys.items():
+        wanted = lines.groupBy(*group).agg(F.sum("line_total").alias(revenue))
+        assert grouped(summary(star), *group, revenue) == grouped(wanted, *group, revenue), summary.__name__
+    rfm = summaries.sum_customer_rfm(star, as_of=date(2024, 12, 31))
+    wanted = lines.groupBy("customer_id").agg(F.sum("line_total").alias("monetary_value"), F.countDistinct("order_id").alias("frequency_orders"))
+    assert grouped(rfm, "customer_id", "monetary_value", "frequency_orders") == grouped(wanted, "customer_id", "monetary_value", "frequency_orders")
+    group = ["category_name", "country_name", "year_num", "month_num"]
+    returned = back.groupBy("category_name", "country_name", F.col("return_year_num").alias("year_num"), F.col("return_month_num").alias("month_num"))
+    wanted = returned.agg(F.sum("return_quantity").alias("returned_units"))
+    assert grouped(summaries.sum_returns_metrics(star), *group, "returned_units") == grouped(wanted, *group, "returned_units")
+    attained = by(summaries.sum_rep_quota_attainment(star), "sales_rep_id", "region_id", "date_id", "quota_period_type")
+    sold = lines.collect()
+    wanted = {}
+    for q in quotas.collect():
+        period = "month_num" if q.quota_period_type == "Monthly" else "quarter_num"
+        total = sum(s.line_total for s in sold if (s.sales_rep_id, s.year_num, s[period]) == (q.sales_rep_id, q.year_num, q[period]))
+        wanted[q.sales_rep_id, q.region_id, q.date_id, q.quota_period_type] = total
+    assert {k: r.actual_revenue for k, r in attained.items()} == wanted
+
+
+def test_views_follow_their_tables(spark, full_star):
+    """An insert shows in every view, and registering them runs nothing."""
+    tables.save_star(full_star, "live", buckets=2)
+    try:
+        spark.sparkContext.setJobGroup("views", "plans only")
+        names = register_views(tables.table_star(spark, "live"), as_of=date(2024, 12, 31))
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("views")
+        before = {name: sorted(map(str, spark.table(name).collect())) for name in names}
+        spark.sql(
+            "INSERT INTO live.fact_order_line_items (line_item_id, order_id, product_id, quantity, unit_price, line_total)"
+            " VALUES ('new', 0, 1, 1000, 1, 100000)"
+        )
+        spark.sql(
+            "INSERT INTO live.fact_returns (return_id, line_item_id, return_date_id, return_quantity, return_reason_code, credit_note_value)"
+            " VALUES (999, '0-1', 20240120, 2, 'DEFECT', 3)"
+        )
+        spark.sql(
+            "INSERT INTO live.fact_quotas (quota_id, sales_rep_id, region_id, date_id, quota_period_type, quota_target)"
+            " VALUES (999, 1, 1, 20240101, 'Monthly', 77)"
+        )
+        stale = [name for name in names if sorted(map(str, spark.table(name).collect())) == before[name]]
+        assert not stale
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+        spark.sql("DROP DATABASE live CASCADE")

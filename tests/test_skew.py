@@ -90,7 +90,7 @@ def star(spark, tmp_path_factory):
 @pytest.fixture(autouse=True)
 def no_broadcasts_and_low_thresholds(conf):
     conf(
-        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__autoBroadcastJoinThreshold="2KB",  # the tiny dimensions only
         spark__sql__shuffle__partitions="16",
         spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="16KB",
         spark__sql__adaptive__skewJoin__skewedPartitionFactor="3",

@@ -40,7 +40,7 @@ def _groups(rows):
 def test_rank_descending(spark, distinct):
     rows = _rows(distinct, 700, distinct)
     df = spark.createDataFrame(rows, "g string, id int, v int")
-    got = slices.rank_descending(df, ["g"], "v", ["id"], "r")
+    got = slices.rank_descending(df, ["g"], "v", "r")
     assert got.columns == ["g", "id", "v", "r"]
     wanted = {}
     for members in _groups(rows).values():
@@ -50,19 +50,36 @@ def test_rank_descending(spark, distinct):
     assert {row["id"]: row["r"] for row in got.collect()} == wanted
 
 
-def test_ties_span_slices(spark):
-    df = spark.range(1000).select(F.lit("a").alias("g"), "id", F.lit(1).alias("v"))
-    sliced = slices._sliced(df, ["g"], ["v", "id"], lambda w: F.lit(0))
-    assert sliced.select("_slice").distinct().count() > 3
-    assert [r["r"] for r in slices.rank_descending(df, ["g"], "v", ["id"], "r").select("r").distinct().collect()] == [1]
+def test_one_group_spans_many_slices(spark):
+    df = spark.range(1000).select(F.lit("a").alias("g"), "id", (F.col("id") * 7 % 1000).cast("decimal(12,2)").alias("v"))
+    assert df.select(slices.magnitude("v")).distinct().count() > 200
+    got = slices.rank_descending(df, ["g"], "v", "r").collect()
+    assert all(r["r"] == 1000 - int(r["v"]) for r in got)
+
+
+def test_magnitude_never_falls(spark):
+    values = [None, -1e12, -5.5, -5.49, -1.0, -1e-9, -0.0, 0.0, 1e-9, 0.02, 1.0, 99.999, 100.0, 1e12]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select(slices.magnitude("v"))
+    steps = [r[0] for r in df.collect()]
+    assert steps[0] is None and steps[1:] == sorted(steps[1:])
+
+
+def test_nothing_runs_before_the_result_is_asked_for(spark):
+    df = spark.range(10).select(F.lit("a").alias("g"), "id")
+    group = "slices-test"
+    spark.sparkContext.setJobGroup(group, "plans only")
+    slices.rank_descending(df, ["g"], "id", "r")
+    slices.running_total(df, ["g"], [F.col("id")], "id", "t", [F.col("id")])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setJobGroup("", "")
 
 
 @pytest.mark.parametrize("group", [[], ["g"]])
 def test_row_number_and_running_total(spark, group):
     rows = _rows(5, 600, 9)
     df = spark.createDataFrame(rows, "g string, id int, v int")
-    numbered = slices.row_number(df, group, [F.desc("id")], "n").collect()
-    totals = slices.running_total(df, group, [F.col("id")], "v", "t").collect()
+    numbered = slices.row_number(df, group, [F.desc("id")], "n", [F.floor(F.col("id") / 50)], descending=True).collect()
+    totals = slices.running_total(df, group, [F.col("id")], "v", "t", [F.floor(F.col("id") / 50)]).collect()
     for members in _groups(rows).values() if group else [rows]:
         ids = {row[1] for row in members}
         place = {id_: i for i, id_ in enumerate(sorted(ids, reverse=True), 1)}
@@ -77,5 +94,5 @@ def test_row_number_and_running_total(spark, group):
 
 def test_empty_input(spark):
     df = spark.createDataFrame([], "g string, id int, v int")
-    assert slices.rank_descending(df, ["g"], "v", ["id"], "r").collect() == []
-    assert slices.row_number(df, [], [F.col("id")], "n").collect() == []
+    assert slices.rank_descending(df, ["g"], "v", "r").collect() == []
+    assert slices.row_number(df, [], [F.col("id")], "n", [F.col("id")]).collect() == []

@@ -19,7 +19,7 @@ def make_star(spark, first="2023-01-01", last="2024-12-31", **tables) -> Star:
     for name in Star.names():
         schema = struct_of(name)
         if name == "dim_date" and name not in tables:
-            days = calendar(spark, date.fromisoformat(first), date.fromisoformat(last))
+            days = calendar(spark.createDataFrame([(first,), (last,)], "day string"), "day")
             frames[name] = days.select([days[f.name].cast(f.dataType) for f in schema])
             continue
         rows = [tuple(_value(row.get(f.name), f.dataType) for f in schema) for row in tables.get(name, [])]

@@ -1,13 +1,11 @@
-"""Running totals and ranks over groups of any size.
-
-A plain window sorts each group inside one task, which fails once a group holds a large share of
-all rows. Here Spark range-partitions the rows by (group, order), so that a large group spans many
-partitions ("slices"), the window runs inside each slice, and the slices' summaries - at most one
-row per slice and group - supply what came before. The sliced rows are checkpointed, which fixes
-the slice numbers for both readers and spares a second run of whatever produced the rows.
-
-The order given must be unique within its group (end it with a key), both for a repeatable
-result and so that ties cannot pile up in one slice.
+"""Running totals and ranks over groups of any size, as one lazy plan.
+
+A plain window sorts each group inside one task, which fails once a group holds a large share of all
+rows. Here each group is cut into slices by an expression that never falls along the order, so slices
+follow each other and their numbers depend on nothing but the row. A small aggregate, one row for each
+slice and group, gives what came before a slice; that number joins the slice as a first row, a mark, and
+the window then runs inside the slice alone. Rows are shuffled once, nothing is written, and no job runs
+before the result is asked for, so a view over it follows its tables.
 """
 
 from collections.abc import Sequence
@@ -15,94 +13,88 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.functions.storage import broadcast_if_small, checkpointed
+_VALUE = "_value"
+_MARK = "_mark"
+_COUNT = "_count"
+STEPS_PER_OCTAVE = 64
+
 
-_SLICE = "_slice"
-_LOCAL = "_local"
-_BEFORE = "_before"
+def magnitude(value: str | Column) -> Column:
+    """A whole number that never falls as ``value`` grows, in steps of about one percent of it.
+
+    It needs no bounds of the data; NULL stays NULL. Values that lie within one percent share a slice.
+    """
+    number = (F.col(value) if isinstance(value, str) else value).cast("double")
+    steps = F.floor(F.log2(F.abs(number) + 1) * STEPS_PER_OCTAVE)
+    return F.when(number < 0, -steps).otherwise(steps)
 
 
 def running_total(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], value: str, name: str
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[Column],
+    value: str,
+    name: str,
+    slices: Sequence[Column],
+    *,
+    descending: bool = False,
 ) -> DataFrame:
-    """Add ``name``: the sum of ``value`` from the group's first row to the current one."""
-    so_far = (Window.unboundedPreceding, Window.currentRow)
-    sliced = _sliced(
-        df, group, order, lambda w: F.sum(value).over(w.orderBy(*order).rowsBetween(*so_far))
+    """Add ``name``: the sum of ``value`` from the group's first row to the current one.
+
+    ``order`` ends in a key, for a repeatable result. ``slices`` never fall along the order, or never rise
+    if ``descending``; NULL comes last.
+    """
+    keys = [f"_slice_{k}" for k in range(len(slices))]
+    sliced = df.withColumns(dict(zip(keys, slices, strict=True)))
+    along = [F.desc_nulls_last(k) if descending else F.asc_nulls_last(k) for k in keys]
+    earlier = Window.partitionBy(*group).orderBy(*along).rowsBetween(Window.unboundedPreceding, -1)
+    marks = (
+        sliced.groupBy(*group, *keys)
+        .agg(F.sum(value).alias("_total"))
+        .select(*group, *keys, F.sum("_total").over(earlier).alias(_VALUE), F.lit(True).alias(_MARK))
     )
-    totals = sliced.groupBy(*group, _SLICE).agg(F.sum(value).alias("total"))
-    before = _earlier_slices(totals, group, F.sum("total"))
-    return _with_summary(sliced, before, group).select(
-        *df.columns,
-        # A NULL local total means that no value has come yet in this slice.
-        F.when(F.col(_LOCAL).isNull(), F.col(_BEFORE))
-        .otherwise(F.col(_LOCAL) + F.coalesce(_BEFORE, F.lit(0)))
-        .alias(name),
+    rows = sliced.withColumns({_VALUE: F.col(value), _MARK: F.lit(False)})
+    so_far = (
+        Window.partitionBy(*group, *keys)
+        .orderBy(F.desc(_MARK), *order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return (
+        rows.unionByName(marks, allowMissingColumns=True)
+        .withColumn(name, F.sum(_VALUE).over(so_far))
+        .filter(~F.col(_MARK))
+        .select(*df.columns, name)
     )
 
 
-def row_number(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+def row_number(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[Column],
+    name: str,
+    slices: Sequence[Column],
+    *,
+    descending: bool = False,
+) -> DataFrame:
     """Add ``name``: the row's place in its group, from 1."""
-    sliced = _sliced(df, group, order, lambda w: F.row_number().over(w.orderBy(*order)).cast("bigint"))
-    sizes = sliced.groupBy(*group, _SLICE).agg(F.count(F.lit(1)).alias("n"))
-    before = _earlier_slices(sizes, group, F.sum("n"))
-    return _with_summary(sliced, before, group).select(
-        *df.columns, (F.col(_LOCAL) + F.coalesce(_BEFORE, F.lit(0))).alias(name)
-    )
+    counted = df.withColumn(_COUNT, F.lit(1).cast("bigint"))
+    return running_total(counted, group, order, _COUNT, name, slices, descending=descending).drop(_COUNT)
 
 
-def rank_descending(
-    df: DataFrame, group: Sequence[str], value: str, unique: Sequence[str], name: str
-) -> DataFrame:
+def rank_descending(df: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
     """Add ``name``: 1 + the number of rows of the group with a greater ``value``; NULL ranks last.
 
-    ``unique`` names columns that tell tied rows apart. They only spread ties over slices and do
-    not affect the rank.
+    Rows fold to one for each group and value first, so ties cost nothing, and each distinct value meets
+    its rows again in a join that Spark can split.
     """
-    best_first = F.desc_nulls_last(value)
-    order = [best_first, *unique]
-    sliced = _sliced(df, group, order, lambda w: F.rank().over(w.orderBy(best_first)).cast("bigint"))
-    summary = sliced.groupBy(*group, _SLICE).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(value).alias("first"),
-        # The last value in order is NULL as soon as the slice holds one.
-        F.when(F.count(value) == F.count(F.lit(1)), F.min(value)).alias("last"),
-        F.max(_LOCAL).alias("last_rank"),
-    )
-    slices = Window.partitionBy(*group).orderBy(_SLICE)
-    earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
-    summary = summary.withColumn("rows_before", before).withColumn(
-        "continues",
-        (F.row_number().over(slices) > 1) & F.lag("last").over(slices).eqNullSafe(F.col("first")),
+    folded = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias(_COUNT))
+    down_to = running_total(
+        folded, group, [F.desc_nulls_last(value)], _COUNT, "_down_to", [magnitude(value)], descending=True
     )
-    # Rank of each slice's last value, known where that value first appears in the group; a slice
-    # that merely continues a run of one value takes it from where the run began.
-    starts_run = ~F.col("continues") | ~F.col("first").eqNullSafe(F.col("last"))
-    summary = summary.withColumn(
-        "run_rank", F.when(starts_run, F.col("rows_before") + F.col("last_rank"))
-    ).withColumn("carried", F.last("run_rank", ignorenulls=True).over(earlier))
-    summary = summary.select(*group, _SLICE, "first", "rows_before", "continues", "carried")
-    in_run = F.col("continues") & F.col(value).eqNullSafe(F.col("first"))
-    return _with_summary(sliced, summary, group).select(
-        *df.columns,
-        F.when(in_run, F.col("carried")).otherwise(F.col("rows_before") + F.col(_LOCAL)).alias(name),
+    keys = [*group, value]
+    ranks = down_to.select(
+        *[F.col(key).alias(f"_of_{key}") for key in keys],
+        (F.col("_down_to") - F.col(_COUNT) + 1).alias(name),
     )
-
-
-def _sliced(df: DataFrame, group: Sequence[str], order: Sequence[Column], local) -> DataFrame:
-    # No partition count: spark.sql.shuffle.partitions applies and AQE merges small neighbours.
-    ranged = df.repartitionByRange(*group, *order).withColumn(_SLICE, F.spark_partition_id())
-    return checkpointed(ranged.withColumn(_LOCAL, local(Window.partitionBy(*group, _SLICE))))
-
-
-def _earlier_slices(summary: DataFrame, group: Sequence[str], total: Column) -> DataFrame:
-    earlier = Window.partitionBy(*group).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    return summary.select(*group, _SLICE, total.over(earlier).alias(_BEFORE))
-
-
-def _with_summary(sliced: DataFrame, summary: DataFrame, group: Sequence[str]) -> DataFrame:
-    keys = [*group, _SLICE]
-    renamed = summary.withColumnsRenamed({key: f"_of_{key}" for key in keys})
     same = [F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in keys]
-    return sliced.join(broadcast_if_small(renamed), same)
+    return df.join(ranks, same).select(*df.columns, name)

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions.ratios import ratio, rounded_percent
-from tradewind.functions.slices import rank_descending, row_number, running_total
-from tradewind.functions.storage import checkpointed
+from tradewind.functions.slices import magnitude, rank_descending, row_number, running_total
 from tradewind.operators.facts import latest, sums
 from tradewind.star import Star
 
@@ -39,7 +38,7 @@ def country_mom_change(star: Star) -> DataFrame:
     monthly = (
         star.fact_sales_orders.select("order_date_id", "region_id", "net_total")
         .join(star.calendar("order_date_id", "year_num", "month_num"), "order_date_id")
-        .join(star.regions.select("region_id", "country_name"), "region_id")
+        .join(star.dim_regions.select("region_id", "country_name"), "region_id")
         .groupBy("country_name", "year_num", "month_num")
         .agg(F.sum("net_total").alias("monthly_net_revenue"))
     )
@@ -60,12 +59,14 @@ def quarter_running_total(star: Star) -> DataFrame:
         .join(
             star.calendar("order_date_id", "full_date", "year_num", "quarter_num"), "order_date_id"
         )
-        .join(star.regions.select("region_id", "region_name"), "region_id")
+        .join(star.dim_regions.select("region_id", "region_name"), "region_id")
         .select("order_id", "region_name", "year_num", "quarter_num", "full_date", "net_total")
     )
     quarter = ["region_name", "year_num", "quarter_num"]
     in_order = ["full_date", "order_id"]
-    running = running_total(orders, quarter, in_order, "net_total", "running_quarter_revenue")
+    # A slice is a day, and on it a block of order numbers.
+    slices = [F.col("full_date"), F.floor(F.col("order_id") / ORDERS_PER_SLICE)]
+    running = running_total(orders, quarter, in_order, "net_total", "running_quarter_revenue", slices)
     return running.orderBy(*quarter, *in_order)
 
 
@@ -92,7 +93,7 @@ def rep_rank_in_region(star: Star) -> DataFrame:
     matched = (
         revenue.join(quota, quarter)
         .join(reps, ["sales_rep_id", "region_id"])
-        .join(star.regions.select("region_id", "region_name"), "region_id")
+        .join(star.dim_regions.select("region_id", "region_name"), "region_id")
         .select(
             "sales_rep_id",
             "first_name",
@@ -110,7 +111,6 @@ def rep_rank_in_region(star: Star) -> DataFrame:
         matched,
         ["region_name", "year_num", "quarter_num"],
         "attainment",
-        ["sales_rep_id"],
         "rep_rank_in_region",
     )
     return ranked.drop("attainment").orderBy(
@@ -118,6 +118,9 @@ def rep_rank_in_region(star: Star) -> DataFrame:
     )
 
 
+ORDERS_PER_SLICE = 1 << 20
+
+
 class Rfm(NamedTuple):
     """Limits of one segment; None leaves a limit open."""
 
@@ -195,24 +198,20 @@ def products_never_in_high_rev_regions(star: Star, *, min_revenue: int = 1_000_0
     calendar's last twelve months."""
     in_year = F.col("full_date") >= F.add_months(latest(star, "full_date"), -12)
     orders = star.fact_sales_orders.select("order_id", "order_date_id", "region_id", "net_total")
-    high_revenue = (
-        sums(
-            orders.join(star.calendar("order_date_id", where=in_year), "order_date_id"),
-            ["region_id"],
-            revenue=F.col("net_total"),
-        )
-        .filter(F.col("revenue") > min_revenue)
-        .select("region_id")
-    )
+    high_revenue = sums(
+        orders.join(star.calendar("order_date_id", where=in_year), "order_date_id"),
+        ["region_id"],
+        revenue=F.col("net_total"),
+    ).filter(F.col("revenue") > min_revenue)
+    # The regions that a product was sold in are few; folding to them spares a shuffle of the orders by
+    # region, of which one may hold a large share.
     sold_there = (
         star.fact_order_line_items.select("order_id", "product_id")
-        .join(
-            orders.join(high_revenue, "region_id", "left_semi").select("order_id"),
-            "order_id",
-            "left_semi",
-        )
-        .select("product_id")
+        .join(orders.select("order_id", "region_id"), "order_id")
+        .select("product_id", "region_id")
         .distinct()
+        .join(high_revenue, "region_id", "left_semi")
+        .select("product_id")
     )
     return (
         star.dim_products.select("product_id", "product_name", "category_id")
@@ -265,15 +264,16 @@ def customer_qoq_decline(star: Star) -> DataFrame:
 
 def _sales_to_high_value_customers(star: Star) -> DataFrame:
     orders = star.fact_sales_orders.select("order_id", "customer_id", "net_total")
-    # Checkpointed, since both the average and the selection read it. It also lets Spark split the
-    # orders of a busy customer in the join, which it cannot when one side is an aggregate in place.
-    per_customer = checkpointed(sums(orders, ["customer_id"], revenue=F.col("net_total")))
+    per_customer = sums(orders, ["customer_id"], revenue=F.col("net_total"))
     average = per_customer.agg(F.avg("revenue")).scalar()
-    high_value = per_customer.filter(F.col("revenue") > average).select("customer_id")
-    their_orders = orders.join(high_value, "customer_id", "left_semi").select("order_id")
+    high_value = per_customer.filter(F.col("revenue") > average)
+    # The negated key is not the one the aggregate is partitioned by: Spark shuffles both sides of the
+    # join for it, and so can split the orders of a busy customer.
+    key = F.negate("customer_id").alias("customer_id")
+    their_orders = orders.select("order_id", key).join(high_value.select(key), "customer_id", "left_semi")
     lines = star.fact_order_line_items.select("order_id", "product_id", "quantity", "line_total")
     return sums(
-        lines.join(their_orders, "order_id", "left_semi"),
+        lines.join(their_orders.select("order_id"), "order_id", "left_semi"),
         ["product_id"],
         total_quantity_sold=F.col("quantity"),
         total_revenue=F.col("line_total"),
@@ -292,7 +292,7 @@ def products_of_high_value_customers(star: Star) -> DataFrame:
         F.col("product_id"),
     ]
     return (
-        row_number(sold, [], best, "product_rank")
+        row_number(sold, [], best, "product_rank", [magnitude("total_quantity_sold")], descending=True)
         .select("product_rank", "product_id", "product_name", "total_quantity_sold", "total_revenue")
         .orderBy("product_rank")
     )

@@ -1,6 +1,7 @@
-"""Foreign keys, checked by a job since Spark does not enforce them."""
+"""Foreign keys and the uniqueness of what they refer to, checked by a job since Spark enforces neither."""
 
 from functools import reduce
+from itertools import groupby
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -43,38 +44,57 @@ FOREIGN_KEYS = [
     ForeignKey("fk_assignment_startdate", "rep_customer_assignments", "start_date_id", "dim_date", "date_id"),
 ]
 
-_LOOKUPS = {"dim_date": "dates", "dim_regions": "regions", "dim_categories": "categories"}
 
 
 def referential_integrity_report(star: Star) -> DataFrame:
-    """Rows per constraint, those with a key, and those whose key has no parent. A NULL key is not a
-    violation."""
-    return reduce(DataFrame.unionByName, [_check(star, key) for key in FOREIGN_KEYS])
+    """Per foreign key, the rows with a key and those whose key has no parent; per referenced key, the rows
+    with one and those that repeat it.
 
-
-def _check(star: Star, fk: ForeignKey) -> DataFrame:
-    parent = getattr(star, _LOOKUPS.get(fk.parent, fk.parent))
-    # Child rows fold to one row per key, so a key shared by many rows moves and joins once.
-    per_key = (
-        getattr(star, fk.child)
-        .select(F.col(fk.column).alias("key"))
-        .dropna()
-        .groupBy("key")
-        .agg(F.count(F.lit(1)).alias("rows"))
+    NULL keys are neither checked nor a violation. A parent that is there several times counts once for its
+    children. Every table is read once: its rows unfold to one for each constraint, which fold again to one
+    per constraint and key before they move.
+    """
+    referenced = dict.fromkeys((fk.parent, fk.key) for fk in FOREIGN_KEYS)
+    children = [_keys(star, child, [(fk.name, fk.column) for fk in own]) for child, own in _by_child()]
+    parents = [_keys(star, table, [(table, key)]) for table, key in referenced]
+    per_key, per_parent = (
+        reduce(DataFrame.unionByName, tables).groupBy("checked", "key").agg(F.count(F.lit(1)).alias("rows"))
+        for tables in (children, parents)
+    )
+    constraints = [
+        *[(fk.name, fk.name, fk.child, fk.column, fk.parent) for fk in FOREIGN_KEYS],
+        *[(f"uq_{table}_{key}", table, table, key, table) for table, key in referenced],
+    ]
+    names = ["constraint_name", "checked", "child_table", "child_column", "parent_table"]
+    listed = [F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names, strict=True)]) for row in constraints]
+    wanted = star.dim_date.sparkSession.range(1).select(F.inline(F.array(*listed)))
+    found = per_parent.select(F.col("checked").alias("parent_table"), "key", F.lit(True).alias("found"))
+    parent_of = wanted.select("checked", "parent_table")
+    missing = F.when(F.col("found").isNull(), F.col("rows"))
+    checked = (
+        per_key.join(F.broadcast(parent_of), "checked")  # one row per constraint, a fixed number
+        .join(found, ["parent_table", "key"], "left")
+        .select("checked", "rows", F.coalesce(missing, F.lit(0)).alias("faults"))
+        .unionByName(per_parent.select("checked", "rows", (F.col("rows") - 1).alias("faults")))
+        .groupBy("checked")
+        .agg(F.sum("rows").alias("checked_rows"), F.sum("faults").alias("violations"))
     )
-    parents = parent.select(F.col(fk.key).alias("key"), F.lit(True).alias("found"))
-    return (
-        per_key.join(parents, "key", "left")
-        .agg(
-            F.coalesce(F.sum("rows"), F.lit(0)).alias("checked_rows"),
-            F.coalesce(F.sum(F.when(F.col("found").isNull(), F.col("rows"))), F.lit(0)).alias("violations"),
-        )
-        .select(
-            F.lit(fk.name).alias("constraint_name"),
-            F.lit(fk.child).alias("child_table"),
-            F.lit(fk.column).alias("child_column"),
-            F.lit(fk.parent).alias("parent_table"),
-            "checked_rows",
-            "violations",
-        )
+    none = F.lit(0)
+    return wanted.join(checked, "checked", "left").select(
+        "constraint_name",
+        "child_table",
+        "child_column",
+        "parent_table",
+        F.coalesce("checked_rows", none).alias("checked_rows"),
+        F.coalesce("violations", none).alias("violations"),
     )
+
+
+def _by_child():
+    return [(child, [*own]) for child, own in groupby(sorted(FOREIGN_KEYS, key=lambda fk: fk.child), lambda fk: fk.child)]
+
+
+def _keys(star: Star, table: str, columns: list[tuple[str, str]]) -> DataFrame:
+    """(checked, key): the keys of each row as text, under the name they are checked by."""
+    keys = [F.struct(F.lit(name).alias("checked"), F.col(c).cast("string").alias("key")) for name, c in columns]
+    return getattr(star, table).select(F.inline(F.array(*keys))).dropna(subset="key")

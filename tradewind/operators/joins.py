@@ -15,7 +15,7 @@ def full_order_summary(star: Star) -> DataFrame:
     the order side is a fraction of the lines, so its joins move far fewer rows."""
     orders = (
         star.fact_sales_orders.select("order_id", "customer_id", "region_id", "sales_rep_id")
-        .join(star.regions.select("region_id", "region_name"), "region_id")
+        .join(star.dim_regions.select("region_id", "region_name"), "region_id")
         .join(star.dim_customers.select("customer_id", "customer_name", "country_name"), "customer_id")
         .join(star.dim_sales_reps.select("sales_rep_id", "first_name", "last_name"), "sales_rep_id")
     )
@@ -104,7 +104,7 @@ def geo_revenue_rollup(star: Star) -> DataFrame:
     levels = ["country_name", "region_name", "territory_name"]
     places = (
         _revenue_by_customer_and_region(star)
-        .join(star.regions.select("region_id", "region_name", "territory_name"), "region_id")
+        .join(star.dim_regions.select("region_id", "region_name", "territory_name"), "region_id")
         .join(star.dim_customers.select("customer_id", "country_name"), "customer_id")
     )
     # The roll-up repeats its input once per level, so it runs over the finest totals only.
@@ -156,7 +156,7 @@ def revenue_customer_region_country(star: Star) -> DataFrame:
     """Revenue by customer name and region country; customers of one name add up."""
     return (
         _revenue_by_customer_and_region(star)
-        .join(star.regions.select("region_id", "country_name"), "region_id")
+        .join(star.dim_regions.select("region_id", "country_name"), "region_id")
         .join(star.dim_customers.select("customer_id", "customer_name"), "customer_id")
         .groupBy("customer_name", "country_name")
         .agg(F.sum("revenue").alias("total_revenue"))
@@ -167,7 +167,7 @@ def revenue_customer_region_country(star: Star) -> DataFrame:
 def unit_price_vs_cost(star: Star) -> DataFrame:
     products = star.dim_products.select(
         "product_id", "product_name", "sku", "category_id", "unit_cost"
-    ).join(star.categories.select("category_id", "category_name"), "category_id")
+    ).join(star.dim_categories.select("category_id", "category_name"), "category_id")
     total, units, cost = F.col("line_total"), F.col("quantity"), F.col("unit_cost")
     return (
         star.fact_order_line_items.select("line_item_id", "order_id", "product_id", "quantity", "line_total")
@@ -202,7 +202,7 @@ def customer_order_performance(star: Star) -> DataFrame:
     )
     names = ["customer_id", "customer_name", "country_name", "region_name", "first_name", "last_name"]
     return (
-        per_ids.join(star.regions.select("region_id", "region_name"), "region_id")
+        per_ids.join(star.dim_regions.select("region_id", "region_name"), "region_id")
         .join(star.dim_sales_reps.select("sales_rep_id", "first_name", "last_name"), "sales_rep_id")
         .join(star.dim_customers.select("customer_id", "customer_name", "country_name"), "customer_id")
         .groupBy(*names)
@@ -238,7 +238,7 @@ def returns_by_product_region(star: Star) -> DataFrame:
         )
     )
     return (
-        per_ids.join(star.regions.select("region_id", "region_name"), "region_id")
+        per_ids.join(star.dim_regions.select("region_id", "region_name"), "region_id")
         .groupBy("product_id", "region_name")
         .agg(
             F.sum("returns").alias("total_returns"),

@@ -186,8 +186,7 @@ def _per_product(star: Star) -> DataFrame:
     A line's margin is 100 - 100 * unit cost * quantity / total, so the count of lines and the sum of
     quantity / total are enough. A line without a total has no margin.
     """
-    total = F.nullif("line_total", F.lit(0).cast("decimal(14,2)"))
-    units_per_money = F.col("quantity").cast("double") / total.cast("double")
+    units_per_money = quotient(F.col("quantity"), F.col("line_total"), "decimal(24,14)")
     return star.fact_order_line_items.groupBy("product_id").agg(
         F.count(units_per_money).alias("lines"),
         F.sum(units_per_money).alias("units_per_money"),
@@ -196,9 +195,11 @@ def _per_product(star: Star) -> DataFrame:
 
 
 def _mean_margin() -> Column:
-    cost = F.col("unit_cost").cast("double")
+    cost = F.col("unit_cost").cast("decimal(12,2)")
     lines = F.when(F.col("unit_cost").isNotNull(), F.col("lines"))
-    return 100.0 - 100.0 * F.sum(cost * F.col("units_per_money")) / F.nullif(F.sum(lines), F.lit(0))
+    cost_per_money = F.sum(cost * F.col("units_per_money").cast("decimal(24,14)")).cast("decimal(28,16)")
+    share = cost_per_money / F.nullif(F.sum(lines), F.lit(0)).cast("decimal(18,0)")
+    return 100 - share.cast("decimal(28,14)") * 100
 
 
 def low_margin_categories(star: Star, *, max_margin: int = 25) -> DataFrame:
@@ -250,12 +251,14 @@ def frequent_low_value_customers(
 ) -> DataFrame:
     """Customers with more than ``min_orders`` orders in the last full year, worth less than
     ``max_order_value`` on average."""
-    value = per_order(star, value=F.col("line_total"))
     in_year = F.col("year_num") == last_full_year(star, as_of)
+    orders = star.fact_sales_orders.select("order_id", "order_date_id", "customer_id").join(
+        star.calendar("order_date_id", where=in_year), "order_date_id"
+    )
+    # The year's orders pick their lines before these fold.
+    lines = star.fact_order_line_items.join(orders.select("order_id"), "order_id", "left_semi")
     per_customer = (
-        star.fact_sales_orders.select("order_id", "order_date_id", "customer_id")
-        .join(star.calendar("order_date_id", where=in_year), "order_date_id")
-        .join(value, "order_id")
+        orders.join(sums(lines, ["order_id"], value=F.col("line_total")), "order_id")
         .groupBy("customer_id")
         .agg(F.count("order_id").alias("total_orders"), F.sum("value").alias("value"))
     )

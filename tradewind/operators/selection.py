@@ -82,9 +82,7 @@ def product_price_rank(star: Star) -> DataFrame:
     active = star.dim_products.filter("is_active").select(
         "product_id", "product_name", "category_id", "list_price", "unit_cost"
     )
-    return rank_descending(
-        active, ["category_id"], "list_price", ["product_id"], "price_rank_in_category"
-    )
+    return rank_descending(active, ["category_id"], "list_price", "price_rank_in_category")
 
 
 def product_margin_band(star: Star, *, high: int = 60, medium: int = 30) -> DataFrame:
@@ -245,7 +243,7 @@ def gross_rev_month_region_country(star: Star) -> DataFrame:
         star.fact_sales_orders.select("order_id", "order_date_id", "region_id")
         .join(gross, "order_id")
         .join(star.calendar("order_date_id", "year_num", "month_num"), "order_date_id")
-        .join(star.regions.select("region_id", "country_name"), "region_id")
+        .join(star.dim_regions.select("region_id", "country_name"), "region_id")
         .groupBy("year_num", "month_num", "country_name")
         .agg(F.sum("gross_revenue").cast("decimal(28,2)").alias("gross_revenue"))
         .orderBy("year_num", "month_num", "country_name")
@@ -257,7 +255,7 @@ def aov_region_month(star: Star) -> DataFrame:
     return (
         star.fact_sales_orders.select("order_id", "order_date_id", "region_id", "net_total")
         .join(star.calendar("order_date_id", "year_num", "month_num"), "order_date_id")
-        .join(star.regions.select("region_id", "region_name"), "region_id")
+        .join(star.dim_regions.select("region_id", "region_name"), "region_id")
         .groupBy("year_num", "month_num", "region_name")
         .agg(F.sum("net_total").alias("net"), F.count("order_id").alias("order_count"))
         .select(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tradewind.functions.ratios import percent_ratio
 from tradewind.functions.slices import rank_descending
-from tradewind.functions.storage import checkpointed
 from tradewind.operators.facts import sums
 from tradewind.plans.summaries import (
     monthly_sales,
@@ -21,7 +20,7 @@ from tradewind.plans.summaries import (
     sum_rep_quota_attainment,
     sum_returns_metrics,
 )
-from tradewind.star import Star, present
+from tradewind.star import Star
 
 
 def monthly_trend(star: Star) -> DataFrame:
@@ -37,9 +36,7 @@ def monthly_trend(star: Star) -> DataFrame:
 
 
 def product_performance(star: Star) -> DataFrame:
-    return rank_descending(
-        sum_product_metrics(star), ["category_id"], "net_revenue", ["product_id"], "category_rank"
-    )
+    return rank_descending(sum_product_metrics(star), ["category_id"], "net_revenue", "category_rank")
 
 
 def rep_performance_scorecard(star: Star) -> DataFrame:
@@ -48,7 +45,7 @@ def rep_performance_scorecard(star: Star) -> DataFrame:
     The year is the latest with a quota, the quarter the latest of that year with a quarterly one.
     Year-to-date customers add up the months.
     """
-    dated = star.fact_quotas.filter(present("sales_rep_id", "region_id")).join(
+    dated = star.assigned_quotas.join(
         star.calendar("date_id", "year_num", "quarter_num"), "date_id"
     )
     last_year = dated.agg(F.max("year_num")).scalar()
@@ -101,7 +98,6 @@ def rep_performance_scorecard(star: Star) -> DataFrame:
         results.withColumn("quota_attainment_pct", attainment),
         ["region_id", "year_num", "period_scope"],
         "quota_attainment_pct",
-        ["sales_rep_id", "quota_date", "quota"],
         "regional_rank",
     )
     return ranked.select(
@@ -171,16 +167,16 @@ def sales_executive_summary(star: Star) -> DataFrame:
     """Region sales by month with the attainment of all quotas of that region name and month; zero
     without quotas.
 
-    Both sides come from the same sales, checkpointed per rep, region and month, so that the lines
-    are read and shuffled once.
+    Both sides come from the same sales per rep, region and month, so that Spark can read and shuffle the
+    lines once for both.
     """
-    sales = checkpointed(monthly_sales(star, "sales_rep_id", "region_id"))
+    sales = monthly_sales(star, "sales_rep_id", "region_id")
     rep = ["sales_rep_id"]
     per_rep = sums(sales, [*rep, "year_num", "quarter_num", "month_num"], revenue=F.col("revenue"))
     attained = quota_attainment(star, period_sales(per_rep, rep))
     keys = ["region_name", "year_num", "quarter_num", "month_num"]
     quotas = sums(
-        attained.join(star.regions.select("region_id", "region_name"), "region_id"),
+        attained.join(star.dim_regions.select("region_id", "region_name"), "region_id"),
         keys,
         actual_revenue=F.col("actual_revenue"),
         quota_target=F.col("quota_target"),

@@ -2,7 +2,7 @@
 
 Each gives what grouping the wide tier 1 record would give, but reads only the tables whose columns
 it reports: lines fold per order, customer or product first and meet large dimensions as one row
-per key. ``Star`` states why dimensions that contribute no column can be left out.
+per key. Dimensions that contribute no column are only looked up, by orders, as ``Star`` states.
 """
 
 from datetime import date
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tradewind.functions.ratios import percent_ratio, ratio
 from tradewind.operators.advanced import Rfm, segment
 from tradewind.operators.facts import sums
-from tradewind.star import Star, present
+from tradewind.star import Star
 
 # Fixed values
 LIFETIME_SEGMENTS = {
@@ -27,10 +27,14 @@ LIFETIME_SEGMENTS = {
 _PERIOD = ["sales_rep_id", "quota_period_type", "year_num", "period_num"]
 
 
-def _orders_with(star: Star, columns: list[str], **measures: Column) -> DataFrame:
-    """Sold orders with ``columns`` and the sums of their lines."""
-    lines = sums(star.sold_lines, ["order_id"], **measures)
-    return star.sold_orders.select("order_id", *columns).join(lines, "order_id")
+def _orders_with(star: Star, columns: list[str], when: Column | None = None, **measures: Column) -> DataFrame:
+    """Sold orders with ``columns`` and the sums of their lines; ``when`` limits their dates, and then the
+    lines that are summed."""
+    orders, lines = star.sold_orders.select("order_id", *columns), star.sold_lines
+    if when is not None:
+        orders = orders.join(star.calendar("order_date_id", where=when), "order_date_id", "left_semi")
+        lines = lines.join(orders.select("order_id"), "order_id", "left_semi")
+    return orders.join(sums(lines, ["order_id"], **measures), "order_id")
 
 
 def sum_monthly_country_sales(star: Star) -> DataFrame:
@@ -44,7 +48,7 @@ def sum_monthly_country_sales(star: Star) -> DataFrame:
     return (
         orders.join(star.calendar("order_date_id", "year_num", "month_num", "month_name"), "order_date_id")
         .join(
-            star.regions.select("region_id", F.col("country_name").alias("region_country_name")),
+            star.dim_regions.select("region_id", F.col("country_name").alias("region_country_name")),
             "region_id",
         )
         .groupBy("region_country_name", "year_num", "month_num", "month_name")
@@ -72,20 +76,18 @@ def _return_rate(units: Column) -> Column:
 
 
 def sum_product_metrics(star: Star) -> DataFrame:
-    # Lines need only know that their order is complete, so the few incomplete orders are taken
-    # out instead of joining every line to its order.
-    lines = star.sold_lines.join(star.unsold_order_ids, "order_id", "left_anti")
+    lines = star.sold_lines.join(star.sold_orders.select("order_id"), "order_id", "left_semi")
     sold = sums(
         lines, ["product_id"], total_units_sold=F.col("quantity"), net_revenue=F.col("line_total")
     )
     returned = sums(
-        _returned_lines(star).join(star.unreturnable_order_ids, "order_id", "left_anti"),
+        _returned_lines(star).join(star.returnable_orders.select("order_id"), "order_id", "left_semi"),
         ["product_id"],
         returned_units=F.col("returned_units"),
     )
     products = star.dim_products.select(
         "product_id", "sku", "product_name", "category_id", "unit_cost"
-    ).join(star.categories.select("category_id", "category_name"), "category_id")
+    ).join(star.dim_categories.select("category_id", "category_name"), "category_id")
     units, revenue = F.col("total_units_sold"), F.col("net_revenue")
     return (
         sold.join(returned, "product_id", "left")
@@ -203,8 +205,7 @@ def quota_attainment(star: Star, sales: DataFrame, *, when: Column | None = None
         F.col("quota_period_type") == "Quarterly", F.col("quarter_num")
     )
     quotas = (
-        star.fact_quotas.filter(present("sales_rep_id", "region_id"))
-        .groupBy(*quota_keys)
+        star.assigned_quotas.groupBy(*quota_keys)
         .agg(F.count(F.lit(1)).alias("copies"))
         .join(
             star.calendar(
@@ -231,11 +232,8 @@ def sum_rep_quota_attainment(star: Star, *, year: Column | None = None) -> DataF
     """Sales against each quota; ``year`` limits it to one year."""
     when = None if year is None else F.col("year_num") == year
     orders = _orders_with(
-        star, ["sales_rep_id", "customer_id", "order_date_id"], revenue=F.col("line_total")
-    ).join(
-        star.calendar("order_date_id", "year_num", "quarter_num", "month_num", where=when),
-        "order_date_id",
-    )
+        star, ["sales_rep_id", "customer_id", "order_date_id"], when, revenue=F.col("line_total")
+    ).join(star.calendar("order_date_id", "year_num", "quarter_num", "month_num"), "order_date_id")
     keys = ["sales_rep_id", "customer_id"]
     monthly = sums(
         orders, [*keys, "year_num", "quarter_num", "month_num"], revenue=F.col("revenue")
@@ -243,7 +241,7 @@ def sum_rep_quota_attainment(star: Star, *, year: Column | None = None) -> DataF
     reps = star.dim_sales_reps.select("sales_rep_id", "employee_code", "first_name", "last_name")
     return (
         quota_attainment(star, period_sales(monthly, keys), when=when)
-        .join(star.regions.select("region_id", "region_name", "country_name"), "region_id")
+        .join(star.dim_regions.select("region_id", "region_name", "country_name"), "region_id")
         .join(reps, "sales_rep_id")
         .select(
             "sales_rep_id",
@@ -274,9 +272,9 @@ def sum_returns_metrics(star: Star) -> DataFrame:
     periods = ["year_num", "quarter_num", "month_num"]
     place = ["category_name", "country_name", *periods]
     categories = star.dim_products.select("product_id", "category_id").join(
-        star.categories.select("category_id", "category_name"), "category_id"
+        star.dim_categories.select("category_id", "category_name"), "category_id"
     )
-    countries = star.regions.select("region_id", "country_name")
+    countries = star.dim_regions.select("region_id", "country_name")
 
     # Units fold per order and category, so that each order meets few rows.
     lines = star.sold_lines.select("order_id", "product_id", "quantity").join(categories, "product_id")
@@ -348,7 +346,7 @@ def monthly_sales(star: Star, *keys: str) -> DataFrame:
 
 def region_report(star: Star, sales: DataFrame) -> DataFrame:
     """``monthly_sales`` that have the region among their keys, by region, country and territory."""
-    places = star.regions.select(
+    places = star.dim_regions.select(
         "region_id", "region_name", F.col("country_name").alias("region_country_name"), "territory_name"
     )
     keys = [

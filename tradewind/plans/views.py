@@ -31,18 +31,10 @@ def _views(as_of: date) -> dict[str, Callable[[Star], DataFrame]]:
     }
 
 
-# These read rows checkpointed on the way, so registering them already runs most of their work.
-CHECKPOINTED_VIEWS = (
-    "vw_product_performance",
-    "vw_rep_performance_scorecard",
-    "vw_sales_executive_summary",
-)
-
-
 def register_views(star: Star, *, as_of: date, names: Iterable[str] | None = None) -> list[str]:
     """Create the twelve tables and the named views (all by default) in the current session.
 
-    Name the views you need if that leaves out any of ``CHECKPOINTED_VIEWS``.
+    No view runs until it is queried, and each follows the tables.
     """
     views = _views(as_of)
     chosen = list(views) if names is None else list(names)

@@ -14,7 +14,6 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.functions.storage import checkpointed
 from tradewind.schema import struct_of
 from tradewind.star import Star
 
@@ -37,13 +36,12 @@ def load_star(spark: SparkSession, folder: str) -> Star:
     reps = source["supplier"].count()
     nations = source["nation"].count()
     tables = {
-        # Ten size bands at most; checkpointed so that queries do not rescan the parts for them.
-        "dim_categories": checkpointed(_categories(source["part"])),
+        "dim_categories": _categories(source["part"]),
         "dim_products": _products(source["part"]),
         "dim_regions": _regions(source["nation"], source["region"]),
         "dim_sales_reps": _sales_reps(source["supplier"]),
         "dim_customers": _customers(source["customer"], source["nation"]),
-        "dim_date": calendar(spark, first, last),
+        "dim_date": calendar(source["orders"], "o_orderdate"),
         "fact_sales_orders": _sales_orders(source["orders"], reps, nations, last),
         "fact_order_line_items": _line_items(source["lineitem"]),
         "fact_returns": _returns(source["lineitem"], last),
@@ -54,9 +52,10 @@ def load_star(spark: SparkSession, folder: str) -> Star:
     return Star(**{name: _typed(name, df) for name, df in tables.items()})
 
 
-def calendar(spark: SparkSession, first: date, last: date) -> DataFrame:
-    day = F.date_add(F.lit(first), F.col("id").cast("int"))
-    days = spark.range((last - first).days + 1).select(day.alias("full_date"))
+def calendar(days: DataFrame, column: str) -> DataFrame:
+    """Every day from the first to the last in ``column``."""
+    bounds = days.select(F.col(column).cast("date").alias("day")).agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    days = bounds.dropna().select(F.explode(F.sequence("first", "last")).alias("full_date"))
     return days.select(
         date_id("full_date").alias("date_id"),
         "full_date",

@@ -5,42 +5,29 @@ lines per order and joins them without shuffling either.
 """
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tradewind.schema import struct_of
 from tradewind.star import Star
 
 BUCKETED_BY_ORDER = ("fact_sales_orders", "fact_order_line_items")
-# A bucket is read by one task, so one order must not fill it.
-MAX_LINES_PER_ORDER = 1_000_000
-
-
-def save_star(
-    star: Star,
-    database: str,
-    *,
-    buckets: int,
-    max_lines_per_order: int = MAX_LINES_PER_ORDER,
-) -> bool:
-    """Write all tables to ``database``; true if orders and lines could be bucketed.
-
-    With about ``total size / 1 GB`` buckets each is a fair task. If any order has more lines than
-    ``max_lines_per_order``, the tables are left unbucketed and Spark shuffles as usual, where it
-    can split such an order.
+
+
+def save_star(star: Star, database: str, *, buckets: int | None = None) -> None:
+    """Write all tables to ``database``, orders and lines in ``buckets`` by order if that is given.
+
+    With about ``total size / 1 GB`` buckets each is a fair task. One task reads a bucket whole, so leave
+    ``buckets`` out if a single order may fill one: Spark then shuffles lines and can split such an order.
     """
     spark = star.dim_date.sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    bucketed = _most_lines(star.fact_order_line_items) <= max_lines_per_order
     for name in Star.names():
-        writer = getattr(star, name).write.mode("overwrite").format("parquet")
-        if bucketed and name in BUCKETED_BY_ORDER:
+        rows = getattr(star, name)
+        if buckets and name in BUCKETED_BY_ORDER:
             # One task per bucket before the write keeps it to one file per bucket.
-            rows = getattr(star, name).repartition(buckets, "order_id")
-            writer = (
-                rows.write.mode("overwrite").format("parquet").bucketBy(buckets, "order_id").sortBy("order_id")
-            )
-        writer.saveAsTable(f"{database}.{name}")
-    return bucketed
+            writer = rows.repartition(buckets, "order_id").write.bucketBy(buckets, "order_id").sortBy("order_id")
+        else:
+            writer = rows.write
+        writer.mode("overwrite").format("parquet").saveAsTable(f"{database}.{name}")
 
 
 def table_star(spark: SparkSession, database: str) -> Star:
@@ -49,8 +36,3 @@ def table_star(spark: SparkSession, database: str) -> Star:
         columns = struct_of(name).fieldNames()
         tables[name] = spark.table(f"{database}.{name}").select(columns)
     return Star(**tables)
-
-
-def _most_lines(lines: DataFrame) -> int:
-    most = lines.groupBy("order_id").count().agg(F.max("count")).first()[0]
-    return most or 0

@@ -1,16 +1,10 @@
 """The twelve tables that every operator takes."""
 
 from dataclasses import dataclass, fields
-from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.functions.storage import broadcast_if_small
-
-RETURNABLE_KEYS = ("customer_id", "sales_rep_id", "region_id")
-SOLD_KEYS = (*RETURNABLE_KEYS, "order_date_id")
-
 
 @dataclass(frozen=True)
 class Star:
@@ -31,60 +25,46 @@ class Star:
     def names(cls) -> list[str]:
         return [field.name for field in fields(cls)]
 
-    # Dates, regions and categories are joined by nearly every query. Each is counted once per
-    # star and then broadcast if it is small. Customers, products and reps grow with the business:
-    # they carry no hint, so Spark broadcasts or shuffles them by their statistics.
-
-    @cached_property
-    def dates(self) -> DataFrame:
-        return broadcast_if_small(self.dim_date)
-
-    @cached_property
-    def regions(self) -> DataFrame:
-        return broadcast_if_small(self.dim_regions)
-
-    @cached_property
-    def categories(self) -> DataFrame:
-        return broadcast_if_small(self.dim_categories)
+    # No join carries a broadcast hint: Spark decides by the tables' statistics, in bytes, whenever it plans
+    # and again at run time, so a table that has grown is shuffled.
 
     def calendar(self, key: str, *columns: str | Column, where: Column | None = None) -> DataFrame:
         """Dates in one of their roles: the date key renamed to the fact's column ``key``."""
-        dates = self.dates if where is None else self.dates.filter(where)
+        dates = self.dim_date if where is None else self.dim_date.filter(where)
         return dates.select(F.col("date_id").alias(key), *columns)
 
-    # Facts a base view keeps. Its inner joins drop a row only where a foreign key is NULL, since
-    # the schema's constraints promise a parent otherwise (operators.integrity checks them). So
-    # the summaries test the keys instead of joining customers, products and reps for nothing.
+    # The rows that the inner joins of a base view keep: those whose keys all have a parent. Spark enforces
+    # no foreign key, so the summaries look the parents up, but at the grain of orders and without their
+    # columns. Duplicate parents, which the wide joins would multiply, are left to operators.integrity.
 
-    @cached_property
+    @property
     def sold_lines(self) -> DataFrame:
-        """Lines with an order and a product that has a category."""
-        uncategorised = self.dim_products.filter(F.col("category_id").isNull()).select("product_id")
-        lines = self.fact_order_line_items.filter(present("order_id", "product_id"))
-        return lines.join(broadcast_if_small(uncategorised), "product_id", "left_anti")
+        """Lines of products that have a category. Whether they have an order shows when they meet it."""
+        products = self.dim_products.select("product_id", "category_id").join(
+            self.dim_categories.select("category_id"), "category_id", "left_semi"
+        )
+        return self.fact_order_line_items.join(products.select("product_id"), "product_id", "left_semi")
 
     @property
     def sold_orders(self) -> DataFrame:
         """Orders with customer, rep, region and order date."""
-        return self.fact_sales_orders.filter(present(*SOLD_KEYS))
+        return self.returnable_orders.join(self.calendar("order_date_id"), "order_date_id", "left_semi")
 
     @property
     def returnable_orders(self) -> DataFrame:
         """Orders with customer, rep and region."""
-        return self.fact_sales_orders.filter(present(*RETURNABLE_KEYS))
+        orders = self.fact_sales_orders
+        for parent, key in (
+            (self.dim_regions, "region_id"),
+            (self.dim_sales_reps, "sales_rep_id"),
+            (self.dim_customers, "customer_id"),
+        ):
+            orders = orders.join(parent.select(key), key, "left_semi")
+        return orders
 
-    @cached_property
-    def unsold_order_ids(self) -> DataFrame:
-        return self._orders_lacking(SOLD_KEYS)
-
-    @cached_property
-    def unreturnable_order_ids(self) -> DataFrame:
-        return self._orders_lacking(RETURNABLE_KEYS)
-
-    def _orders_lacking(self, keys: tuple[str, ...]) -> DataFrame:
-        return broadcast_if_small(self.fact_sales_orders.filter(~present(*keys)).select("order_id"))
-
-
-def present(*columns: str) -> Column:
-    """None of ``columns`` is NULL."""
-    return reduce(Column.__and__, [F.col(column).isNotNull() for column in columns])
+    @property
+    def assigned_quotas(self) -> DataFrame:
+        """Quotas with rep and region."""
+        return self.fact_quotas.join(self.dim_sales_reps.select("sales_rep_id"), "sales_rep_id", "left_semi").join(
+            self.dim_regions.select("region_id"), "region_id", "left_semi"
+        )
