@@ -277,7 +277,7 @@ def sum_returns_metrics(star: Star) -> DataFrame:
     countries = star.dim_regions.select("region_id", "country_name")
 
     # Units fold per order and category, so that each order meets few rows.
-    lines = star.sold_lines.select("order_id", "product_id", "quantity").join(categories, "product_id")
+    lines = star.fact_order_line_items.select("order_id", "product_id", "quantity").join(categories, "product_id")
     sold = sums(
         sums(lines, ["order_id", "category_name"], units=F.col("quantity"))
         .join(star.sold_orders.select("order_id", "order_date_id", "region_id"), "order_id")
@@ -289,7 +289,7 @@ def sum_returns_metrics(star: Star) -> DataFrame:
 
     returned = (
         star.fact_returns.join(star.calendar("return_date_id", *periods), "return_date_id")
-        .join(star.sold_lines.select("line_item_id", "order_id", "product_id"), "line_item_id")
+        .join(star.fact_order_line_items.select("line_item_id", "order_id", "product_id"), "line_item_id")
         .join(star.returnable_orders.select("order_id", "region_id"), "order_id")
     )
     measures = [
@@ -322,8 +322,8 @@ def sum_returns_metrics(star: Star) -> DataFrame:
 def monthly_sales(star: Star, *keys: str) -> DataFrame:
     """Revenue, cost and orders by the order's ``keys`` and month."""
     months = ["year_num", "quarter_num", "month_num", "month_name"]
-    lines = star.sold_lines.select("order_id", "product_id", "quantity", "line_total").join(
-        star.dim_products.select("product_id", "unit_cost"), "product_id"
+    lines = star.fact_order_line_items.select("order_id", "product_id", "quantity", "line_total").join(
+        star.sold_products.select("product_id", "unit_cost"), "product_id"
     )
     per_order = sums(
         lines,

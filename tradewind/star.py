@@ -37,13 +37,15 @@ class Star:
     # no foreign key, so the summaries look the parents up, but at the grain of orders and without their
     # columns. Duplicate parents, which the wide joins would multiply, are left to operators.integrity.
 
+    @property
+    def sold_products(self) -> DataFrame:
+        """Products that have a category."""
+        return self.dim_products.join(self.dim_categories.select("category_id"), "category_id", "left_semi")
+
     @property
     def sold_lines(self) -> DataFrame:
-        """Lines of products that have a category. Whether they have an order shows when they meet it."""
-        products = self.dim_products.select("product_id", "category_id").join(
-            self.dim_categories.select("category_id"), "category_id", "left_semi"
-        )
-        return self.fact_order_line_items.join(products.select("product_id"), "product_id", "left_semi")
+        """Lines of sold products. Whether they have an order shows when they meet it."""
+        return self.fact_order_line_items.join(self.sold_products.select("product_id"), "product_id", "left_semi")
 
     @property
     def sold_orders(self) -> DataFrame:
