@@ -46,6 +46,15 @@ def test_csv_flags_open_ends_and_mangled_times(spark, extract):
     assert rows[6].end_date_id is None and rows[5].created_at == "09:08.7"
 
 
+def test_all_extracts_of_a_folder(spark, extract, tmp_path):
+    for table in csv.EXTRACTS:
+        extract(table, [], "\n")
+    tables_ = csv.read_extracts(spark, str(tmp_path))
+    assert sorted(tables_) == sorted(csv.EXTRACTS) and len(tables_) == 7
+    for name, table in tables_.items():
+        assert table.columns == struct_of(name).fieldNames() and table.count() == 0
+
+
 def test_csv_refuses_another_table(spark, extract):
     path = extract("dim_regions", ["1,Mali,Africa,West,ML,true,1/1/2024"], "\n")
     with pytest.raises(Exception, match="(?i)header|schema"):

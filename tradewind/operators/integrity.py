@@ -51,8 +51,8 @@ def referential_integrity_report(star: Star) -> DataFrame:
     with one and those that repeat it.
 
     NULL keys are neither checked nor a violation. A parent that is there several times counts once for its
-    children. Every table is read once: its rows unfold to one for each constraint, which fold again to one
-    per constraint and key before they move.
+    children. A table is read once for all its foreign keys: its rows unfold to one for each constraint, which
+    fold again to one per constraint and key before they move.
     """
     referenced = dict.fromkeys((fk.parent, fk.key) for fk in FOREIGN_KEYS)
     children = [_keys(star, child, [(fk.name, fk.column) for fk in own]) for child, own in _by_child()]

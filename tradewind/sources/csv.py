@@ -7,6 +7,16 @@ from pyspark.sql import types as T
 from tradewind.schema import struct_of
 
 DATE_FORMAT = "M/d/yyyy"
+# The tables that are delivered as extracts.
+EXTRACTS = (
+    "dim_categories",
+    "dim_products",
+    "dim_regions",
+    "dim_sales_reps",
+    "fact_quotas",
+    "product_promotions",
+    "rep_customer_assignments",
+)
 
 
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -21,6 +31,11 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return rows.select([_typed(field).alias(field.name) for field in wanted])
 
 
+def read_extracts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Every table of the star that has an extract, ``<table>.csv`` in ``folder``."""
+    return {table: read_table(spark, f"{folder}/{table}.csv", table) for table in EXTRACTS}
+
+
 def _typed(field: T.StructField):
     text = F.col(field.name)
     if isinstance(field.dataType, T.DateType):
