@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,7 @@ MAX_LANGUAGES = 200
 LANDMARKS = 256
 UNDETERMINED = "und"
 _BATCH = 128
+_HASHES = 1 << 40
 
 
 def slots(text: str) -> np.ndarray:
@@ -102,26 +103,35 @@ def _slots_of(texts: pd.Series) -> pd.Series:
 
 def fit(docs: DataFrame, max_training: int = MAX_TRAINING, landmarks: int = LANDMARKS) -> Languages:
     """Fit on documents with a language whose id has a CRC-32 that is not 2 modulo 4."""
-    usable = docs.select("doc_id", "lang").where(
+    usable = docs.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(_HASHES)).alias("at")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2)
     )
     counted = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    langs = sorted(row["lang"] for row in counted.collect())
-    parts = None
-    for lang in langs:
-        own = usable.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_training)
-        parts = own if parts is None else parts.union(own)
-    if parts is None:
+    counts = {row["lang"]: row["count"] for row in counted.collect()}
+    if not counts:
         return fit_languages(np.zeros((0, SLOTS), bool), np.zeros(0, object), landmarks)
+    # Below a hash that leaves about three times the rows wanted, one task can rank those of a language.
+    below = {lang: max(1, _HASHES * 3 * max_training // n) for lang, n in counts.items()}
+    bound = F.create_map(*[F.lit(x) for pair in below.items() for x in pair])
+    ranked = F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))
+    sample = (
+        usable.where(F.col("at") < F.element_at(bound, F.col("lang")))
+        .distinct()
+        .withColumn("place", ranked)
+        .where(F.col("place") <= max_training)
+        .select("doc_id", "lang")
+    )
     rows = (
         docs.select("doc_id", "lang", "text")
         .where(F.col("text").isNotNull())
-        .join(F.broadcast(parts.distinct()), ["doc_id", "lang"])
+        .join(F.broadcast(sample), ["doc_id", "lang"])
         .select("doc_id", "lang", _slots_of("text").alias("slots"))
+        .groupBy("doc_id", "lang")
+        .agg(F.min("slots").alias("slots"))  # one of the rows that share an id
         .toPandas()
     )
     rows["slots"] = rows["slots"].map(bytes)
-    rows = rows.sort_values(["doc_id", "lang", "slots"])
+    rows = rows.sort_values(["doc_id", "lang"])
     occupied = np.unpackbits(np.frombuffer(b"".join(rows["slots"]), np.uint8).reshape(-1, SLOTS // 8), axis=1)
     return fit_languages(occupied.astype(bool), rows["lang"].to_numpy(dtype=object), landmarks)
 

@@ -151,10 +151,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) ->
         docs.select("doc_id", "text")
         .join(F.broadcast(sample), "doc_id")
         .select("doc_id", "quality", _features_of(raw(F.col("text"))).alias("x"))
+        .groupBy("doc_id", "quality")
+        .agg(F.min("x").alias("x"))  # one of the rows that share an id
         .toPandas()
     )
     rows["x"] = rows["x"].map(bytes)
-    rows = rows.sort_values(["doc_id", "quality", "x"]).head(2 * max_training)
+    rows = rows.sort_values(["doc_id", "quality"])
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, WIDTH)
     return fit_ranking(x, rows["quality"].to_numpy(dtype=np.int64))
 
