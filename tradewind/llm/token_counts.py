@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tradewind.llm.common import written
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -63,7 +65,8 @@ def with_sums(lengths: DataFrame) -> DataFrame:
     ``tokens_kept`` is the total after cutting each document at the limit, ``tokens_total`` the uncut
     total; ``quantile`` is the share of documents that fit.
     """
-    banded = lengths.select(
+    # Written, for both readers below: a row per length, while the texts behind it are encoded once.
+    banded = written(lengths).select(
         "n_tokens",
         "n_docs",
         (F.col("n_docs") * F.col("n_tokens")).alias("tokens"),
