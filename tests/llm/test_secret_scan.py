@@ -61,6 +61,32 @@ def test_checksums():
     ]
 
 
+def test_checksums_hold_before_what_follows():
+    kinds = lambda text: [(k, text[s:e]) for k, s, e in secret_scan.scan(text) if k in ("iban", "card")]
+    card = "4111 1111 1111 1111"
+    for after in (" 12/25", " 123", "-123", " 12 25", " 4 of them", " 5500 0000 0000 0004"):
+        assert kinds(card + after)[0] == ("card", card), after
+    assert kinds("5500 0000 0000 0004 12/25 378282246310005 1234") == [
+        ("card", "5500 0000 0000 0004"),
+        ("card", "378282246310005"),
+    ]
+    assert kinds("4111 1111 1111 1112 123") == kinds("41111111111111112") == []
+    ibans = ["BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S"]
+    for iban in ibans:
+        for after in ("", " BIC", " EUR", " BANK 12", " A", ". X"):
+            assert kinds(iban + after) == [("iban", iban)], after
+        assert kinds(iban + "A") == kinds(iban[:-1]) == []
+
+
+def test_all_countries_and_issuers():
+    kinds = lambda text: [(k, text[s:e]) for k, s, e in secret_scan.scan(text) if k in ("iban", "card")]
+    ibans = "SA0380000000608010167519 TR330006100519786457841326 BR1800360305000010009795493C1 MU17BOMM0101101030300200000MUR"
+    ibans += " AE070331234567890123456 UA213223130000026007233566001 KW81CBKU0000000000001234560101 BG80BNBG96611020345678"
+    assert kinds(ibans) == [("iban", iban) for iban in ibans.split()]
+    cards = "2223003122003222 30569309025904 38520000023237 3530111333300000 6011111111111117 6200000000000005 6440000000000005"
+    assert kinds(cards.replace(" ", ", ")) == [("card", card) for card in cards.split()]
+
+
 def test_report(spark):
     token = _token("z" * 30)
     texts = [None, "", f"é password = '{'k' * 12}' AKIA{'Z' * 14}", f"token={token}", "deadbeefdeadbeef", "nothing"]

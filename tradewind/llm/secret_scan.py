@@ -8,10 +8,13 @@ substring search tell.
 Kinds with an embedded checksum are added to the base kinds:
 
 * ``token``: prefixed access tokens whose last six base-62 digits are the CRC-32 of the thirty before;
-* ``iban``: account numbers with a remainder of 1 modulo 97;
-* ``card``: payment card numbers that pass the Luhn check, after a known issuer prefix.
+* ``iban``: account numbers of the length that their country has, with a remainder of 1 modulo 97;
+* ``card``: payment card numbers of 13 to 19 digits that pass the Luhn check, after a known issuer prefix.
 
-Candidates whose checksum fails are dropped. Spans are in code points, end exclusive. The base kinds
+What follows a number after one blank or hyphen may look like more of it (an expiry date, a CVV, a word in
+capitals), so at each anchor every admissible end is tried: the one that the country's length gives, or
+each end of a group of digits, from the longest to the shortest. Candidates whose checksum fails at all of
+them are dropped. Spans are in code points, end exclusive. The base kinds
 are found as their patterns define, leftmost and non-overlapping for each kind, also inside added spans.
 
 Defined results: a null text counts as empty; an empty text has no spans and the digest of the empty
@@ -41,18 +44,51 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _TOKEN = re.compile(r"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){12,18}")
+_CARD_DIGITS = 13
+
+#: Characters of an account number in each country of the IBAN registry.
+_IBAN_LENGTH = {
+    part[:2]: int(part[2:])
+    for part in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 "
+        "EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 "
+        "KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 "
+        "PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 "
+        "UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
+
+
+def _of_length(length: int) -> re.Pattern:
+    """Account numbers of a length, in groups of four that may have blanks between them."""
+    groups, rest = divmod(length - 4, 4)
+    last = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+    return re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}{last}(?![A-Za-z0-9])")
+
+
+_IBAN_OF = {country: _of_length(length) for country, length in _IBAN_LENGTH.items()}
 
 #: Keywords of each kind, lower case.
 _KEYWORDS = {
     "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),
     "access": ("akia",),
     "token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"),
-    "iban": tuple(
-        "ad at be ch cy cz de dk ee es fi fr gb gr hr hu ie is it li lt lu lv mc mt nl no pl pt ro se si sk sm".split()
+    "iban": tuple(country.lower() for country in _IBAN_LENGTH),
+    "card": (
+        *(str(n) for n in range(2200, 2205)),  # Mir
+        *(str(n) for n in range(2221, 2230)),  # Mastercard, 2221 to 2720
+        *(str(n) for n in range(223, 230)),
+        *("23", "24", "25", "26", "270", "271", "2720"),
+        *("300", "301", "302", "303", "304", "305", "3095", "36", "38", "39"),  # Diners Club
+        *("34", "37"),  # American Express
+        *("3528", "3529", *(str(n) for n in range(353, 359))),  # JCB
+        "4",  # Visa
+        *("51", "52", "53", "54", "55"),  # Mastercard
+        *("50", "56", "57", "58", "6"),  # Maestro, Discover, UnionPay, RuPay
+        *("81", "82"),  # UnionPay, RuPay
     ),
-    "card": ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65"),
 }
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _LOWER = {k: k + 32 for k in range(65, 91)}
@@ -80,26 +116,43 @@ def _lowered(text: str) -> str:
     return low if len(low) == len(text) else text.translate(_LOWER)
 
 
-def _crc_holds(match: re.Match) -> bool:
+def _long_enough(kind: str, group: int):
+    return lambda match: match.end() if len(match[group]) >= MIN_LENGTH[kind] else None
+
+
+def _crc_end(match: re.Match) -> int | None:
     rest, digits = zlib.crc32(match[1].encode()), ""
     for _ in range(6):
         rest, digit = divmod(rest, 62)
         digits = _BASE62[digit] + digits
-    return digits == match[2]
+    return match.end() if digits == match[2] else None
+
+
+def _mod97_end(match: re.Match) -> int | None:
+    whole = _IBAN_OF[match[0][:2]].match(match.string, match.start())
+    if not whole:
+        return None
+    plain = whole[0].replace(" ", "")
+    return whole.end() if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 else None
 
 
-def _mod97_holds(match: re.Match) -> bool:
-    plain = match[0].replace(" ", "")
-    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+def _luhn_holds(digits: list[int]) -> bool:
+    return sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
 
 
-def _luhn_holds(match: re.Match) -> bool:
-    digits = [int(c) for c in match[0] if c.isdigit()][::-1]
-    return sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits)) % 10 == 0
+def _luhn_end(match: re.Match) -> int | None:
+    text, end = match.string, match.end()
+    digits = [int(c) for c in match[0] if c not in " -"]
+    while len(digits) >= _CARD_DIGITS:
+        if not "0" <= text[end : end + 1] <= "9" and _luhn_holds(digits):
+            return end
+        digits.pop()
+        end -= 2 if text[end - 2] in " -" else 1
+    return None
 
 
-def _anchored(text: str, kind: str, starts: list[int], pattern: re.Pattern, holds, own_word: bool) -> list[tuple[str, int, int]]:
-    """Leftmost, non-overlapping matches of a pattern that begin at keyword hits."""
+def _anchored(text: str, kind: str, starts: list[int], pattern: re.Pattern, ends, own_word: bool) -> list[tuple[str, int, int]]:
+    """Leftmost, non-overlapping secrets that begin at keyword hits; ``ends`` tells where one ends, if it is one."""
     spans, free = [], 0
     for start in starts:
         if start < free or own_word and start and text[start - 1].isalnum():
@@ -107,20 +160,21 @@ def _anchored(text: str, kind: str, starts: list[int], pattern: re.Pattern, hold
         match = pattern.match(text, start)
         if not match:
             continue
-        if holds(match):
-            spans.append((kind, *match.span()))
-            free = match.end()
+        end = ends(match)
+        if end is not None:
+            spans.append((kind, start, end))
+            free = end
         elif not own_word:
             free = match.end()  # base kinds: a match that is too short still takes its place
     return spans
 
 
 _RULES = {
-    "assign": (_ASSIGN, lambda m: len(m[1]) >= MIN_LENGTH["assign"], False),
-    "access": (_ACCESS, lambda m: len(m[0]) >= MIN_LENGTH["access"], False),
-    "token": (_TOKEN, _crc_holds, True),
-    "iban": (_IBAN, _mod97_holds, True),
-    "card": (_CARD, _luhn_holds, True),
+    "assign": (_ASSIGN, _long_enough("assign", 1), False),
+    "access": (_ACCESS, _long_enough("access", 0), False),
+    "token": (_TOKEN, _crc_end, True),
+    "iban": (_IBAN, _mod97_end, True),
+    "card": (_CARD, _luhn_end, True),
 }
 
 
@@ -134,8 +188,8 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
             hits.setdefault(kind, []).append(last - size + 1)
     spans = []
     for kind, starts in hits.items():
-        pattern, holds, own_word = _RULES[kind]
-        spans += _anchored(text, kind, sorted(set(starts)), pattern, holds, own_word)
+        pattern, ends, own_word = _RULES[kind]
+        spans += _anchored(text, kind, sorted(set(starts)), pattern, ends, own_word)
     if b"h" * MIN_LENGTH["hex"] in text.encode().translate(_HEX_BYTES):
         spans += [("hex", *match.span()) for match in _HEX.finditer(text)]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
