@@ -60,6 +60,42 @@ def test_report_equals_brute_force(spark, max_words):
         assert tuple(got[i])[1:] == row, texts[i]
 
 
+def test_one_set_of_windows_at_a_time(spark, monkeypatch):
+    """Each broadcast set is bounded and destroyed before the next is fetched."""
+    texts, items = _sample(3)
+    benchmark = spark.createDataFrame([x for x in items if x[0] is not None], "item_id bigint, text string")
+    alive, sizes, plain = [], [], spark.sparkContext.broadcast
+
+    def watched(windows):
+        assert not alive
+        shared = plain(windows)
+        if isinstance(windows, decontam.Windows) and windows.items_of:
+            alive.append(shared)
+            sizes.append(sum(len(w) + len(own) for w, own in windows.items_of.items()))
+            end = shared.destroy
+            monkeypatch.setattr(shared, "destroy", lambda blocking=False: (alive.remove(shared), end(blocking)))
+        return shared
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", watched)
+    got = decontam.report(documents(spark, texts), benchmark, max_words=200)
+    assert len(sizes) > 2 and max(sizes) < 2 * 200 and not alive
+    assert sorted(tuple(r)[1:] for r in got.collect()) == sorted(_brute(texts, [x for x in items if x[0] is not None]))
+
+
+def test_sets_keep_repeated_texts_and_null_items(spark):
+    rng = random.Random(5)
+    item, other = words(rng, 40), words(rng, 40)
+    texts = [" ".join(item), " ".join(item), None, None, " ".join(other), "w1 w2"]
+    docs = documents(spark, texts, ids=[1, 1, 2, 3, None, 5])
+    items = [(7, " ".join(item)), (8, " ".join(item)), (None, " ".join(other)), (9, None)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    one, many = (
+        sorted(map(str, decontam.report(docs, benchmark, max_words=m).collect())) for m in (2_000_000, 100)
+    )
+    assert one == many and len(one) == 6
+    assert sorted(r["n_items"] for r in decontam.report(docs, benchmark, max_words=100).collect()) == [0, 0, 0, 0, 2, 2]
+
+
 def test_clean_keeps_rows_and_columns(spark):
     rng = random.Random(1)
     item = words(rng, 20)

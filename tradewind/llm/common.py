@@ -24,15 +24,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, *by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that a lost executor costs no rerun.
 
-    The shuffle files of the write are no longer needed then, and Spark is told to remove them.
+    Columns in ``by`` partition the files and come last. The shuffle files of the write are no longer needed then, and Spark is told to remove them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid4().hex}"
     with _shuffles_removed(spark):
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

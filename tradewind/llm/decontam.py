@@ -6,8 +6,11 @@ are the block: the shift table gives how far the next window can end at the earl
 which no window can end are skipped. Where the shift is 0, the block's hash selects a bucket of windows
 that end in it, and comparing all their words confirms an occurrence.
 
-Windows are sent to the tasks in sets of at most ``MAX_WORDS`` words, fetched from the distinct windows
-one set at a time; each set is one more pass over the same partitions, without a shuffle.
+The distinct pairs of a window and its item are written once, numbered by hash in sets of about ``MAX_WORDS``
+words. A set at a time is fetched, broadcast and searched for, its hits are written, and the broadcast is
+destroyed before the next is fetched, so neither the driver nor a task holds more than one. Hits are filed by
+the SHA-256 of the text that has them and join the documents after the last set. With a single set, documents
+are searched in one pass without a shuffle.
 
 Defined results: null texts have no words; a document without words is not contaminated; an item without
 words has no window. Items that share an id count once. Rows that share a document id are judged each by
@@ -19,12 +22,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import arrow_map, raw
+from tradewind.llm.common import arrow_map, raw, written
 
 WINDOW = 13
 MAX_WORDS = 2_000_000
@@ -130,54 +135,59 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(words, items): each distinct window and the ids of its items as text."""
+    """(words, item, size): each distinct pair of a window and the id of an item that has it, as text."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, found = [], []
+        ids, found, sizes = [], [], []
         for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             own = words(text)
             for start in range(max(1, len(own) - window + 1) if own else 0):
                 ids.append(item)
                 found.append(b" ".join(own[start : start + window]))
+                sizes.append(min(window, len(own)) + 1)
         return pa.RecordBatch.from_arrays(
-            [pa.array(found, pa.binary()), pa.array(ids, pa.string())], names=["words", "item"]
+            [pa.array(found, pa.binary()), pa.array(ids, pa.string()), pa.array(sizes, pa.int64())],
+            names=["words", "item", "size"],
         )
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), raw(F.col("text")).alias("text"))
-    found = arrow_map(items, rows, "words binary, item string")
-    return found.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return arrow_map(items, rows, "words binary, item string, size bigint").distinct()
 
 
-def window_sets(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> Iterator[Windows]:
-    """The benchmark's windows in sets of bounded size."""
+def _fetched(pairs: DataFrame) -> Windows:
+    """One set of windows, in the driver."""
     own: dict[tuple[bytes, ...], list[str]] = {}
-    size = 0
-    for row in benchmark_windows(benchmark, window).toLocalIterator():
-        key = tuple(bytes(row["words"]).split())
-        own[key] = row["items"]
-        size += len(key) + len(row["items"])
-        if size >= max_words:
-            yield Windows(own)
-            own, size = {}, 0
-    if own:
-        yield Windows(own)
-
-
-def _scan(df: DataFrame, windows: Windows) -> DataFrame:
-    """Add what one set of windows finds to the columns n_words, spans and items."""
-    shared = df.sparkSession.sparkContext.broadcast(windows)
+    for row in pairs.select("words", "item").toLocalIterator():
+        items = own.setdefault(tuple(bytes(row["words"]).split()), [])
+        if row["item"] is not None:
+            items.append(row["item"])
+    return Windows(own)
+
+
+def window_sets(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> tuple[int, Iterator[Windows]]:
+    """The number of sets of bounded size, and the benchmark's windows in them, each fetched when it is asked for."""
+    pairs = written(benchmark_windows(benchmark, window))
+    size = pairs.agg(F.sum("size")).first()[0] or 0
+    n = max(1, -(-size // max_words))
+    if n == 1:
+        return n, (_fetched(pairs) for _ in range(n))
+    number = F.pmod(F.xxhash64("words", "item"), F.lit(n)).cast("int")
+    numbered = written(pairs.withColumn("set", number).repartition(n, "set"), "set")
+    return n, (_fetched(numbered.where(F.col("set") == k)) for k in range(n))
+
+
+def _scan(df: DataFrame, shared: Broadcast) -> DataFrame:
+    """Fill the columns n_words, spans and items with what one set of windows finds."""
     schema = df.schema
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         search = shared.value
         counts, spans, items = [], [], []
-        for text, old_spans, old_items in zip(
-            batch.column("text"), batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True
-        ):
+        for text in batch.column("text"):
             n, found, hit = search.find(text.as_py())
             counts.append(n)
-            spans.append([list(s) for s in _merged([*map(tuple, old_spans), *found])])
-            items.append(sorted({*old_items, *hit}))
+            spans.append([list(s) for s in _merged(found)])
+            items.append(sorted(hit))
         columns = {
             "n_words": pa.array(counts, pa.int64()),
             "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))),
@@ -189,20 +199,57 @@ def _scan(df: DataFrame, windows: Windows) -> DataFrame:
     return df.mapInArrow(lambda batches: map(rows, batches), schema)
 
 
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS
-) -> DataFrame:
-    """(row, n_words, spans, items): each document as a struct, its covered word spans and its items."""
-    found = docs.select(
-        F.struct("*").alias("row"),
+def _unsearched(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The columns, the text and room for what is found in it."""
+    return docs.select(
+        *columns,
         raw(F.col("text")).alias("text"),
         F.lit(0).cast("bigint").alias("n_words"),
         F.array().cast("array<array<bigint>>").alias("spans"),
         F.array().cast("array<string>").alias("items"),
     )
-    for windows in [*window_sets(benchmark, window, max_words)] or [Windows({})]:
-        found = _scan(found, windows)
-    return found.drop("text")
+
+
+def _hits(docs: DataFrame, sets: Iterator[Windows]) -> DataFrame:
+    """(key, spans, items): what all sets find in each distinct text that has hits, by SHA-256 of the text."""
+    sc = docs.sparkSession.sparkContext
+    found = []
+    for windows in sets:
+        shared = sc.broadcast(windows)
+        del windows
+        hit = _scan(_unsearched(docs), shared).where(F.size("spans") > 0)
+        found.append(written(hit.select(F.sha2("text", 256).alias("key"), "spans", "items").distinct()))
+        shared.destroy(blocking=True)
+    together = reduce(DataFrame.union, found).groupBy("key")
+    listed = together.agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+
+    def merged(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = [[list(s) for s in _merged([(a, b) for a, b in own])] for own in batch.column("spans").to_pylist()]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("key"), pa.array(spans, pa.list_(pa.list_(pa.int64()))), batch.column("items")],
+            names=["key", "spans", "items"],
+        )
+
+    sets_of = listed.withColumn("items", F.sort_array(F.array_distinct("items")))
+    return written(arrow_map(sets_of, merged, "key string, spans array<array<bigint>>, items array<string>"))
+
+
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS
+) -> DataFrame:
+    """(row, n_words, spans, items): each document as a struct, its covered word spans and its items."""
+    sc = docs.sparkSession.sparkContext
+    n, sets = window_sets(benchmark, window, max_words)
+    row = F.struct("*").alias("row")
+    if n == 1:
+        return _scan(_unsearched(docs, row), sc.broadcast(next(sets))).drop("text")
+    hits = _hits(docs, sets)
+    counted = _scan(_unsearched(docs, row), sc.broadcast(Windows({})))
+    keyed = counted.select("row", "n_words", F.sha2("text", 256).alias("key"))
+    none = {c: F.array().cast(hits.schema[c].dataType) for c in ("spans", "items")}
+    return keyed.join(hits, "key", "left").select(
+        "row", "n_words", *(F.coalesce(c, empty).alias(c) for c, empty in none.items())
+    )
 
 
 def _n_hit():
