@@ -75,6 +75,40 @@ def test_slots_are_the_distinct_grams():
     assert not langid.slots("").any() and langid.slots("a").sum() == 1
 
 
+def test_held_out_accuracy_of_long_texts(spark):
+    """Two languages of one large script and two of one alphabet, in texts of 100,000 code points and more."""
+    rng = np.random.default_rng(3)
+    scripts = {"han": [chr(0x4E00 + k) for k in range(3000)], "latin": [chr(0x61 + k) for k in range(26)]}
+    words = {}
+    for script, letters in scripts.items():
+        for n in (1, 2):
+            size = 2 if script == "han" else 6
+            words[f"{script}{n}"] = np.array(["".join(x) for x in rng.choice(letters, (8000, size))])
+    zipf = 1 / np.arange(1, 8001)
+    texts, langs = [], []
+    for k in range(96):
+        lang = sorted(words)[k % 4]
+        n = int(rng.integers(50_000, 60_000)) if k % 8 < 4 else int(rng.integers(20, 60))
+        texts.append(("" if lang < "l" else " ").join(rng.choice(words[lang], n, p=zipf / zipf.sum())))
+        langs.append(lang)
+    found = by_id(langid.identify(documents(spark, texts, langs=langs)))
+    long = [i for i, row in found.items() if row["held_out"] and len(texts[i]) >= 100_000]
+    assert {langs[i] for i in long} == set(words)
+    assert [found[i]["lang_pred"] for i in long] == [langs[i] for i in long]
+    assert langid.slots(texts[0]).mean() > 0.99  # hashed to few slots, hardly anything is left to tell them apart
+
+
+def test_kernel_counts_exact_grams(monkeypatch):
+    texts = ["Añaña 😀", "", "a", "bañ 😀x", "aaaa"]
+    sets = [{t.lower()[k : k + n] for n in (1, 2, 3) for k in range(len(t) - n + 1)} for t in texts]
+    marks = langid.Landmarks.of([langid.grams(t) for t in texts])
+    for chunk in (1 << 20, 2):
+        monkeypatch.setattr(langid, "_CHUNK", chunk)
+        for text, own in zip(texts, sets, strict=True):
+            wanted = [len(own & other) / max(1, len(own) * len(other)) ** 0.5 for other in sets]
+            assert len(langid.grams(text)) == len(own) and np.allclose(marks.kernel(langid.grams(text)), wanted)
+
+
 def test_nothing_to_learn_from_and_empty_table(spark):
     docs = documents(spark, ["abc", None], ids=[1, None])
     assert {r["lang_pred"] for r in langid.identify(docs).collect()} == {"und"}
