@@ -123,6 +123,19 @@ def test_null_and_repeated_ids(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["5", "9", "None", "None"]
 
 
+def test_repeated_ids_with_unlike_texts(spark):
+    """A row is kept for its group, not for its id."""
+    rng = random.Random(4)
+    one, two, three = (" ".join(words(rng, 80)) for _ in range(3))
+    docs = documents(spark, [one, two, one, three, two, three], ids=[1, 1, 2, 3, 3, 3])
+    for partitions in (1, 3):
+        kept = simhash.keep_one(docs.repartition(partitions)).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, one), (1, two), (3, three)])
+    twins = spark.createDataFrame([(1, one, "b"), (1, one, "a")], "doc_id bigint, text string, tie string")
+    assert [r["tie"] for r in simhash.keep_one(twins).collect()] == ["a"]
+    assert simhash.keep_one(twins.select("doc_id", "text")).count() == 1
+
+
 def test_empty_table(spark):
     docs = documents(spark, []).limit(0)
     assert simhash.near_duplicates(docs).collect() == []

@@ -69,19 +69,18 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *carried: str) -> DataFrame:
+    """(doc_id, carried columns, fp) for every row."""
+    names = ["doc_id", *carried]
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [fingerprint(text.as_py(), shingle) for text in batch.column("text")]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"]
+            [*(batch.column(c) for c in names), pa.array(found, pa.int64())], names=[*names, "fp"]
         )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(
-        docs.select("doc_id", raw(F.col("text")).alias("text")), rows, f"doc_id {kind}, fp bigint"
-    )
+    schema = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in names)
+    return arrow_map(docs.select(*names, raw(F.col("text")).alias("text")), rows, f"{schema}fp bigint")
 
 
 def _postings(fps: DataFrame) -> DataFrame:
@@ -134,27 +133,48 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id): component_id is the smallest id that links reach."""
-    fps = written(fingerprints(docs, shingle))
+def _labelled(fps: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, least, label): each distinct fingerprint, its smallest id and the label of its component."""
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = components(near_links(classes.select("fp"), max_bits))
-    placed = classes.join(labels, classes["fp"] == labels["node"], "left").select(
+    return classes.join(labels, classes["fp"] == labels["node"], "left").select(
         "fp", "least", F.coalesce("label", "fp").alias("label")
     )
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fingerprint, component_id): component_id is the smallest id that links reach."""
+    fps = written(fingerprints(docs, shingle))
+    placed = _labelled(fps, max_bits)
     least = written(placed.groupBy("label").agg(F.min("least").alias("component_id")))
     named = written(placed.select("fp", "label").join(least, "label").select("fp", "component_id"))
     return fps.join(named, "fp").select("doc_id", lower_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _digest():
+    """SHA-256 of the text; empty for a null text."""
+    return F.coalesce(F.sha2(raw(F.col("text")), 256), F.lit("")).alias("digest")
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each group: the one of smallest id (its first row, if repeated).
+    """``docs`` with one row of each group: the one of smallest id, then of smallest digest of its text.
 
-    Rows without an id cannot be told apart by one, so all of them stay.
+    Rows that share an id but not a group are apart. Of rows with equal id and text, the other columns
+    decide. Rows without an id cannot be told apart by one, so all of them stay.
     """
-    found = near_duplicates(docs, shingle, max_bits)
-    keepers = found.where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.select("doc_id", F.struct("*").alias("row"))
-    kept = rows.join(keepers, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("row").alias("row"))
-    unnamed = rows.where("doc_id IS NULL")
+    fps = written(fingerprints(docs.select("doc_id", "text", _digest()), shingle, "digest"))
+    placed = _labelled(fps, max_bits).select("fp", "label")
+    keepers = (
+        fps.where("doc_id IS NOT NULL")
+        .join(placed, "fp")
+        .groupBy("label")
+        .agg(F.min(F.struct("doc_id", "digest")).alias("keeper"))
+        .select("keeper.*")
+    )
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    tie = F.to_json(F.struct(*others)) if others else F.lit("")
+    rows = docs.select("doc_id", _digest(), tie.alias("tie"), F.struct("*").alias("row"))
+    chosen = rows.join(keepers, ["doc_id", "digest"], "left_semi").groupBy("doc_id", "digest")
+    kept = chosen.agg(F.min_by("row", "tie").alias("row")).select("row")
+    unnamed = rows.where("doc_id IS NULL").select("row")
     return kept.union(unnamed).select([F.col(f"row.`{c}`") for c in docs.columns])
