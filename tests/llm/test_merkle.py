@@ -1,0 +1,146 @@
+"""The Merkle manifest, against a tree built from its definition."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from tests.llm.samples import documents
+from tradewind.llm import merkle
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf_of(row, tampered=False):
+    def field(value):
+        return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+    text = row["text"]
+    if tampered and text is not None:
+        text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    return h(*(field(row[k]) for k in ("doc_id", "source", "lang", "n_chars")), field(text))
+
+
+def climbed(nodes):
+    """The root over nodes, and the (before, after) siblings of each, level by level."""
+    paths, at = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for k, path in enumerate(paths):
+            first = at[k] - at[k] % 8
+            path.append(("".join(nodes[first : at[k]]), "".join(nodes[at[k] + 1 : first + 8])))
+            at[k] //= 8
+        nodes = [h(*nodes[k : k + 8]) for k in range(0, len(nodes), 8)]
+    return nodes[0], paths
+
+
+def brute(rows):
+    groups = {}
+    for row in rows:
+        groups.setdefault(row["lang"], []).append(row)
+    langs = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {}
+    for lang in langs:
+        own = sorted(groups[lang], key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, leaf_of(r)))
+        trees[lang] = (own, *climbed([leaf_of(r) for r in own]))
+    root, upper = climbed([trees[lang][1] for lang in langs])
+    out = []
+    for lang, above in zip(langs, upper, strict=True):
+        own, subroot, paths = trees[lang]
+        for row, path in zip(own, paths, strict=True):
+            i = row["doc_id"]
+            folded = leaf_of(row, i is not None and zlib.crc32(str(i).encode()) % 3 == 0)
+            for before, after in path + above:
+                folded = h(before, folded, after)
+            proof = h(*(part for step in path + above for part in step))
+            out.append((i, leaf_of(row), subroot, root, proof, folded, folded == root))
+    return sorted(out, key=repr)
+
+
+def found(df):
+    names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    return sorted((tuple(row[n] for n in names) for row in df.collect()), key=repr)
+
+
+def rows_of(docs):
+    return [row.asDict() for row in docs.collect()]
+
+
+@pytest.mark.parametrize("most", [1, 2, 4])
+def test_equals_definition(spark, most):
+    """Trees of one block and of blocks in several tiers, at the edges of runs and blocks."""
+    langs = ["de"] + ["en"] * 65 + ["fr"] * 64 + ["es"] * 9 + ["it"] * 8 + [None] * 70 + [""] * 2
+    texts = [f"Text No. {k} ÄÖ" if k % 7 else None for k in range(len(langs))]
+    ids = random.Random(1).sample(range(-300, 3000), len(langs))
+    docs = documents(spark, texts, ids, langs)
+    assert found(merkle.report(docs, most)) == brute(rows_of(docs))
+
+
+def test_tiers_of_one_language(spark):
+    """More than 8 ** 3 leaves by blocks of one level, so four tiers and more."""
+    docs = documents(spark, [f"T{k}" for k in range(600)], langs=["en"] * 600)
+    assert found(merkle.report(docs, 1)) == brute(rows_of(docs))
+
+
+def test_many_languages(spark):
+    """The tree of the languages has several tiers, too."""
+    docs = documents(spark, ["A"] * 80, langs=[f"l{k % 75}" for k in range(80)])
+    assert found(merkle.report(docs, 1)) == brute(rows_of(docs))
+
+
+def test_awkward_rows(spark):
+    """Null fields and ids, empty and long texts, and rows alike in every field."""
+    texts = [None, "", "x" * 200_000, "SAME", "SAME", "SAME", "a\0b", "ß😀" * 50, None]
+    ids = [None, None, 4, 5, 5, 5, -1, 9, None]
+    docs = documents(spark, texts, ids, [None, "en", "en", "en", "en", "en", "", "en", None])
+    nulls = docs.selectExpr(*[f"CASE WHEN doc_id = 9 THEN NULL ELSE `{c}` END AS `{c}`" if c in ("source", "n_chars") else f"`{c}`" for c in docs.columns])
+    same = nulls.where("doc_id = 4").unionAll(nulls.where("doc_id = 4")).unionAll(nulls)
+    assert found(merkle.report(same)) == brute(rows_of(same))
+
+
+def test_hot_group_of_copies(spark):
+    """A third of all rows are one row; they spread over ranges."""
+    docs = documents(spark, [f"t{k}" for k in range(40)], langs=["en"] * 40)
+    for _ in range(5):
+        docs = docs.unionAll(docs.where("doc_id = 7"))
+    assert found(merkle.report(docs, 1)) == brute(rows_of(docs))
+
+
+def test_one_document_and_none(spark):
+    one = documents(spark, ["Only"], langs=["en"])
+    (row,) = merkle.report(one).collect()
+    assert row["leaf"] == row["subroot"] == row["root"] and row["proof_sha256"] == h()
+    assert merkle.report(one.limit(0)).collect() == []
+    assert merkle.manifest(one.limit(0), merkle.tampering(one.limit(0))).root is None
+
+
+def test_text_ids(spark):
+    docs = documents(spark, ["A", "B", "C"], langs=["en"] * 3).withColumn("doc_id", merkle.F.expr("concat('k', doc_id)"))
+    got = found(merkle.report(docs))
+    assert [g[0] for g in got] == ["k0", "k1", "k2"] and got[0][3] == h(*(leaf_of(r) for r in sorted(rows_of(docs), key=lambda r: r["doc_id"])))
+
+
+@pytest.mark.parametrize("levels", range(1, 6))
+def test_addresses_are_the_recursive_layout(levels):
+    """Each node has an address of its own; each half-height subtree lies in one stretch."""
+    every = np.concatenate([merkle.addresses(levels, depth) for depth in range(levels)])
+    assert sorted(every) == list(range(merkle.size(levels)))
+    if levels > 1:
+        top = levels // 2
+        for number in range(8**top):
+            below = [
+                a
+                for depth in range(top, levels)
+                for a in merkle.addresses(levels, depth)[number * 8 ** (depth - top) : (number + 1) * 8 ** (depth - top)]
+            ]
+            assert max(below) - min(below) + 1 == len(below) == merkle.size(levels - top)
+
+
+def test_siblings_one_by_one_and_at_once():
+    block = merkle.Block.over([h(str(k)) for k in range(75)], 3)
+    assert block.all_siblings() == [block.siblings(k) for k in range(75)]
+    assert block.level(0)[74] == h("74") and merkle.fold(h("74"), block.siblings(74)) == block.root
+    assert merkle.fold(h("x"), block.siblings(74)) != block.root

@@ -131,7 +131,7 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[p
     for batch in batches:
         if not batch.num_rows:
             continue
-        values = [batch.column(k).to_numpy() for k in keys]
+        values = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
         last = np.logical_and.reduce([v == v[-1] for v in values])
         start = batch.num_rows - int(last[::-1].argmin()) if not last.all() else 0
         if not start and held and any(h.column(k)[-1] != batch.column(k)[-1] for h in held[-1:] for k in keys):
