@@ -12,9 +12,12 @@ from tradewind.llm import (
     embedding_dedup,
     langid,
     line_dedup,
+    merkle,
     pieces,
     quality,
+    rotated_codes,
     secret_scan,
+    source_divergence,
     simhash,
     substring_dedup,
     token_counts,
@@ -71,6 +74,19 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.report(_table(spark, folder, "documents")).drop("spans")
 
 
+def op11_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector by id."""
+    return rotated_codes.nearest(_table(spark, folder, "embeddings"), "vec_id % 20 = 0")
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.report(_table(spark, folder, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.audit(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_classifier,
@@ -83,6 +99,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_sentencepiece,
         op9_embedding_near_dedup,
         op10_substring_dedup,
+        op11_nearest_neighbours,
+        op12_merkle_manifest,
+        op13_source_divergence,
     )
     return {query.__name__: query for query in found}
 
@@ -92,6 +111,9 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_dedup": _LINE_DEDUP,
         "op9_embedding_near_dedup": _EMBEDDING_NEAR_DEDUP,
         "op10_substring_dedup": _SUBSTRING_DEDUP,
+        "op11_nearest_neighbours": _NEAREST_NEIGHBOURS,
+        "op12_merkle_manifest": _MERKLE_MANIFEST,
+        "op13_source_divergence": _SOURCE_DIVERGENCE,
     }
 
 
@@ -167,3 +189,132 @@ SELECT s.doc_id, len(s.words)::BIGINT AS n_words, (len(s.words) - coalesce(k.n,
        sha256(coalesce(k.text, '')) AS kept_sha256
 FROM split s LEFT JOIN kept k ON k.r = s.r
 """
+
+_NEAREST_NEIGHBOURS = r"""
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+  FROM (SELECT DISTINCT * FROM sound WHERE vec_id % 20 = 0) q
+  JOIN sound c ON len(q.v) = len(c.v) AND c.vec_id IS DISTINCT FROM q.vec_id
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20
+"""
+
+_MERKLE_MANIFEST = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b:
+           list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1)))) AS step
+), leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''),
+                       lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])),
+                       4294967295) % 3 = 0
+              THEN sha256(head || coalesce(strlen(text) || ':' || translate(text,
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS changed
+  FROM (
+    SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+              || coalesce(strlen(lang) || ':' || lang, '-')
+              || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+    FROM documents
+  ), crc
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+         count(*) OVER (PARTITION BY lang) AS n
+  FROM leaves
+), nodes AS (
+  SELECT lang, 0 AS level, place, leaf AS node, n FROM placed
+  UNION ALL
+  SELECT lang, level + 1, place // 8, sha256(string_agg(node, '' ORDER BY place)), (n + 7) // 8
+  FROM nodes WHERE n > 1 GROUP BY lang, level, place // 8, n
+), subroots AS (
+  SELECT lang, node, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place, count(*) OVER () AS n
+  FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, place, node, n FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 8, sha256(string_agg(node, '' ORDER BY place)), (n + 7) // 8
+  FROM tops WHERE n > 1 GROUP BY level, place // 8, n
+), runs AS (
+  SELECT lang, level, place // 8 AS run, list(node ORDER BY place) AS run_nodes FROM nodes WHERE n > 1 GROUP BY ALL
+), top_runs AS (
+  SELECT level, place // 8 AS run, list(node ORDER BY place) AS run_nodes FROM tops WHERE n > 1 GROUP BY ALL
+), low AS (
+  SELECT r, lang, 0 AS level, place, '' AS proof, coalesce(changed, leaf) AS folded FROM placed
+  UNION ALL
+  SELECT l.r, l.lang, l.level + 1, l.place // 8,
+         l.proof || coalesce(list_aggregate(run_nodes[:l.place % 8], 'string_agg', ''), '')
+                 || coalesce(list_aggregate(run_nodes[l.place % 8 + 2:], 'string_agg', ''), ''),
+         sha256(list_aggregate(list_transform(run_nodes,
+                  lambda x, k: CASE WHEN k = l.place % 8 + 1 THEN l.folded ELSE x END), 'string_agg', ''))
+  FROM (SELECT *, place // 8 AS run FROM low) l
+  JOIN runs u ON u.lang IS NOT DISTINCT FROM l.lang AND u.level = l.level AND u.run = l.run
+), subfolded AS (
+  SELECT r, lang, proof, folded FROM low QUALIFY row_number() OVER (PARTITION BY r ORDER BY level DESC) = 1
+), high AS (
+  SELECT f.r, 0 AS level, s.place, f.proof, f.folded
+  FROM subfolded f JOIN subroots s ON s.lang IS NOT DISTINCT FROM f.lang
+  UNION ALL
+  SELECT l.r, l.level + 1, l.place // 8,
+         l.proof || coalesce(list_aggregate(run_nodes[:l.place % 8], 'string_agg', ''), '')
+                 || coalesce(list_aggregate(run_nodes[l.place % 8 + 2:], 'string_agg', ''), ''),
+         sha256(list_aggregate(list_transform(run_nodes,
+                  lambda x, k: CASE WHEN k = l.place % 8 + 1 THEN l.folded ELSE x END), 'string_agg', ''))
+  FROM (SELECT *, place // 8 AS run FROM high) l JOIN top_runs u ON u.level = l.level AND u.run = l.run
+), done AS (
+  SELECT r, proof, folded FROM high QUALIFY row_number() OVER (PARTITION BY r ORDER BY level DESC) = 1
+)
+SELECT p.doc_id, p.leaf, s.node AS subroot, t.node AS root, sha256(d.proof) AS proof_sha256,
+       d.folded AS folded_root, d.folded = t.node AS verified
+FROM placed p JOIN done d USING (r) JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang
+CROSS JOIN (SELECT node FROM tops WHERE n = 1) t
+"""
+
+_SOURCE_DIVERGENCE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), occurrences AS (
+  SELECT r, lang, source, unnest(terms) AS term FROM docs
+), kept AS (
+  SELECT lang, term FROM occurrences GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), counted AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS n
+  FROM occurrences SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), sizes AS (
+  SELECT g.lang, g.source, coalesce(v.v, 0)::HUGEINT AS v, coalesce(c.n, 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang, source FROM docs) g
+  LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY lang) v USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM counted GROUP BY lang, source) c USING (lang, source)
+), lang_terms AS (
+  SELECT lang, term, (1 + 1000000000 * (sum(n) + 5)
+           // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)))::BIGINT AS q
+  FROM counted GROUP BY lang, term
+), shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+         (1 + 1000000000 * (coalesce(c.n, 0) + 5) // (s.n + 5 * s.v))::BIGINT AS p
+  FROM sizes s JOIN kept k USING (lang) LEFT JOIN counted c USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value
+  FROM sizes a JOIN sizes b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  WHERE x.term IS NULL OR y.term IS NOT NULL
+  GROUP BY a.lang, a.source, b.source
+), terms AS (
+  SELECT s.lang, s.source, 'term' AS part, s.term AS item, s.p - q AS value
+  FROM shares s JOIN lang_terms USING (lang, term) WHERE s.n > 0 AND s.p > q
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+      FROM (FROM pairs UNION ALL FROM terms))
+WHERE part = 'pair' OR rank <= 50
+"""
