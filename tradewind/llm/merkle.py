@@ -350,11 +350,13 @@ def _root_paths(blocks: DataFrame, most: int) -> DataFrame:
     return _below(blocks, emit, f"tree string, block bigint, path {_PATH}, subroot string")
 
 
-def _with_paths(tiers: list[DataFrame], roots: DataFrame, most: int) -> DataFrame:
-    """The lowest blocks with the path above each; ``roots`` has the path above each tree, and its root."""
+def _with_paths(tiers: list[DataFrame], roots: DataFrame | None, most: int) -> DataFrame:
+    """The lowest blocks with the path above each; ``roots`` has the path above each tree, if any, and its root."""
     paths = None
+    none = {"path": F.expr(f"CAST(array() AS {_PATH})"), "subroot": F.lit("")}
     for tier in reversed(tiers):
-        blocks = tier.where(F.col("of_all") <= FAN**most).join(roots, "tree")
+        single = tier.where(F.col("of_all") <= FAN**most)
+        blocks = single.withColumns(none) if roots is None else single.join(roots, "tree")
         if paths is not None:
             blocks = blocks.unionByName(tier.where(F.col("of_all") > FAN**most).join(paths, _RUN))
         if tier is not tiers[0]:
@@ -364,8 +366,6 @@ def _with_paths(tiers: list[DataFrame], roots: DataFrame, most: int) -> DataFram
 
 def _tree_paths(stored: Manifest) -> DataFrame:
     """(tree, path, subroot): the path above the root of each language's tree, and that root."""
-    none = F.expr(f"CAST(array() AS {_PATH})").alias("path")
-    start = stored.top[0].sparkSession.range(1).select(F.lit("").alias("tree"), none, F.lit("").alias("subroot"))
 
     def emit(one: pa.RecordBatch, row: dict, block: Block) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -377,7 +377,7 @@ def _tree_paths(stored: Manifest) -> DataFrame:
             names=["tree", "path", "subroot"],
         )
 
-    return _below(_with_paths(stored.top, start, stored.most), emit, f"tree string, path {_PATH}, subroot string")
+    return _below(_with_paths(stored.top, None, stored.most), emit, f"tree string, path {_PATH}, subroot string")
 
 
 def verified(stored: Manifest) -> DataFrame:
