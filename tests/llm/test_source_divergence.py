@@ -71,7 +71,7 @@ def test_collisions_keep_rare_terms_out(spark):
     docs = docs.withColumn("source", F.expr("if(doc_id % 2 = 0, 'even', 'odd')"))
     rows = [r.asDict() for r in docs.collect()]
     assert found(sd.audit(docs, bits=1)) == brute(rows)
-    kept, _ = sd.kept_terms(sd.tallied(docs, 1), 30)
+    kept, _ = sd.kept_terms(docs, 30, 1)
     assert [r["term"] for r in kept.collect()] == ["cc"]
 
 
@@ -107,6 +107,8 @@ def test_shares_are_exact_beyond_64_bits(spark):
 def test_strings_stay_out_of_the_shuffles_of_counts(spark):
     """Only the join of the output reads terms; digests and numbers are what is counted."""
     docs = corpus(spark)
-    kept, counts = sd.kept_terms(sd.tallied(docs), 8)
+    kept, counts = sd.kept_terms(docs, 8)
     assert dict(counts.dtypes)["digest"] == "bigint" and "term" not in counts.columns
     assert {r["split"] for r in counts.select("split").distinct().collect()} == {""}
+    tally, _ = sd.tallied(docs)
+    assert [c for c, kind in tally.dtypes if kind == "string"] == ["lang", "source"]

@@ -1,13 +1,13 @@
 """Audit of how far the sources of a language diverge in their terms, with the text of terms joined last.
 
-Tasks count terms and write a row for each language, source and term they met: a 64-bit digest, occurrences,
-documents and the term. What is shuffled to find the kept terms, to count them and to rank them are digests and numbers;
-the column of terms is read again only for the digests that may be kept, and their text joins the output last, for the
-terms whose value reaches the least one that is reported.
+Tasks count terms by 64-bit digest and write the counts (language, source, digest, occurrences, documents) and, apart
+from them, the names (language, digest, smallest and largest term). What is shuffled to find the kept terms, to count
+them and to rank them are digests and numbers. Names are read for the digests that enough documents hold, and their text
+joins the output last, for the terms whose value reaches the least one that is reported.
 
-Digests may collide. For each digest that enough documents hold, the smallest and the largest term are compared: if they
-differ, the digest stands for several terms. Such digests are split: their counts are taken again by term, and whether
-a term is kept is judged after that. A collision can only add documents to a digest, so no kept term is missed.
+Digests may collide. Where the smallest and the largest term of a digest differ, it stands for several terms. Such
+digests are split: the documents are read again, counts are taken by term for those digests, and whether a term is kept
+is judged after that. A collision can only add documents to a digest, so no kept term is missed.
 
 Shares of terms that a source lacks are all the same, so only counts above zero are stored. For the pairs of sources,
 terms are dealt into bundles of about ``TERMS`` terms of a language and tiles of ``TILE`` by ``TILE`` sources; a task
@@ -52,67 +52,128 @@ def terms(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
-def tallied(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """(lang, source, digest, n, docs, term) of the terms in each task's documents, written."""
-
-    def rows(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        for (lang, source), (n, in_docs) in held.items():
-            for term in n:
-                if term not in known:
-                    known[term] = xxhash.xxh64_intdigest(term) >> 64 - bits
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * len(n), pa.string()),
-                    pa.array([source] * len(n), pa.string()),
-                    pa.array(np.fromiter((known[term] for term in n), np.uint64, len(n)).view(np.int64)),
-                    pa.array(list(n.values()), pa.int64()),
-                    pa.array([in_docs[term] for term in n], pa.int64()),
-                    pa.array(list(n), pa.binary()).cast(pa.string()),
-                ],
-                names=["lang", "source", "digest", "n", "docs", "term"],
-            )
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[tuple[str, str], tuple[Counter, Counter]]]:
+    """Occurrences and documents by term, for each language and source, of about ``_HELD`` entries at a time."""
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    for batch in batches:
+        columns = (batch.column(k).to_pylist() for k in ("lang", "source", "text"))
+        for lang, source, text in zip(*columns, strict=True):
+            n, in_docs = held.setdefault((lang, source), (Counter(), Counter()))
+            here = terms(text)
+            n.update(here)
+            in_docs.update(set(here))
+        if sum(len(n) for n, _ in held.values()) > _HELD:
+            yield held
+            held = {}
+    yield held
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        for batch in batches:
-            columns = (batch.column(k).to_pylist() for k in ("lang", "source", "text"))
-            for lang, source, text in zip(*columns, strict=True):
-                n, in_docs = held.setdefault((lang, source), (Counter(), Counter()))
-                here = terms(text)
-                n.update(here)
-                in_docs.update(set(here))
-            if sum(len(n) for n, _ in held.values()) > _HELD:
-                yield from rows(held)
-                held = {}
-        yield from rows(held)
-
-    plain = docs.select(*_read_as_empty(), raw(F.col("text")).alias("text"))
-    return written(plain.mapInArrow(run, "lang string, source string, digest bigint, n bigint, docs bigint, term string"))
+
+def _digests(found, bits: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(t) >> 64 - bits for t in found), np.uint64, len(found)).view(np.int64)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(*_read_as_empty(), raw(F.col("text")).alias("text"))
 
 
 def _read_as_empty() -> list[Column]:
     return [F.coalesce(name, F.lit("")).alias(name) for name in ("lang", "source")]
 
 
-def kept_terms(tally: DataFrame, min_documents: int) -> tuple[DataFrame, DataFrame]:
+def tallied(docs: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """Counts (lang, source, digest, n, docs) and names (lang, digest, least, greatest) of each task, written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _tallies(batches):
+            names: dict[str, dict[int, tuple[bytes, bytes]]] = {}
+            for (lang, source), (n, in_docs) in held.items():
+                digests, known = _digests(n, bits), names.setdefault(lang, {})
+                for digest, term in zip(digests.tolist(), n, strict=True):
+                    if digest not in known:
+                        known[digest] = (term, term)
+                    elif term not in known[digest]:
+                        known[digest] = (min(term, known[digest][0]), max(term, known[digest][1]))
+                yield rows(lang, source, digests, list(n.values()), [in_docs[term] for term in n], None, None)
+            for lang, known in names.items():
+                digests = np.fromiter(known, np.int64, len(known))
+                yield rows(lang, None, digests, None, None, *([pair[k] for pair in known.values()] for k in (0, 1)))
+
+    def rows(lang, source, digests, n, in_docs, least, greatest) -> pa.RecordBatch:
+        size = len(digests)
+
+        def column(values, kind) -> pa.Array:
+            if values is None:
+                return pa.nulls(size, kind)
+            return pa.array(values, kind) if kind == pa.int64() else pa.array(values, pa.binary()).cast(kind)
+
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([lang] * size, pa.string()),
+                pa.array([source] * size, pa.string()),
+                pa.array(digests),
+                column(n, pa.int64()),
+                column(in_docs, pa.int64()),
+                column(least, pa.string()),
+                column(greatest, pa.string()),
+                pa.array(["count" if least is None else "name"] * size, pa.string()),
+            ],
+            names=["lang", "source", "digest", "n", "docs", "least", "greatest", "kind"],
+        )
+
+    numbers = "digest bigint, n bigint, docs bigint"
+    schema = f"lang string, source string, {numbers}, least string, greatest string, kind string"
+    tally = written(_texts(docs).mapInArrow(run, schema), "kind")
+    return (
+        tally.where("kind = 'count'").select("lang", "source", "digest", "n", "docs"),
+        tally.where("kind = 'name'").select("lang", "digest", "least", "greatest"),
+    )
+
+
+def tallied_by_term(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """(lang, source, digest, split, n, docs): the counts of each task by term, which ``split`` holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _tallies(batches):
+            for (lang, source), (n, in_docs) in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang] * len(n), pa.string()),
+                        pa.array([source] * len(n), pa.string()),
+                        pa.array(_digests(n, bits)),
+                        pa.array(list(n), pa.binary()).cast(pa.string()),
+                        pa.array(list(n.values()), pa.int64()),
+                        pa.array([in_docs[term] for term in n], pa.int64()),
+                    ],
+                    names=["lang", "source", "digest", "split", "n", "docs"],
+                )
+
+    schema = "lang string, source string, digest bigint, split string, n bigint, docs bigint"
+    return _texts(docs).mapInArrow(run, schema)
+
+
+def kept_terms(docs: DataFrame, min_documents: int, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """The kept terms (lang, digest, split, term) and their counts (lang, source, digest, split, n), written.
 
     ``split`` is empty but for terms whose digest stands for several; there it is the term itself.
     """
     key = ["lang", "digest"]
-    frequent = tally.groupBy(*key).agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_documents)
-    names = tally.select(*key, "term").join(written(frequent.select(*key)), key, "left_semi")
-    names = written(names.groupBy(*key).agg(F.min("term").alias("least"), F.max("term").alias("greatest")))
-    single, mixed = names.where("least = greatest"), names.where("least <> greatest")
-    apart = tally.withColumn("split", F.col("term")).join(mixed, key, "left_semi")
-    own = apart.groupBy(*key, "split").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_documents)
-    own = written(own.select(*key, "split"))
-    alone = tally.select("lang", "source", "digest", F.lit("").alias("split"), "n").join(single, key, "left_semi")
-    apart = apart.join(own, [*key, "split"], "left_semi").select("lang", "source", "digest", "split", "n")
-    counts = alone.unionByName(apart).groupBy("lang", "source", "digest", "split").agg(F.sum("n").alias("n"))
-    kept = single.select(*key, F.lit("").alias("split"), F.col("least").alias("term"))
-    return written(kept.union(own.select(*key, "split", F.col("split").alias("term")))), written(counts)
+    counts, names = tallied(docs, bits)
+    frequent = counts.groupBy(*key).agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_documents)
+    frequent = written(frequent.select(*key))
+    names = names.join(frequent.hint("shuffle_hash"), key, "left_semi")
+    names = written(names.groupBy(*key).agg(F.min("least").alias("least"), F.max("greatest").alias("greatest")))
+    single, mixed = names.where("least = greatest").select(*key), names.where("least <> greatest").select(*key)
+    kept = names.where("least = greatest").select(*key, F.lit("").alias("split"), F.col("least").alias("term"))
+    counts = counts.join(single.hint("shuffle_hash"), key, "left_semi")
+    counts = counts.groupBy(*key, "source").agg(F.sum("n").alias("n")).withColumn("split", F.lit(""))
+    if not mixed.isEmpty():
+        apart = tallied_by_term(docs, bits).join(mixed, key, "left_semi")
+        apart = written(apart.groupBy(*key, "split", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+        own = apart.groupBy(*key, "split").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_documents)
+        own = written(own.select(*key, "split"))
+        kept = kept.union(own.select(*key, "split", F.col("split").alias("term")))
+        counts = counts.unionByName(apart.drop("docs").join(own, [*key, "split"], "left_semi"))
+    return written(kept), written(counts)
 
 
 def share(n: str, all_n: str, v: str) -> Column:
@@ -285,6 +346,6 @@ def audit(
 
     Fewer ``bits`` make digests collide; that and the size of bundles and tiles change the work but no result.
     """
-    kept, counts = kept_terms(tallied(docs, bits), min_documents)
+    kept, counts = kept_terms(docs, min_documents, bits)
     sizes = sized(docs, kept, counts)
     return pair_part(counts, sizes, terms_each, tile).union(term_part(kept, counts, sizes, top))
