@@ -1,0 +1,55 @@
+"""Counts of distinct orders where order ids repeat, against the SQL that says count(DISTINCT)."""
+
+import shutil
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from tests.test_oracle import FOLDER, TABLES
+
+COUNTING = [
+    "aov_region_month",
+    "customer_order_performance",
+    "frequent_low_value_customers",
+    "customer_qoq_decline",
+    "sum_monthly_country_sales",
+    "sum_customer_metrics",
+    "sum_customer_rfm",
+    "sum_region_period_sales",
+    "sales_executive_summary",
+    "customer_360",
+    "monthly_trend",
+]
+
+
+@pytest.fixture(scope="module")
+def doubled(tmp_path_factory):
+    """Every fifth order twice: some copies alike, some of another customer, some weeks later."""
+    folder = tmp_path_factory.mktemp("doubled")
+    for table in TABLES:
+        shutil.copy(f"{FOLDER}/{table}.parquet", folder)
+    duckdb.execute(f"""
+        COPY (SELECT * FROM '{FOLDER}/orders.parquet'
+              UNION ALL
+              SELECT * REPLACE (
+                  CASE WHEN o_orderkey % 15 = 0 THEN 1 + o_custkey % 100 ELSE o_custkey END AS o_custkey,
+                  CASE WHEN o_orderkey % 25 = 0 THEN o_orderdate - INTERVAL 40 DAY ELSE o_orderdate END AS o_orderdate)
+              FROM '{FOLDER}/orders.parquet' WHERE o_orderkey % 5 = 0)
+        TO '{folder}/orders.parquet' (FORMAT parquet)""")
+    connection = duckdb.connect()
+    for table in TABLES:
+        connection.execute(f"CREATE VIEW {table} AS FROM '{folder}/{table}.parquet'")
+    return str(folder), connection
+
+
+@pytest.mark.parametrize("name", COUNTING)
+def test_equals_count_distinct(spark, doubled, name):
+    folder, connection = doubled
+    got = entry.queries()[name](spark, folder)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    wanted = connection.execute(entry.oracle_sql()[name])
+    columns = [column[0] for column in wanted.description]
+    rows = sorted(map(repr, (tuple(row) for row in got.select(columns).collect())))
+    assert rows == sorted(map(repr, wanted.fetchall()))

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tradewind.operators import advanced, integrity, kpi, selection
-from tradewind.plans import reports
+from tradewind.plans import reports, summaries
 from tradewind.sources.parquet import read_star, write_star
 from tradewind.sources.retail import AS_OF, load_star
 
@@ -61,6 +61,35 @@ def test_lines_of_one_year_only_are_summed(files, plan):
         assert "LeftSemi" in text, scan
 
 
+def executed(df):
+    """The final plan of ``df``, each shuffle, broadcast and subquery that is used again written once."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return re.sub(r"\+- == Initial Plan ==.*?(?=\n\S|\Z)", "", text, flags=re.S).split("== Initial Plan ==")[0]
+
+
+def scans(df, column):
+    """How many scans in the final plan read a column."""
+    return len([line for line in executed(df).splitlines() if "FileScan parquet" in line and column in line])
+
+
+def test_the_calendar_is_read_once(spark, conf):
+    """One scan for the bounds, whatever the number of roles, and one for the orders themselves."""
+    conf(spark__sql__maxMetadataStringLength="10000")
+    star = load_star(spark, FOLDER)
+    for query in (reports.sales_executive_summary, reports.monthly_trend, reports.product_performance):
+        assert scans(query(star), "o_orderdate") <= 2, query.__name__
+
+
+def test_a_rank_shares_its_input(spark, files, conf):
+    conf(spark__sql__maxMetadataStringLength="10000", spark__sql__autoBroadcastJoinThreshold="-1")
+    summary, ranked = (scans(query(files), "line_total") for query in (summaries.sum_product_metrics, reports.product_performance))
+    assert ranked <= summary
+    summary, ranked = (scans(query(files), "line_total") for query in (summaries.sum_rep_quota_attainment, reports.rep_performance_scorecard))
+    assert ranked <= summary
+
+
 def test_calendar_comes_from_orders(spark, plan):
     text = plan(selection.dates_in_years(load_star(spark, FOLDER), years=(1999,)))
     assert "orders.parquet" in text and "Range (" not in text

@@ -81,12 +81,22 @@ def row_number(
     return running_total(counted, group, order, _COUNT, name, slices, descending=descending).drop(_COUNT)
 
 
+def whole(df: DataFrame) -> DataFrame:
+    """``df`` with a filter that drops nothing and reads every column.
+
+    A plan that uses it twice then has the same columns both times, so that Spark shuffles and scans its
+    input once, whichever columns either use needs.
+    """
+    return df.where(F.bit_count(F.xxhash64(*df.columns)) >= 0)
+
+
 def rank_descending(df: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
     """Add ``name``: 1 + the number of rows of the group with a greater ``value``; NULL ranks last.
 
     Rows fold to one for each group and value first, so ties cost nothing, and each distinct value meets
-    its rows again in a join that Spark can split.
+    its rows again in a join that Spark can split. The rows and their fold share the shuffles of ``df``.
     """
+    df = whole(df)
     folded = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias(_COUNT))
     down_to = running_total(
         folded, group, [F.desc_nulls_last(value)], _COUNT, "_down_to", [magnitude(value)], descending=True

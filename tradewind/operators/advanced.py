@@ -174,7 +174,7 @@ def customer_rfm_1y(star: Star, *, segments: dict[str, Rfm] = YEARLY_SEGMENTS) -
         .groupBy("customer_id")
         .agg(
             F.max("full_date").alias("last_order_date"),
-            F.count("order_id").alias("frequency_orders"),
+            F.count_distinct("order_id").alias("frequency_orders"),
             F.sum("net_total").alias("monetary_value"),
         )
         .withColumn("recency_days", F.datediff(today, "last_order_date"))
@@ -227,7 +227,7 @@ def customer_qoq_decline(star: Star) -> DataFrame:
         star.fact_sales_orders.select("order_id", "customer_id", "order_date_id", "net_total")
         .join(star.calendar("order_date_id", "year_num", "quarter_num"), "order_date_id")
         .groupBy(*quarter)
-        .agg(F.count("order_id").alias("order_count"), F.sum("net_total").alias("quarter_revenue"))
+        .agg(F.count_distinct("order_id").alias("order_count"), F.sum("net_total").alias("quarter_revenue"))
     )
     # One row per quarter, so a customer's window is as short as the calendar.
     quarters = Window.partitionBy("customer_id").orderBy("year_num", "quarter_num")

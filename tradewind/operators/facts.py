@@ -15,6 +15,18 @@ def per_order(star: Star, **measures: Column) -> DataFrame:
     return sums(star.fact_order_line_items, ["order_id"], **measures)
 
 
+def named(dimension: DataFrame, key: str, names: list[str], group: str) -> tuple[DataFrame, DataFrame]:
+    """(``key``, ``group``) and (``group``, ``names``): ids of rows alike in ``names`` become one id.
+
+    Distinct counts by name are then taken by id at the grain of orders, before names join.
+    """
+    groups = dimension.groupBy(*names).agg(F.min(key).alias(group))
+    renamed = groups.select(*[F.col(name).alias(f"_{name}") for name in names], group)
+    same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in names]
+    ids = dimension.select(key, *names).distinct().join(renamed, same).select(key, group)
+    return ids, groups
+
+
 def sums(df: DataFrame, keys: list[str], **measures: Column) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.sum(measure).alias(name) for name, measure in measures.items()])
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions.ratios import quotient
-from tradewind.operators.facts import per_order, sums
+from tradewind.operators.facts import named, per_order, sums
 from tradewind.star import Star
 
 
@@ -191,20 +191,24 @@ def unit_price_vs_cost(star: Star, *, ordered: bool = True) -> DataFrame:
 def customer_order_performance(star: Star) -> DataFrame:
     """Orders, units and revenue by customer, region name and rep name."""
     lines = per_order(star, units=F.col("quantity"), revenue=F.col("line_total"))
-    per_ids = (
+    region_ids, regions = named(star.dim_regions, "region_id", ["region_name"], "region")
+    rep_ids, reps = named(star.dim_sales_reps, "sales_rep_id", ["first_name", "last_name"], "rep")
+    per_group = (
         star.fact_sales_orders.select("order_id", "customer_id", "region_id", "sales_rep_id")
+        .join(region_ids, "region_id")
+        .join(rep_ids, "sales_rep_id")
         .join(lines, "order_id")
-        .groupBy("customer_id", "region_id", "sales_rep_id")
+        .groupBy("customer_id", "region", "rep")
         .agg(
-            F.count("order_id").alias("orders"),
+            F.count_distinct("order_id").alias("orders"),
             F.sum("units").alias("units"),
             F.sum("revenue").alias("revenue"),
         )
     )
     names = ["customer_id", "customer_name", "country_name", "region_name", "first_name", "last_name"]
     return (
-        per_ids.join(star.dim_regions.select("region_id", "region_name"), "region_id")
-        .join(star.dim_sales_reps.select("sales_rep_id", "first_name", "last_name"), "sales_rep_id")
+        per_group.join(regions, "region")
+        .join(reps, "rep")
         .join(star.dim_customers.select("customer_id", "customer_name", "country_name"), "customer_id")
         .groupBy(*names)
         .agg(

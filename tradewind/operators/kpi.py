@@ -260,7 +260,7 @@ def frequent_low_value_customers(
     per_customer = (
         orders.join(sums(lines, ["order_id"], value=F.col("line_total")), "order_id")
         .groupBy("customer_id")
-        .agg(F.count("order_id").alias("total_orders"), F.sum("value").alias("value"))
+        .agg(F.count_distinct("order_id").alias("total_orders"), F.sum("value").alias("value"))
     )
     # value / orders < limit, without rounding the quotient.
     frequent = (F.col("total_orders") > min_orders) & (

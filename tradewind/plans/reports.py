@@ -1,42 +1,64 @@
 """Tier 3: reports over the summaries."""
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions.ratios import percent_ratio
-from tradewind.functions.slices import rank_descending
+from tradewind.functions.slices import rank_descending, whole
 from tradewind.operators.facts import sums
 from tradewind.plans.summaries import (
-    monthly_sales,
+    order_sales,
     period_sales,
+    places,
     quota_attainment,
+    quota_report,
     region_report,
+    rep_months,
     rfm_columns,
     sum_customer_metrics,
     sum_monthly_country_sales,
     sum_product_metrics,
-    sum_rep_quota_attainment,
     sum_returns_metrics,
 )
 from tradewind.star import Star
 
+# Each report is a function of the summaries it reads, so that stored ones serve as well.
 
-def monthly_trend(star: Star) -> DataFrame:
+
+def trend(country_sales: DataFrame) -> DataFrame:
     months = Window.partitionBy("region_country_name").orderBy("year_num", "month_num")
     current, previous = F.col("net_revenue"), F.col("previous_month_revenue")
     return (
-        sum_monthly_country_sales(star)
-        .drop("gross_revenue")
+        country_sales.drop("gross_revenue")
         .withColumn("previous_month_revenue", F.lag(current).over(months))
         .withColumn("revenue_change", current - previous)
         .withColumn("month_over_month_pct_change", percent_ratio(F.col("revenue_change"), previous))
     )
 
 
+def monthly_trend(star: Star) -> DataFrame:
+    return trend(sum_monthly_country_sales(star))
+
+
+def ranked_products(products: DataFrame) -> DataFrame:
+    return rank_descending(products, ["category_id"], "net_revenue", "category_rank")
+
+
 def product_performance(star: Star) -> DataFrame:
-    return rank_descending(sum_product_metrics(star), ["category_id"], "net_revenue", "category_rank")
+    return ranked_products(sum_product_metrics(star))
+
+
+def last_period(quotas: DataFrame) -> DataFrame:
+    """One row: the latest year with a quota, and the latest quarter of that year with a quarterly one.
+
+    ``quotas`` have ``year_num``, ``quarter_num`` and ``quota_period_type``.
+    """
+    quarter = F.when(F.col("quota_period_type") == "Quarterly", F.col("quarter_num"))
+    latest = quotas.agg(F.max(F.struct("year_num", quarter.alias("quarter"))).alias("last"))
+    return latest.select(F.col("last.year_num").alias("year_num"), F.col("last.quarter").alias("last_quarter"))
 
 
 def rep_performance_scorecard(star: Star) -> DataFrame:
@@ -45,20 +67,21 @@ def rep_performance_scorecard(star: Star) -> DataFrame:
     The year is the latest with a quota, the quarter the latest of that year with a quarterly one.
     Year-to-date customers add up the months.
     """
-    dated = star.assigned_quotas.join(
-        star.calendar("date_id", "year_num", "quarter_num"), "date_id"
-    )
-    last_year = dated.agg(F.max("year_num")).scalar()
-    quarterly = dated.filter(
-        (F.col("quota_period_type") == "Quarterly") & (F.col("year_num") == last_year)
-    )
-    last_quarter = quarterly.agg(F.max("quarter_num")).scalar()
+    days = star.calendar("date_id", "year_num", "quarter_num")
+    period = last_period(star.assigned_quotas.join(days, "date_id"))
+    # Only the days of that year count, and only the lines of their orders are summed.
+    year = star.dim_date.join(period, "year_num").drop("last_quarter")
+    sales = rep_months(order_sales(star, "net", days=year))
+    return scorecard(quota_report(replace(star, dim_date=year), sales), period)
 
+
+def scorecard(attained: DataFrame, period: DataFrame) -> DataFrame:
+    """The scorecard of the quotas in ``period``."""
     # One grouping serves both scopes: a latest-quarter row keeps its period and so stays alone,
     # while the months of the year drop theirs and add up.
     is_quarterly = F.col("quota_period_type") == "Quarterly"
     reported = (F.col("quota_period_type") == "Monthly") | (
-        is_quarterly & (F.col("quarter_num") == last_quarter)
+        is_quarterly & (F.col("quarter_num") == F.col("last_quarter"))
     )
     rep = [
         "sales_rep_id",
@@ -70,13 +93,13 @@ def rep_performance_scorecard(star: Star) -> DataFrame:
         "country_name",
         "year_num",
     ]
-    period = ["quarter_num", "month_num", "month_name"]
+    months = ["quarter_num", "month_num", "month_name"]
     scoped = (
-        sum_rep_quota_attainment(star, year=last_year)
+        attained.join(period, "year_num")
         .filter(reported)
         .select(
             *rep,
-            *[F.when(is_quarterly, F.col(column)).alias(column) for column in period],
+            *[F.when(is_quarterly, F.col(column)).alias(column) for column in months],
             F.when(is_quarterly, "Quarterly").otherwise("YTD").alias("quota_period_type"),
             F.when(is_quarterly, "CURRENT_QUARTER").otherwise("YTD").alias("period_scope"),
             F.when(is_quarterly, F.col("date_id")).alias("quota_date"),
@@ -88,7 +111,7 @@ def rep_performance_scorecard(star: Star) -> DataFrame:
     )
     results = sums(
         scoped,
-        [*rep, *period, "quota_period_type", "period_scope", "quota_date", "quota"],
+        [*rep, *months, "quota_period_type", "period_scope", "quota_date", "quota"],
         actual_revenue=F.col("actual_revenue"),
         quota_target=F.col("quota_target"),
         customer_count=F.col("customer_count"),
@@ -102,7 +125,7 @@ def rep_performance_scorecard(star: Star) -> DataFrame:
     )
     return ranked.select(
         *rep,
-        *period,
+        *months,
         "quota_period_type",
         "actual_revenue",
         "quota_target",
@@ -114,6 +137,10 @@ def rep_performance_scorecard(star: Star) -> DataFrame:
 
 
 def customer_360(star: Star, *, as_of: date) -> DataFrame:
+    return customer_overview(star, sum_customer_metrics(star), as_of=as_of)
+
+
+def customer_overview(star: Star, customers: DataFrame, *, as_of: date) -> DataFrame:
     """Customer metrics and segment, from one pass over the sales, with the latest primary rep. An
     unassigned customer's rep is a single space."""
     # One row per customer survives the map side, however many assignments a customer has.
@@ -127,8 +154,7 @@ def customer_360(star: Star, *, as_of: date) -> DataFrame:
     empty = F.lit("")
     name = F.concat(F.coalesce("first_name", empty), F.lit(" "), F.coalesce("last_name", empty))
     return (
-        sum_customer_metrics(star)
-        .join(primary, "customer_id", "left")
+        customers.join(primary, "customer_id", "left")
         .join(reps, "sales_rep_id", "left")
         .select(
             "customer_id",
@@ -149,7 +175,11 @@ def customer_360(star: Star, *, as_of: date) -> DataFrame:
 
 
 def returns_analysis(star: Star) -> DataFrame:
-    return sum_returns_metrics(star).select(
+    return returns_by_period(sum_returns_metrics(star))
+
+
+def returns_by_period(returns: DataFrame) -> DataFrame:
+    return returns.select(
         "year_num",
         "quarter_num",
         "month_num",
@@ -163,26 +193,45 @@ def returns_analysis(star: Star) -> DataFrame:
     )
 
 
+def executive_summary(regions: DataFrame, attained: DataFrame) -> DataFrame:
+    """``regions`` with the attainment of all quotas of their name and month; zero without quotas."""
+    keys = ["region_name", "year_num", "quarter_num", "month_num"]
+    quotas = sums(
+        attained, keys, actual_revenue=F.col("actual_revenue"), quota_target=F.col("quota_target")
+    )
+    attainment = percent_ratio(F.col("actual_revenue"), F.col("quota_target"))
+    return regions.join(quotas, keys, "left").select(
+        *regions.columns, F.coalesce(attainment, F.lit(0.0)).alias("quota_attainment_pct")
+    )
+
+
 def sales_executive_summary(star: Star) -> DataFrame:
     """Region sales by month with the attainment of all quotas of that region name and month; zero
     without quotas.
 
-    Both sides come from the same sales per rep, region and month, so that Spark can read and shuffle the
-    lines once for both.
+    Both sides come from one fold of the orders per rep, place and month. An order id counts in the first row
+    that it has in a place and month, so that the counts of reps add up to those of distinct orders.
     """
-    sales = monthly_sales(star, "sales_rep_id", "region_id")
+    ids, names = places(star)
+    months = ["year_num", "quarter_num", "month_num", "month_name"]
+    rows = Window.partitionBy("order_id", "place", *months).orderBy("sales_rep_id")
+    orders = order_sales(star, "net", "cost").join(ids, "region_id")
+    counted = orders.withColumn("first", F.when(F.row_number().over(rows) == 1, F.col("order_id")))
+    sales = whole(
+        counted.groupBy("sales_rep_id", "place", *months).agg(
+            F.sum("net").alias("revenue"), F.sum("cost").alias("cost"), F.count("first").alias("orders")
+        )
+    )
+    by_place = sums(
+        sales,
+        ["place", *months],
+        revenue=F.col("revenue"),
+        cost=F.col("cost"),
+        orders=F.col("orders"),
+    )
     rep = ["sales_rep_id"]
     per_rep = sums(sales, [*rep, "year_num", "quarter_num", "month_num"], revenue=F.col("revenue"))
-    attained = quota_attainment(star, period_sales(per_rep, rep))
-    keys = ["region_name", "year_num", "quarter_num", "month_num"]
-    quotas = sums(
-        attained.join(star.dim_regions.select("region_id", "region_name"), "region_id"),
-        keys,
-        actual_revenue=F.col("actual_revenue"),
-        quota_target=F.col("quota_target"),
-    )
-    attainment = percent_ratio(F.col("actual_revenue"), F.col("quota_target"))
-    regions = region_report(star, sales)
-    return regions.join(quotas, keys, "left").select(
-        *regions.columns, F.coalesce(attainment, F.lit(0.0)).alias("quota_attainment_pct")
+    attained = quota_attainment(star, period_sales(per_rep, rep)).join(
+        star.dim_regions.select("region_id", "region_name"), "region_id"
     )
+    return executive_summary(region_report(by_place.join(names, "place").drop("place")), attained)

@@ -53,10 +53,15 @@ def load_star(spark: SparkSession, folder: str) -> Star:
 
 
 def calendar(days: DataFrame, column: str) -> DataFrame:
-    """Every day from the first to the last in ``column``."""
-    bounds = days.select(F.col(column).cast("date").alias("day")).agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    days = bounds.dropna().select(F.explode(F.sequence("first", "last")).alias("full_date"))
-    return days.select(
+    """Every day from the first to the last in ``column``.
+
+    The days between the two bounds are one scalar subquery, which Spark runs once for all roles that a query gives the
+    calendar.
+    """
+    day = F.col(column).cast("date")
+    between = days.agg(F.sequence(F.min(day), F.max(day)).alias("days")).scalar()
+    one = days.sparkSession.sql("SELECT 1 AS one")
+    return one.select(F.explode(between).alias("full_date")).select(
         date_id("full_date").alias("date_id"),
         "full_date",
         F.year("full_date").alias("year_num"),

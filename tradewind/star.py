@@ -1,6 +1,6 @@
 """The twelve tables that every operator takes."""
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,20 @@ class Star:
         dates = self.dim_date if where is None else self.dim_date.filter(where)
         return dates.select(F.col("date_id").alias(key), *columns)
 
+    def in_days(self, days: DataFrame) -> "Star":
+        """The star of these days alone: their orders and the lines of these. Other facts stay, and fall out
+        where they meet the calendar."""
+        orders = self.fact_sales_orders.join(
+            days.select(F.col("date_id").alias("order_date_id")), "order_date_id", "left_semi"
+        )
+        lines = self.fact_order_line_items.join(orders.select("order_id"), "order_id", "left_semi")
+        return replace(
+            self,
+            dim_date=days.select(*self.dim_date.columns),
+            fact_sales_orders=orders.select(*self.fact_sales_orders.columns),
+            fact_order_line_items=lines.select(*self.fact_order_line_items.columns),
+        )
+
     # The rows that the inner joins of a base view keep: those whose keys all have a parent. Spark enforces
     # no foreign key, so the summaries look the parents up, but at the grain of orders and without their
     # columns. Duplicate parents, which the wide joins would multiply, are left to operators.integrity.
