@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 
 from tradewind.plans import base, reports, summaries
+from tradewind.plans.stored import stored_views
 from tradewind.star import Star
 
 
@@ -31,15 +32,21 @@ def _views(as_of: date) -> dict[str, Callable[[Star], DataFrame]]:
     }
 
 
-def register_views(star: Star, *, as_of: date, names: Iterable[str] | None = None) -> list[str]:
+def register_views(
+    star: Star, *, as_of: date, names: Iterable[str] | None = None, stored: str | None = None
+) -> list[str]:
     """Create the twelve tables and the named views (all by default) in the current session.
 
-    No view runs until it is queried, and each follows the tables.
+    No view runs until it is queried, and each follows the tables. With ``stored``, a folder that
+    ``plans.stored`` wrote, the views read the parts in it and follow their refreshes once registered again.
     """
-    views = _views(as_of)
+    if stored is None:
+        views = {name: partial(build, star) for name, build in _views(as_of).items()}
+    else:
+        views = stored_views(star, stored, as_of=as_of)
     chosen = list(views) if names is None else list(names)
     for table in Star.names():
         getattr(star, table).createOrReplaceTempView(table)
     for name in chosen:
-        views[name](star).createOrReplaceTempView(name)
+        views[name]().createOrReplaceTempView(name)
     return chosen
