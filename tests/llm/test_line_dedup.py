@@ -87,3 +87,29 @@ def test_runs_stay_few_and_leave_no_table(spark):
     assert sorted(held) == list(range(40))
     runs.forget(runs.names())
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_batches_follow_the_size_and_fill_a_third_level(spark, monkeypatch):
+    """Fourteen batches by threes: nine runs are one of the third level, and the result is the same."""
+    levels = []
+    add = line_dedup._Runs.add
+    monkeypatch.setattr(line_dedup._Runs, "add", lambda self, keys, level=0: (levels.append(level), add(self, keys, level))[1])
+    monkeypatch.setattr(line_dedup, "BATCH_DOCS", 4)
+    texts = _sample(5)[:56]
+    got = by_id(line_dedup.dedup_report(documents(spark, texts)))
+    assert levels.count(0) == -(-len(texts) // 4) and max(levels) == 2
+    wanted = by_id(line_dedup.dedup_report(documents(spark, texts), batches=1))
+    assert got == wanted
+
+
+def test_text_ids_and_many_null_ids(spark):
+    """Ids that are text, and a third of the rows without one: they are one document below all others."""
+    line = "a line that is long enough to count as common text"
+    texts = [f"{line}\nown {k}" for k in range(12)]
+    docs = documents(spark, texts, [None if k % 3 == 0 else k for k in range(12)])
+    named = docs.withColumn("doc_id", F.expr("concat('k', lpad(doc_id, 3, '0'))"))
+    for own, largest in ((docs, 11), (named, "k011")):
+        rows = line_dedup.dedup_report(own).collect()
+        assert len(rows) == 12
+        assert {r["doc_id"] for r in rows if not r["n_dropped"]} == {largest}
+    assert sorted(r["text"].count(line) for r in line_dedup.dedup_lines(named).collect()) == [0] * 11 + [1]

@@ -1,6 +1,7 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-The corpus is taken in batches, from the largest document ids down. A run is a table bucketed and
+The corpus is taken in batches of about ``BATCH_DOCS`` documents, four at least, from the largest document ids down; a
+small sample of ids says where to cut, which decides nothing but the sizes. A run is a table bucketed and
 sorted by line hash. Each batch merge-anti-joins every live run: lines that no run holds belong to the
 largest document so far, their keeper, and form a new run at the lowest level; all others are repeats
 and go to a log. When a level holds ``fanout`` runs they are merged into one run of the next level, so
@@ -12,9 +13,12 @@ A line's key is the line without ASCII white space at its ends, A-Z lower-cased;
 ``min_chars`` code points count. Keys are compared by 128-bit hash. A document that holds a key
 several times counts once and keeps or loses all its copies.
 
+Rows are named by 128 bits of hash of id and text, so that what a row gives up is gathered row by row, however many rows
+share an id or have none.
+
 Defined results: a null or empty text is one empty line. Documents with a null id count as one document
 below all others. Rows that share an id count as one document and are treated alike, each with its own
-lines. Columns other than ``doc_id`` and ``text`` pass through ``dedup_lines`` unchanged, whatever
+lines. Ids of any type that has an order will do. Columns other than ``doc_id`` and ``text`` pass through ``dedup_lines`` unchanged, whatever
 their names. An empty table gives an empty result.
 """
 
@@ -34,6 +38,10 @@ from tradewind.llm.common import arrow_map, shared_folder, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+BATCH_DOCS = 1 << 26
+LEAST_BATCHES = 4
+_CUT_SAMPLE = 4096
+_NAME = ["r1", "r2"]
 _STRIPPED = " \t\n\x0b\x0c\r"
 
 
@@ -49,8 +57,14 @@ def _halves(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` with a name for each row; rows alike in id and text share it, as they share their fate."""
+    names = {"r1": F.xxhash64("doc_id", "text"), "r2": F.xxhash64("text", "doc_id", F.lit(1))}
+    return docs.withColumns(names)
+
+
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, h1, h2): the keys of each document, once for each row that holds them."""
+    """(r1, r2, doc_id, h1, h2): the keys of each row."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         owners, digests = [], []
@@ -59,13 +73,22 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             owners += [k] * len(found)
             digests += found
         h = _halves(digests)
-        ids = batch.column("doc_id").take(pa.array(owners, pa.int64()))
+        owners = pa.array(owners, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc_id", "h1", "h2"]
+            [*(batch.column(c).take(owners) for c in (*_NAME, "doc_id")), pa.array(h[:, 0]), pa.array(h[:, 1])],
+            names=[*_NAME, "doc_id", "h1", "h2"],
         )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", "text"), rows, f"doc_id {kind}, h1 bigint, h2 bigint")
+    named = _named(docs.select("doc_id", "text"))
+    return arrow_map(named, rows, f"r1 bigint, r2 bigint, doc_id {kind}, h1 bigint, h2 bigint")
+
+
+def _cuts(docs: DataFrame, batches: int) -> list:
+    """Ids that cut the documents into batches of about the same size."""
+    sample = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id")).limit(_CUT_SAMPLE)
+    ids = [row[0] for row in sample.orderBy("doc_id").collect()]
+    return [ids[len(ids) * k // batches] for k in range(1, batches)] if ids else []
 
 
 class _Runs:
@@ -116,13 +139,13 @@ def repeated_lines(
     docs: DataFrame,
     min_chars: int = MIN_CHARS,
     min_docs: int = MIN_DOCS,
-    batches: int = 4,
+    batches: int | None = None,
     fanout: int = 3,
 ) -> DataFrame:
-    """(doc_id, h1, h2): the line keys that each document has to give up."""
+    """(r1, r2, h1, h2): the line keys that each row has to give up. ``batches`` replaces the number of batches."""
     spark = docs.sparkSession
     keys = line_keys(docs, min_chars)
-    cuts = docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
+    cuts = _cuts(docs, batches or max(LEAST_BATCHES, -(-docs.count() // BATCH_DOCS)))
     batch = sum((F.coalesce(F.col("doc_id") < cut, F.lit(True)).cast("int") for cut in cuts), F.lit(0))
     keys = written(keys.distinct().withColumn("batch", batch))
     runs = _Runs(spark, fanout)
@@ -138,21 +161,20 @@ def repeated_lines(
         log = repeats if log is None else log.union(repeats)
     log = written(log)
     runs.forget(runs.names())
-    common = written(
-        log.groupBy("h1", "h2").count().where(F.col("count") + 1 >= min_docs).select("h1", "h2")
-    )
-    return log.join(common, ["h1", "h2"], "left_semi").select("doc_id", "h1", "h2")
+    others = log.select("doc_id", "h1", "h2").distinct().groupBy("h1", "h2").count()
+    common = written(others.where(F.col("count") + 1 >= min_docs).select("h1", "h2"))
+    return log.join(common, ["h1", "h2"], "left_semi").select(*_NAME, "h1", "h2")
 
 
 def _with_given_up(docs: DataFrame, min_chars: int, min_docs: int, **runs) -> DataFrame:
     """(row, given_up): each row of ``docs`` as a struct, and the keys it gives up, 16 bytes each."""
     gone = (
         repeated_lines(docs.select("doc_id", "text"), min_chars, min_docs, **runs)
-        .groupBy("doc_id")
+        .groupBy(*_NAME)
         .agg(F.collect_list(F.struct("h1", "h2")).alias("given_up"))
     )
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.join(gone, rows["row.doc_id"].eqNullSafe(gone["doc_id"]), "left").select("row", "given_up")
+    rows = _named(docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("text"))).drop("doc_id", "text")
+    return rows.join(gone, _NAME, "left").select("row", "given_up")
 
 
 def _kept(text: str | None, given_up: list | None, min_chars: int) -> tuple[int, list[str]]:
