@@ -115,3 +115,34 @@ def test_nothing_to_learn_from_and_empty_table(spark):
     assert langid.identify(docs.limit(0)).collect() == []
     one = documents(spark, ["abc", "def", "1"], ids=[1, 1, 3], langs=["x", "x", "x"])
     assert sorted(r["lang_pred"] for r in langid.identify(one).collect()) == ["und", "x", "x"]
+
+
+def test_three_hundred_languages_are_all_learned(spark):
+    """A language for each of 300 letters; every one of them can be predicted."""
+    rng = random.Random(4)
+    names = [f"l{k:03d}" for k in range(300)]
+    letters = [chr(0x4E00 + 40 * k) for k in range(300)]
+    texts, langs = [], []
+    for name, letter in zip(names, letters, strict=True):
+        for _ in range(8):
+            texts.append(" ".join(letter * rng.randint(1, 3) + chr(ord(letter) + rng.randrange(30)) for _ in range(20)))
+            langs.append(name)
+    got = langid.identify(documents(spark, texts, langs=langs)).collect()
+    right = [row["lang_pred"] == langs[row["doc_id"]] for row in got]
+    assert sum(right) > 0.98 * len(right) and {row["lang_pred"] for row in got} == set(names)
+
+
+def test_landmarks_are_whole_texts():
+    sizes = [("a", 1, 900), ("a", 2, 30), ("a", 3, 50), ("a", 4, 40), ("b", 1, 700), ("b", 2, 500)]
+    assert langid.landmark_places(sizes, 2, 100) == [("a", 2), ("a", 3), ("b", 2)]
+
+
+def test_a_long_landmark_counts_to_its_end(spark):
+    """What tells a language stands at the end of its only, long text."""
+    filler = "x y z " * 3000
+    texts = [filler + "qqq www", filler + "jjj kkk", "qqq www", "jjj kkk"]
+    docs = documents(spark, texts, ids=[1, 3, 8, 9], langs=["q", "j", None, None])
+    learned = docs.where("lang IS NOT NULL AND crc32(cast(cast(doc_id AS string) AS binary)) % 4 <> 2").count()
+    assert learned == 2
+    found = {row["doc_id"]: row["lang_pred"] for row in langid.identify(docs).collect()}
+    assert (found[8], found[9]) == ("q", "j")

@@ -11,10 +11,11 @@ Only n-grams that some landmark has can count, so an index of the landmarks' n-g
 of a text; whitening and ridge weights fold into one matrix of landmarks by languages. Scoring is one pass
 without a shuffle.
 
-Fitting reads at most ``MAX_TRAINING`` documents of each of the ``MAX_LANGUAGES`` commonest languages (those of smallest id hash), of which
-``LANDMARKS`` in all serve as landmarks, each with as many of its first code points as make ``LANDMARK_POINTS``
-for all. The landmarks' n-grams reach the driver, and of every other document one kernel value for each
-landmark, computed in tasks from its whole text.
+Every language that occurs is learned. Fitting reads at most ``MAX_TRAINING`` documents of each (those of smallest id hash),
+fewer where that makes more than ``MAX_ROWS`` in all, but one at least. About ``LANDMARKS`` of them in all serve as
+landmarks, one of each language at least. Landmarks are whole texts: those of a language are taken in order
+while they fit its share of ``LANDMARK_POINTS`` code points, and if none fits, its shortest. The landmarks' n-grams
+reach the driver, and of every other document one kernel value for each landmark, computed in tasks from its whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. Without a document to
 learn from every text is ``und``; with one language every text with a letter has that language. Ties go
@@ -39,7 +40,7 @@ from tradewind.llm.common import crc_mod, mixed, written
 MAX_N = 3
 SLOTS = 1 << 14
 MAX_TRAINING = 400
-MAX_LANGUAGES = 200
+MAX_ROWS = 80_000
 LANDMARKS = 256
 LANDMARK_POINTS = 1 << 21
 UNDETERMINED = "und"
@@ -172,15 +173,30 @@ def _kernel_of(marks: Broadcast, text: Column) -> Column:
     return values(text)
 
 
+def landmark_places(sizes: list[tuple[str, int, int]], share: int, points: int) -> list[tuple[str, int]]:
+    """Which of the (language, place, length) serve as landmarks: whole texts, ``share`` for each language at most."""
+    chosen, own = [], {}
+    for lang, place, length in sorted(sizes):
+        own.setdefault(lang, []).append((place, length))
+    for lang, texts in own.items():
+        left, taken = points, []
+        for place, length in texts:
+            if len(taken) < share and length <= left:
+                taken.append(place)
+                left -= length
+        chosen += [(lang, place) for place in taken or [min(texts, key=lambda t: (t[1], t[0]))[0]]]
+    return chosen
+
+
 def fit(docs: DataFrame, max_training: int = MAX_TRAINING, landmarks: int = LANDMARKS) -> Languages:
     """Fit on documents with a language whose id has a CRC-32 that is not 2 modulo 4."""
     usable = docs.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(_HASHES)).alias("at")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2)
     )
-    counted = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    counts = {row["lang"]: row["count"] for row in counted.collect()}
+    counts = {row["lang"]: row["count"] for row in usable.groupBy("lang").count().collect()}
     if not counts:
         return _UNTAUGHT
+    max_training = max(1, min(max_training, MAX_ROWS // len(counts)))
     # Below a hash that leaves about three times the rows wanted, one task can rank those of a language.
     below = {lang: max(1, _HASHES * 3 * max_training // n) for lang, n in counts.items()}
     bound = F.create_map(*[F.lit(x) for pair in below.items() for x in pair])
@@ -199,10 +215,10 @@ def fit(docs: DataFrame, max_training: int = MAX_TRAINING, landmarks: int = LAND
         .groupBy("lang", "place")
         .agg(F.min("text").alias("text"))  # one of the rows that share an id
     )
-    share = max(1, landmarks // len(counts))
-    points = max(1, LANDMARK_POINTS // (share * len(counts)))
-    first = texts.where(F.col("place") <= share).select("lang", "place", _grams_of(F.substring("text", 1, points)).alias("grams"))
-    first = first.toPandas().sort_values(["lang", "place"])
+    sizes = [tuple(row) for row in texts.select("lang", "place", F.length("text")).collect()]
+    chosen = landmark_places(sizes, max(1, landmarks // len(counts)), LANDMARK_POINTS // len(counts))
+    first = texts.join(F.broadcast(texts.sparkSession.createDataFrame(chosen, "lang string, place int")), ["lang", "place"])
+    first = first.select("lang", "place", _grams_of(F.col("text")).alias("grams")).toPandas().sort_values(["lang", "place"])
     sets = [np.frombuffer(bytes(own), np.uint64) for own in first["grams"]]
     marks = Landmarks.of(sets)
     shared = docs.sparkSession.sparkContext.broadcast(marks)
