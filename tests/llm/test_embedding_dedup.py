@@ -97,3 +97,34 @@ def test_null_and_repeated_ids_and_empty_table(spark):
 def test_calibrated_count():
     assert 20 <= embedding_dedup.required_collisions() < embedding_dedup.PROJECTIONS
     assert embedding_dedup.required_collisions(0.5) > embedding_dedup.required_collisions(1e-9)
+
+
+def _pairs_counted(n, dim=64):
+    """Pairs that share a run of some table, among strangers, and the number of tables."""
+    x = np.random.default_rng(n).normal(size=(n, dim))
+    cells = embedding_dedup._cells(x / np.linalg.norm(x, axis=1, keepdims=True), 0.98, *embedding_dedup.layout(n))
+    sizes = [np.unique(column, return_counts=True)[1] for column in cells.T]
+    return sum(int((s * (s - 1) // 2).sum()) for s in sizes), cells.shape[1]
+
+
+def test_pairs_counted_follow_the_rows():
+    """A hundred times the rows make a hundred times the pairs, but for the number of tables."""
+    (small, few), (large, many) = _pairs_counted(500), _pairs_counted(50_000)
+    assert many < 3 * few
+    assert large < 1.5 * 100 * small * many / few
+    assert large / 50_000 < embedding_dedup.MATES * many
+
+
+def test_layout_keeps_the_recall():
+    for most in (0, 1, 500, 50_000, 10**9):
+        tables, each = embedding_dedup.layout(most)
+        assert (1 - (1 - 0.8 / embedding_dedup.CELL) ** each) ** tables <= embedding_dedup.LOST
+
+
+def test_vectors_are_told_apart_by_value(spark):
+    """Classes of equal vectors are found by value and numbered, so no hash can merge strangers."""
+    rows = [(k, [float(k % 7), 1.0, 2.0], k % 2) for k in range(70)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    _, classes = embedding_dedup.distinct_vectors(df)
+    found = classes.collect()
+    assert len(found) == len({r["node"] for r in found}) == 14 and {r["copies"] for r in found} == {5}

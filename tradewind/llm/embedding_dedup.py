@@ -7,14 +7,16 @@ direction if one lies in the window centred on the other's projection. Per pair,
 law, so that a pair just at the threshold passes with probability ``1 - MISS``. Passing pairs are
 verified by their cosine in double precision.
 
-Which pairs are counted is decided by sorting as well: ``TABLES`` times, vectors are sorted by label and
-by their cells on ``SORTED`` further directions, cells of ``CELL`` deviations with a random offset. The
-collisions are counted within each run of equal cells. A pair at the threshold shares a run of one table
-with probability p = (1 - 0.8 / CELL) ** SORTED, and of some table with 1 - (1 - p) ** TABLES, above
-0.99999 at the defaults; two unrelated vectors meet in about one table of 200. A pair is counted only in
-the first table in which it meets.
-
-Equal vectors of a label are folded before. Crowded runs are split into blocks, and each pair of blocks is
+Which pairs are counted is decided by sorting as well: several times, into tables, vectors are sorted by label and
+by their cells on further directions, cells of ``CELL`` deviations with a random offset. The collisions are
+counted within each run of equal cells. A pair at the threshold shares a run of one table with probability
+p = (1 - 0.8 / CELL) ** directions, and two unrelated vectors do in ``STRANGERS`` ** directions. So many
+directions are taken that a vector meets about ``MATES`` strangers in a table, and then so many tables that a
+pair at the threshold is missed by all with a probability of at most ``LOST``: both follow the logarithm of the number of
+distinct vectors of the largest label, and pairs counted grow little faster than vectors. A vector carries its cells
+of all tables, and a pair is counted only in the first table in which it meets.
+
+Equal vectors of a label are folded before, by value. Crowded runs are split into blocks, and each pair of blocks is
 a run of its own. A task passes on, for each vector, how many others it links with, and a spanning forest
 of the links, never all pairs.
 
@@ -29,7 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb, erf, sqrt
+from math import ceil, comb, erf, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -43,23 +45,33 @@ MIN_COSINE = 0.98
 PROJECTIONS = 32
 WINDOW = 2.5
 MISS = 1e-6
-TABLES = 16
-SORTED = 6
 CELL = 8.0
+STRANGERS = 0.41
+MATES = 24
+LOST = 1e-5
 BLOCK = 1024
 _RUN = ["label", "dim", "table", "cell"]
 _PAIRS = 1 << 18
 
 
 @lru_cache(8)
-def _directions(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counted directions, sorted directions and the offsets of their cells, for one vector length."""
-    rng = np.random.default_rng(dim)
-    return (
-        rng.standard_normal((dim, PROJECTIONS)),
-        rng.standard_normal((dim, TABLES * SORTED)),
-        rng.random(TABLES * SORTED),
-    )
+def _counted(dim: int) -> np.ndarray:
+    """The directions on which collisions are counted, for one vector length."""
+    return np.random.default_rng(dim).standard_normal((dim, PROJECTIONS))
+
+
+@lru_cache(8)
+def _sorted(dim: int, tables: int, each: int) -> tuple[np.ndarray, np.ndarray]:
+    """The directions by which tables are sorted, and the offsets of their cells."""
+    rng = np.random.default_rng([dim, tables, each])
+    return rng.standard_normal((dim, tables * each)), rng.random(tables * each)
+
+
+def layout(most: int) -> tuple[int, int]:
+    """(tables, directions of each) for at most so many distinct vectors of one label."""
+    each = max(1, ceil(log(max(1.0, most / MATES)) / -log(STRANGERS)))
+    shared = (1 - 0.8 / CELL) ** each
+    return ceil(log(LOST) / log(1 - shared)), each
 
 
 def required_collisions(miss: float = MISS) -> int:
@@ -73,14 +85,14 @@ def required_collisions(miss: float = MISS) -> int:
     return PROJECTIONS
 
 
-def _cells(unit: np.ndarray, min_cosine: float) -> np.ndarray:
+def _cells(unit: np.ndarray, min_cosine: float, tables: int, each: int) -> np.ndarray:
     """The cell of each vector in each table, as one number."""
-    _, directions, offsets = _directions(unit.shape[1])
+    directions, offsets = _sorted(unit.shape[1], tables, each)
     width = CELL * sqrt(2 - 2 * min_cosine)
     cells = np.floor(unit @ directions / width + offsets).astype(np.int64).view(np.uint64)
-    out = np.zeros((len(unit), TABLES), np.uint64)
-    for k in range(SORTED):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + cells[:, k::SORTED])
+    out = np.zeros((len(unit), tables), np.uint64)
+    for k in range(each):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + cells[:, k::each])
     return out.view(np.int64)
 
 
@@ -97,38 +109,30 @@ def _by_dim(table, column: str = "dim"):
 
 
 def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows as (vec_id, node) with a null node where nothing can link, and the classes of equal vectors."""
+    """Rows as (vec_id, label, embedding), null where nothing can link, and the numbered classes of equal vectors."""
     embedding = F.col("embedding")
     finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     linkable = F.col("label").isNotNull() & finite & F.exists(embedding, lambda x: x != 0)
-    rows = vectors.select(
-        "vec_id",
-        F.when(linkable, F.xxhash64("label", F.size(embedding), embedding)).alias("node"),
-        "label",
-        "embedding",
-    )
+    rows = vectors.select("vec_id", F.when(linkable, F.col("label")).alias("label"), F.when(linkable, embedding).alias("embedding"))
     classes = (
-        rows.where("node IS NOT NULL")
-        .groupBy("node")
-        .agg(
-            F.min("vec_id").alias("least"),
-            F.count("*").alias("copies"),
-            F.min("label").alias("label"),
-            F.min("embedding").alias("embedding"),
-        )
+        rows.where("embedding IS NOT NULL")
+        .groupBy("label", "embedding")
+        .agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
-    return written(rows.select("vec_id", "node")), written(classes)
+    return rows, written(classes)
 
 
-def _filed(classes: DataFrame, min_cosine: float) -> DataFrame:
-    """Each distinct vector under its cell in every table."""
+def _filed(classes: DataFrame, min_cosine: float, tables: int, each: int) -> DataFrame:
+    """Each distinct vector under its cell in every table, with its cells of all tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, part in _by_dim(batch):
                 x = _vectors(part.column("embedding"), dim)
-                cells = _cells(x / np.linalg.norm(x, axis=1, keepdims=True), min_cosine)
-                for table in range(TABLES):
+                cells = _cells(x / np.linalg.norm(x, axis=1, keepdims=True), min_cosine, tables, each)
+                carried = pa.array([row.tobytes() for row in cells], pa.binary())
+                for table in range(tables):
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column("label"),
@@ -138,8 +142,9 @@ def _filed(classes: DataFrame, min_cosine: float) -> DataFrame:
                             part.column("node"),
                             part.column("copies"),
                             part.column("embedding"),
+                            carried,
                         ],
-                        names=[*_RUN, "node", "copies", "embedding"],
+                        names=[*_RUN, "node", "copies", "embedding", "cells"],
                     )
 
     kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
@@ -147,7 +152,7 @@ def _filed(classes: DataFrame, min_cosine: float) -> DataFrame:
     return classes.select("label", dim, "node", "copies", "embedding").mapInArrow(
         run,
         f"label {kinds['label']}, dim int, table int, cell bigint, node bigint, copies bigint,"
-        f" embedding {kinds['embedding']}",
+        f" embedding {kinds['embedding']}, cells binary",
     )
 
 
@@ -157,8 +162,9 @@ def _linked(runs: pa.Table, dim: int, min_cosine: float) -> pa.RecordBatch:
     norm = np.linalg.norm(x, axis=1)
     unit = x / norm[:, None]
     distance = sqrt(2 - 2 * min_cosine)
-    projected = (unit @ _directions(dim)[0]).astype(np.float32)
-    cells, table = _cells(unit, min_cosine), runs.column("table").to_numpy()
+    projected = (unit @ _counted(dim)).astype(np.float32)
+    cells = np.frombuffer(b"".join(runs.column("cells").to_pylist()), np.int64).reshape(len(x), -1)
+    earlier, table = np.arange(cells.shape[1]), runs.column("table").to_numpy()
     node, copies = runs.column("node").to_numpy(), runs.column("copies").to_numpy()
     needed, links = required_collisions(), np.zeros(len(x), np.int64)
     a = b = np.zeros(0, np.int64)
@@ -175,7 +181,7 @@ def _linked(runs: pa.Table, dim: int, min_cosine: float) -> pa.RecordBatch:
             cosine = np.einsum("ij,ij->i", x[left], x[right]) / (norm[left] * norm[right])
             close = cosine >= min_cosine
             left, right = left[close], right[close]
-            met = (cells[left] == cells[right]) & (np.arange(TABLES) < table[left][:, None])
+            met = (cells[left] == cells[right]) & (earlier < table[left][:, None])
             first = ~met.any(1)
             left, right = left[first], right[first]
             np.add.at(links, left, copies[right])
@@ -203,7 +209,9 @@ def near_links(classes: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
             for dim, part in _by_dim(runs):
                 yield _linked(part, dim, min_cosine)
 
-    dealt = paired_blocks(_filed(classes, min_cosine), _RUN, "node", BLOCK)
+    kinds = classes.groupBy("label", F.size("embedding").alias("dim")).count()
+    tables, each = layout(kinds.agg(F.max("count")).first()[0] or 0)
+    dealt = paired_blocks(_filed(classes, min_cosine, tables, each), _RUN, "node", BLOCK)
     return dealt.mapInArrow(run, "a bigint, b bigint, links bigint")
 
 
@@ -221,8 +229,9 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataF
     )
     tops = written(placed.groupBy("top").agg(F.min("least").alias("component")))
     found = written(placed.join(tops, "top").select("node", "n_links", "component"))
+    found = classes.join(found, "node").select("label", "embedding", "n_links", "component")
     component = F.coalesce("component", "vec_id")
-    return rows.join(found, "node", "left").select(
+    return rows.join(found, ["label", "embedding"], "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         component.cast("bigint").alias("component_id"),
