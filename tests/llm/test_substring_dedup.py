@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.samples import by_id, documents, words
 from tradewind.llm import substring_dedup
@@ -95,3 +96,16 @@ def test_stretch_hashes_depend_on_words_alone():
     start, size = np.array([0, 7, 14, 1]), np.array([20, 20, 20, 20])
     a, b, c, d = substring_dedup._stretches(words_, start, size)
     assert a == b == c != d
+
+
+def test_rows_whose_first_hash_collides(spark, monkeypatch):
+    """All rows share the first half of their name; the second half keeps them apart."""
+    rng = random.Random(8)
+    shared = words(rng, 50)
+    texts = [" ".join(words(rng, rng.randrange(80)) + shared * (k % 2) + words(rng, rng.randrange(200))) for k in range(20)]
+    docs = documents(spark, texts)
+    wanted = by_id(substring_dedup.report(docs))
+    second = substring_dedup.row_names()[1]
+    monkeypatch.setattr(substring_dedup, "row_names", lambda: [F.lit(7).cast("bigint").alias("row"), second])
+    assert by_id(substring_dedup.report(docs)) == wanted
+    assert sum(row["n_removed"] for row in wanted.values()) >= 500

@@ -30,7 +30,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm.common import arrow_map, mixed, raw, rolled, written
@@ -38,6 +38,7 @@ from tradewind.llm.common import arrow_map, mixed, raw, rolled, written
 WINDOW = 35
 SEED = 8
 _STRETCH = 1 << 16
+_NAME = ["row", "row2"]
 
 
 def _word_hashes(text: bytes | None) -> np.ndarray:
@@ -77,66 +78,74 @@ def _stretches(hashes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.nd
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """Rows named by a hash of id and text, so that rows which share an id stay apart."""
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), raw(F.col("text")).alias("text"))
+    """Rows named by two hashes of id and text, so that rows which share an id stay apart."""
+    return docs.select("doc_id", *row_names(), raw(F.col("text")).alias("text"))
+
+
+def row_names() -> list[Column]:
+    return [F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text", "doc_id", F.lit(1)).alias("row2")]
 
 
 def occurrences(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(seed, segment, row, first, windows): every seed occurrence of every row."""
+    """(seed, segment, row, row2, first, windows): every seed occurrence of every row."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         owners, found = [], []
-        names = batch.column("row").to_numpy()
         for k, text in enumerate(batch.column("text")):
             hashes = _word_hashes(text.as_py())
             marks, first, windows = seeds(hashes, window, seed)
             if len(marks):
                 found.append((marks, _stretches(hashes, first, windows + window - 1), first, windows))
-                owners.append(np.full(len(marks), names[k]))
+                owners.append(np.full(len(marks), k))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 2
-        owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        owner = pa.array(np.concatenate(owners) if owners else np.zeros(0, np.int64))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(columns[0].view(np.int64)),
                 pa.array(columns[1].view(np.int64)),
-                pa.array(owner),
+                *(batch.column(name).take(owner) for name in _NAME),
                 pa.array(columns[2].astype(np.int32)),
                 pa.array(columns[3].astype(np.int16)),
             ],
-            names=["seed", "segment", "row", "first", "windows"],
+            names=["seed", "segment", *_NAME, "first", "windows"],
         )
 
-    return arrow_map(
-        _rows(docs).select("row", "text"), rows, "seed bigint, segment bigint, row bigint, first int, windows smallint"
-    )
+    schema = "seed bigint, segment bigint, row bigint, row2 bigint, first int, windows smallint"
+    return arrow_map(_rows(docs).select(*_NAME, "text"), rows, schema)
 
 
 def _windows(probes: DataFrame, window: int) -> DataFrame:
-    """(seed, window, copies, row, first): the single windows of segments, from (row, text, wanted)."""
+    """(seed, window, copies, row, row2, first): the single windows of segments, from (row, row2, text, wanted)."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         found: list[tuple] = []
-        names = batch.column("row").to_numpy()
         for k, (text, wanted) in enumerate(zip(batch.column("text"), batch.column("wanted"), strict=True)):
             hashes = rolled(_word_hashes(text.as_py()), window, 1)
             for w in wanted.as_py():
                 at = np.arange(w["first"], w["first"] + w["windows"])
-                found.append((np.full(len(at), w["seed"]), hashes[at], np.full(len(at), w["copies"]), np.full(len(at), names[k]), at))
+                found.append((np.full(len(at), w["seed"]), hashes[at], np.full(len(at), w["copies"]), np.full(len(at), k), at))
         if found:
             mark, own, copies, owner, at = map(np.concatenate, zip(*found))
         else:
             mark, copies, owner, at = (np.zeros(0, np.int64) for _ in range(4))
             own = np.zeros(0, np.uint64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(mark), pa.array(own.view(np.int64)), pa.array(copies), pa.array(owner), pa.array(at.astype(np.int32))],
-            names=["seed", "window", "copies", "row", "first"],
+            [
+                pa.array(mark),
+                pa.array(own.view(np.int64)),
+                pa.array(copies),
+                *(batch.column(name).take(pa.array(owner)) for name in _NAME),
+                pa.array(at.astype(np.int32)),
+            ],
+            names=["seed", "window", "copies", *_NAME, "first"],
         )
 
-    return arrow_map(probes, rows, "seed bigint, window bigint, copies bigint, row bigint, first int")
+    schema = "seed bigint, window bigint, copies bigint, row bigint, row2 bigint, first int"
+    return arrow_map(probes, rows, schema)
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(row, first, windows): runs of windows that also start elsewhere."""
+    """(row, row2, first, windows): runs of windows that also start elsewhere."""
     found = written(occurrences(docs, window, seed))
     recurring = written(
         found.groupBy("seed")
@@ -148,22 +157,22 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     classes = written(
         met.where("NOT alike")
         .groupBy("seed", "segment")
-        .agg(F.count("*").alias("copies"), F.min(F.struct("row", "first", "windows")).alias("member"))
+        .agg(F.count("*").alias("copies"), F.min(F.struct(*_NAME, "first", "windows")).alias("member"))
     )
     again = classes.where("copies > 1").select("seed", "segment")
     whole = met.where("alike").union(met.where("NOT alike").join(written(again), ["seed", "segment"], "left_semi").select(met.columns))
-    wanted = classes.groupBy("member.row").agg(
+    wanted = classes.groupBy("member.row", "member.row2").agg(
         F.collect_list(F.struct("seed", "member.first", "member.windows", "copies")).alias("wanted")
     )
     # rows that are equal in id and text share a name, but then no segment of theirs has one member
-    probes = _rows(docs).join(wanted, "row").select("row", "text", "wanted")
+    probes = _rows(docs).join(wanted, _NAME).select(*_NAME, "text", "wanted")
     single = written(_windows(probes, window))
     twice = written(
         single.groupBy("seed", "window").agg(F.sum("copies").alias("copies")).where("copies > 1").select("seed", "window")
     )
     extended = single.where("copies = 1").join(twice, ["seed", "window"], "left_semi")
     one = F.lit(1).cast("smallint").alias("windows")
-    return written(whole.select("row", "first", "windows").union(extended.select("row", "first", one)))
+    return written(whole.select(*_NAME, "first", "windows").union(extended.select(*_NAME, "first", one)))
 
 
 def _covered(n: int, runs: list, window: int) -> np.ndarray:
@@ -180,8 +189,8 @@ def report(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame
 
     ``spans`` are the removed stretches of words, end exclusive.
     """
-    runs = repeated_windows(docs, window, seed).groupBy("row").agg(F.collect_set(F.struct("first", "windows")).alias("runs"))
-    joined = _rows(docs).join(runs, "row", "left").select("doc_id", "text", "runs")
+    runs = repeated_windows(docs, window, seed).groupBy(*_NAME).agg(F.collect_set(F.struct("first", "windows")).alias("runs"))
+    joined = _rows(docs).join(runs, _NAME, "left").select("doc_id", "text", "runs")
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, removed, digests, spans = [], [], [], []
