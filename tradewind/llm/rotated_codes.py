@@ -85,10 +85,12 @@ def sound(vectors: DataFrame) -> DataFrame:
     )
 
 
-def centres(rows: DataFrame) -> dict[int, np.ndarray]:
+def centres(rows: DataFrame, n_rows: int) -> dict[int, np.ndarray]:
     """The mean of a bounded sample, for each vector length in it."""
     sample: dict[int, list] = {}
-    for row in rows.orderBy("place").limit(CENTRE_ROWS).select("embedding").collect():
+    # few more than those wanted pass the filter, so that tasks send few to be ordered
+    some = rows.where(F.col("place") < 2 * CENTRE_ROWS * _SPREAD // max(1, n_rows))
+    for row in some.orderBy("place").limit(CENTRE_ROWS).select("embedding").collect():
         sample.setdefault(len(row[0]), []).append(row[0])
     return {dim: np.mean(np.array(part, np.float64), axis=0) for dim, part in sample.items()}
 
@@ -113,7 +115,8 @@ def waves(rows: int, first: int = FIRST) -> list[int]:
 def index(vectors: DataFrame, first: int = FIRST) -> tuple[DataFrame, int, dict[int, np.ndarray]]:
     """The written index of all vectors that take part, by wave; the number of waves; the centres."""
     rows = sound(vectors)
-    centre, ends = centres(rows), waves(rows.count(), first)
+    n_rows = rows.count()
+    centre, ends = centres(rows, n_rows), waves(n_rows, first)
     middle = rows.sparkSession.sparkContext.broadcast(centre)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
