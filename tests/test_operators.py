@@ -709,3 +709,27 @@ def test_views_follow_their_tables(spark, full_star):
     finally:
         spark.sparkContext.setJobGroup("", "")
         spark.sql("DROP DATABASE live CASCADE")
+
+
+def test_rollup_levels_tell_members_from_subtotals(spark):
+    """The nameless territory of Peru, and a customer without a country, beside the totals above them."""
+    orders = [
+        (1, 1, 1, 1, "2024-01-01", [(1, 1, 10)]),
+        (2, 1, 1, 2, "2024-01-01", [(1, 1, 20)]),
+        (3, 3, 1, 3, "2024-01-01", [(1, 1, 40)]),
+    ]
+    nameless = {"customer_id": 3, "customer_code": "C3", "customer_name": "Cy", "country_name": None, "region_id": 3}
+    dimensions = {**DIMENSIONS, "dim_customers": [*DIMENSIONS["dim_customers"], nameless]}
+    rows = joins.geo_revenue_levels(make_star(spark, **dimensions, **sales(orders))).collect()
+    found = {(r.country_name, r.region_name, r.territory_name, r.rolled_up): int(r.total_revenue) for r in rows}
+    assert len(found) == len(rows)
+    assert found == {
+        (None, None, None, 7): 70,
+        (None, None, None, 3): 40,
+        (None, "Africa", None, 1): 40,
+        (None, "Africa", "West", 0): 40,
+        ("Peru", None, None, 3): 30,
+        ("Peru", "America", None, 1): 30,
+        ("Peru", "America", None, 0): 20,
+        ("Peru", "America", "North", 0): 10,
+    }

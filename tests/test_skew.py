@@ -6,8 +6,10 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from tests.plan_text import final_plan
 from tests.tiny import DIMENSIONS, make_star
 from tradewind import Star
+from tradewind.functions.slices import magnitude
 from tradewind.operators import advanced, joins, kpi, questions
 from tradewind.plans import base, summaries
 from tradewind.schema import struct_of
@@ -101,8 +103,7 @@ def no_broadcasts_and_low_thresholds(conf):
 def run(df):
     """Rows, and the keys of the joins that split a skewed partition."""
     rows = df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    return rows, set(re.findall(r"skew=true\) \[(\w+)#", plan))
+    return rows, set(re.findall(r"skew=true\) \[(\w+)#", final_plan(df)))
 
 
 def test_row_level_joins_split_the_hot_key(star):
@@ -169,3 +170,21 @@ def test_mismatch_does_not_pair_a_hot_customers_orders_and_assignments(star):
 def test_running_total_of_one_group_spans_tasks(star, spark):
     rows = advanced.quarter_running_total(star).collect()
     assert [r.running_quarter_revenue for r in rows] == [6 * i for i in range(1, ROWS + 1)]
+
+
+def test_products_of_one_quantity_are_ranked_by_many_tasks(spark, conf):
+    """A third of all products sold the same number of units: revenue cuts them into slices."""
+    n = 3000
+    lines = [
+        {"line_item_id": str(k), "order_id": k % 2, "product_id": k, "quantity": 7 if k % 3 == 0 else k, "line_total": 1 + k * k}
+        for k in range(n)
+    ]
+    orders = [{"order_id": k, "customer_id": k, "net_total": 1 + k} for k in range(2)]
+    products = [{"product_id": k, "product_name": f"P{k}"} for k in range(n)]
+    made = make_star(spark, fact_order_line_items=lines, fact_sales_orders=orders, dim_products=products)
+    ranked = advanced.products_of_high_value_customers(made)
+    rows = [(r.product_rank, r.total_quantity_sold, r.total_revenue, r.product_id) for r in ranked.collect()]
+    best = sorted(rows, key=lambda r: (-r[1], -r[2], f"P{r[3]}"))
+    assert rows == [(k, *r[1:]) for k, r in enumerate(best, 1)] and len(rows) == n // 2
+    slices = ranked.where("total_quantity_sold = 7").groupBy(magnitude("total_revenue")).count().collect()
+    assert sum(r["count"] for r in slices) > n // 6 and max(r["count"] for r in slices) < n // 60

@@ -203,15 +203,14 @@ def products_never_in_high_rev_regions(star: Star, *, min_revenue: int = 1_000_0
         ["region_id"],
         revenue=F.col("net_total"),
     ).filter(F.col("revenue") > min_revenue)
-    # The regions that a product was sold in are few; folding to them spares a shuffle of the orders by
-    # region, of which one may hold a large share.
+    # Regions are few, so their ids are one array, by which orders are filtered before they meet the lines.
+    regions = high_revenue.agg(F.collect_set("region_id").alias("ids")).scalar()
+    there = orders.where(F.array_contains(regions, F.col("region_id")))
     sold_there = (
         star.fact_order_line_items.select("order_id", "product_id")
-        .join(orders.select("order_id", "region_id"), "order_id")
-        .select("product_id", "region_id")
-        .distinct()
-        .join(high_revenue, "region_id", "left_semi")
+        .join(there.select("order_id"), "order_id", "left_semi")
         .select("product_id")
+        .distinct()
     )
     return (
         star.dim_products.select("product_id", "product_name", "category_id")
@@ -285,14 +284,15 @@ def products_of_high_value_customers(star: Star) -> DataFrame:
     sold = _sales_to_high_value_customers(star).join(
         star.dim_products.select("product_id", "product_name"), "product_id"
     )
-    best = [
-        F.desc("total_quantity_sold"),
-        F.desc("total_revenue"),
-        F.col("product_name"),
-        F.col("product_id"),
-    ]
+    # Products that sold more units come first, whichever they are; among those of one quantity, which may be a
+    # large share of all, revenue decides.
+    ahead = rank_descending(sold, [], "total_quantity_sold", "ahead")
+    order = [F.desc("total_revenue"), F.col("product_name"), F.col("product_id")]
     return (
-        row_number(sold, [], best, "product_rank", [magnitude("total_quantity_sold")], descending=True)
+        row_number(
+            ahead, ["total_quantity_sold"], order, "within", [magnitude("total_revenue")], descending=True
+        )
+        .withColumn("product_rank", F.col("ahead") + F.col("within") - 1)
         .select("product_rank", "product_id", "product_name", "total_quantity_sold", "total_revenue")
         .orderBy("product_rank")
     )

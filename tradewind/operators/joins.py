@@ -2,10 +2,11 @@
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions.ratios import quotient
+from tradewind.functions.slices import whole
 from tradewind.operators.facts import named, per_order, sums
 from tradewind.star import Star
 
@@ -99,8 +100,12 @@ def _revenue_by_customer_and_region(star: Star) -> DataFrame:
     )
 
 
-def geo_revenue_rollup(star: Star) -> DataFrame:
-    """Customer country > sales region > territory with subtotals and a grand total."""
+def geo_revenue_levels(star: Star) -> DataFrame:
+    """Customer country > sales region > territory with subtotals and a grand total.
+
+    ``rolled_up`` tells them apart: 0 for a territory, 1 for a region's subtotal, 3 for a country's, 7 for the
+    grand total. A name that is NULL at level 0 is the member without a name, not a subtotal.
+    """
     levels = ["country_name", "region_name", "territory_name"]
     places = (
         _revenue_by_customer_and_region(star)
@@ -111,14 +116,19 @@ def geo_revenue_rollup(star: Star) -> DataFrame:
     finest = sums(places, levels, revenue=F.col("revenue"))
     return (
         finest.rollup(*levels)
-        .agg(F.sum("revenue").alias("total_revenue"))
-        .orderBy(*levels)
-        .select(
-            F.coalesce("country_name", F.lit("ALL COUNTRIES")).alias("country_name"),
-            F.coalesce("region_name", F.lit("ALL REGIONS")).alias("region_name"),
-            F.coalesce("territory_name", F.lit("ALL TERRITORIES")).alias("territory_name"),
-            "total_revenue",
-        )
+        .agg(F.sum("revenue").alias("total_revenue"), F.grouping_id().alias("rolled_up"))
+        .orderBy(*levels, "rolled_up")
+    )
+
+
+def geo_revenue_rollup(star: Star) -> DataFrame:
+    """``geo_revenue_levels`` with words for what is NULL, as the question asks: members without a name
+    read like subtotals."""
+    return geo_revenue_levels(star).select(
+        F.coalesce("country_name", F.lit("ALL COUNTRIES")).alias("country_name"),
+        F.coalesce("region_name", F.lit("ALL REGIONS")).alias("region_name"),
+        F.coalesce("territory_name", F.lit("ALL TERRITORIES")).alias("territory_name"),
+        "total_revenue",
     )
 
 
@@ -191,24 +201,33 @@ def unit_price_vs_cost(star: Star, *, ordered: bool = True) -> DataFrame:
 def customer_order_performance(star: Star) -> DataFrame:
     """Orders, units and revenue by customer, region name and rep name."""
     lines = per_order(star, units=F.col("quantity"), revenue=F.col("line_total"))
-    region_ids, regions = named(star.dim_regions, "region_id", ["region_name"], "region")
-    rep_ids, reps = named(star.dim_sales_reps, "sales_rep_id", ["first_name", "last_name"], "rep")
-    per_group = (
-        star.fact_sales_orders.select("order_id", "customer_id", "region_id", "sales_rep_id")
+    ids = ["customer_id", "region_id", "sales_rep_id"]
+    # Orders are dealt by their id already, so that it costs no shuffle to see which ids are on several rows.
+    times = F.count(F.lit(1)).over(Window.partitionBy("order_id"))
+    rows = whole(
+        star.fact_sales_orders.select("order_id", *ids).join(lines, "order_id").withColumn("times", times)
+    )
+    per_ids = rows.groupBy(*ids).agg(
+        F.count(F.when(F.col("times") == 1, F.col("order_id"))).alias("orders"),
+        F.sum("units").alias("units"),
+        F.sum("revenue").alias("revenue"),
+    )
+    # Those few count once for each customer, region name and rep name.
+    region_ids, _ = named(star.dim_regions, "region_id", ["region_name"], "region")
+    rep_ids, _ = named(star.dim_sales_reps, "sales_rep_id", ["first_name", "last_name"], "rep")
+    repeated = (
+        rows.where(F.col("times") > 1)
         .join(region_ids, "region_id")
         .join(rep_ids, "sales_rep_id")
-        .join(lines, "order_id")
-        .groupBy("customer_id", "region", "rep")
-        .agg(
-            F.count_distinct("order_id").alias("orders"),
-            F.sum("units").alias("units"),
-            F.sum("revenue").alias("revenue"),
-        )
+        .select("customer_id", F.col("region").alias("region_id"), F.col("rep").alias("sales_rep_id"), "order_id")
+        .distinct()
+        .select(*ids, F.lit(1).cast("bigint").alias("orders"))
     )
+    per_group = per_ids.unionByName(repeated, allowMissingColumns=True)
     names = ["customer_id", "customer_name", "country_name", "region_name", "first_name", "last_name"]
     return (
-        per_group.join(regions, "region")
-        .join(reps, "rep")
+        per_group.join(star.dim_regions.select("region_id", "region_name"), "region_id")
+        .join(star.dim_sales_reps.select("sales_rep_id", "first_name", "last_name"), "sales_rep_id")
         .join(star.dim_customers.select("customer_id", "customer_name", "country_name"), "customer_id")
         .groupBy(*names)
         .agg(
