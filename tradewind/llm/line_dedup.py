@@ -41,6 +41,7 @@ MIN_DOCS = 5
 BATCH_DOCS = 1 << 26
 LEAST_BATCHES = 4
 _CUT_SAMPLE = 4096
+_PLACES = 1 << 40
 _NAME = ["r1", "r2"]
 _STRIPPED = " \t\n\x0b\x0c\r"
 
@@ -84,10 +85,11 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return arrow_map(named, rows, f"r1 bigint, r2 bigint, doc_id {kind}, h1 bigint, h2 bigint")
 
 
-def _cuts(docs: DataFrame, batches: int) -> list:
-    """Ids that cut the documents into batches of about the same size."""
-    sample = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id")).limit(_CUT_SAMPLE)
-    ids = [row[0] for row in sample.orderBy("doc_id").collect()]
+def _cuts(docs: DataFrame, batches: int, n_docs: int) -> list:
+    """Ids that cut the documents into batches of about the same size, from about ``_CUT_SAMPLE`` of their ids."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(_PLACES))
+    sample = docs.select("doc_id").where(F.col("doc_id").isNotNull() & (place < _PLACES * _CUT_SAMPLE // max(1, n_docs)))
+    ids = [row[0] for row in sample.distinct().orderBy("doc_id").collect()]
     return [ids[len(ids) * k // batches] for k in range(1, batches)] if ids else []
 
 
@@ -145,7 +147,8 @@ def repeated_lines(
     """(r1, r2, h1, h2): the line keys that each row has to give up. ``batches`` replaces the number of batches."""
     spark = docs.sparkSession
     keys = line_keys(docs, min_chars)
-    cuts = _cuts(docs, batches or max(LEAST_BATCHES, -(-docs.count() // BATCH_DOCS)))
+    n_docs = docs.count()
+    cuts = _cuts(docs, batches or max(LEAST_BATCHES, -(-n_docs // BATCH_DOCS)), n_docs)
     batch = sum((F.coalesce(F.col("doc_id") < cut, F.lit(True)).cast("int") for cut in cuts), F.lit(0))
     keys = written(keys.distinct().withColumn("batch", batch))
     runs = _Runs(spark, fanout)
