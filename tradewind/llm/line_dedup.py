@@ -150,7 +150,7 @@ def repeated_lines(
     n_docs = docs.count()
     cuts = _cuts(docs, batches or max(LEAST_BATCHES, -(-n_docs // BATCH_DOCS)), n_docs)
     batch = sum((F.coalesce(F.col("doc_id") < cut, F.lit(True)).cast("int") for cut in cuts), F.lit(0))
-    keys = written(keys.distinct().withColumn("batch", batch))
+    keys = written(keys.withColumn("batch", batch))
     runs = _Runs(spark, fanout)
     log = None
     for number in range(len(cuts) + 1):
@@ -174,7 +174,7 @@ def _with_given_up(docs: DataFrame, min_chars: int, min_docs: int, **runs) -> Da
     gone = (
         repeated_lines(docs.select("doc_id", "text"), min_chars, min_docs, **runs)
         .groupBy(*_NAME)
-        .agg(F.collect_list(F.struct("h1", "h2")).alias("given_up"))
+        .agg(F.collect_set(F.struct("h1", "h2")).alias("given_up"))
     )
     rows = _named(docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("text"))).drop("doc_id", "text")
     return rows.join(gone, _NAME, "left").select("row", "given_up")
