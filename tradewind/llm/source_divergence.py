@@ -55,18 +55,16 @@ def terms(text: bytes | None) -> list[bytes]:
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[tuple[str, str], tuple[Counter, Counter]]]:
     """Occurrences and documents by term, for each language and source, of about ``_HELD`` entries at a time."""
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-    entries = 0
     for batch in batches:
         columns = (batch.column(k).to_pylist() for k in ("lang", "source", "text"))
         for lang, source, text in zip(*columns, strict=True):
             n, in_docs = held.setdefault((lang, source), (Counter(), Counter()))
-            here, entries = terms(text), entries - len(n)
+            here = terms(text)
             n.update(here)
             in_docs.update(set(here))
-            entries += len(n)
-            if entries > _HELD:
-                yield held
-                held, entries = {}, 0
+        if sum(len(n) for n, _ in held.values()) > _HELD:
+            yield held
+            held = {}
     yield held
 
 
