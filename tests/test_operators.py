@@ -8,7 +8,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from tests.tiny import CUSTOMERS, DIMENSIONS, PRODUCTS, REGIONS, REPS, by, day, make_star, sales
+from tests.tiny import CUSTOMERS, DIMENSIONS, PRODUCTS, REGIONS, REPS, by, day, days_after, make_star, sales
 from tradewind.operators import advanced, integrity, joins, kpi, questions, selection
 from tradewind.plans import base, reports, summaries
 from tradewind.plans.views import register_views
@@ -262,6 +262,32 @@ def test_mismatch_takes_the_latest_valid_assignment(spark):
     assert found == {1: 2, 3: 3, 5: 2}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_mismatch_equals_each_day_judged_alone(spark, seed):
+    """Spans that nest, overlap, touch, end before they start or have no end, for many customers."""
+    pick = random.Random(seed)
+    customers = [{"customer_id": c, "customer_name": f"N{c}"} for c in range(40)]
+    spans = []
+    for number in range(400):
+        start, length = pick.randrange(60), pick.choice([-1, 0, 0, 1, 2, 5, 9, 30, None])
+        end = None if length is None else days_after("2024-01-01", max(start + length, 0))
+        spans.append(assignment(number, pick.randrange(6), pick.randrange(40), days_after("2024-01-01", start), end))
+    orders = [
+        (k, pick.randrange(40), pick.randrange(6), 1, days_after("2024-01-01", pick.randrange(70)), []) for k in range(1500)
+    ]
+    star = make_star(spark, dim_customers=customers, **sales(orders), rep_customer_assignments=spans)
+    expected = {}
+    for order, customer, rep, _, placed, _ in orders:
+        valid = [
+            (a["start_date_id"], a["end_date_id"] or 99991231, a["assignment_id"], a["sales_rep_id"])
+            for a in spans
+            if a["customer_id"] == customer and a["start_date_id"] <= day(placed) <= (a["end_date_id"] or 99991231)
+        ]
+        if valid and max(valid)[3] != rep:
+            expected[order] = max(valid)[3]
+    assert {r.order_id: r.assigned_rep for r in joins.rep_customer_mismatch(star).collect()} == expected
+
+
 def test_rollup_keeps_totals_when_a_member_is_null(spark):
     orders = [
         (1, 1, 1, 1, "2024-01-01", [(1, 1, 10)]),
@@ -596,6 +622,28 @@ def test_repeated_parents_count_their_children_once(spark):
     assert (repeated.child_table, repeated.checked_rows, repeated.violations) == ("dim_regions", 5, 2)
 
 
+def test_keys_of_64_neighbours_and_negative_or_large_ones(spark):
+    parents = [-(2**63), -65, -64, -1, 0, 63, 64, 2**40, 2**63 - 1, 2**63 - 1]
+    keys = [k + d for k in set(parents) for d in (-1, 0, 0, 1) if -(2**63) <= k + d < 2**63]
+    star = make_star(
+        spark,
+        dim_regions=[{"region_id": k} for k in parents],
+        dim_customers=[{"customer_id": n, "region_id": k} for n, k in enumerate(keys)],
+        fact_order_line_items=[{"line_item_id": k} for k in ("", "0", "a", "a", None)],
+        fact_returns=[{"return_id": n, "line_item_id": k} for n, k in enumerate(["", "0", "00", "a", "b", "b", None])],
+    )
+    report = by(integrity.referential_integrity_report(star), "constraint_name")
+    found = {name: (row.checked_rows, row.violations) for name, row in report.items() if row.checked_rows}
+    assert found == {
+        "fk_customer_region": (len(keys), sum(k not in parents for k in keys)),
+        "uq_dim_regions_region_id": (10, 1),
+        "uq_dim_customers_customer_id": (len(keys), 0),
+        "fk_return_line": (6, 3),
+        "uq_fact_order_line_items_line_item_id": (4, 1),
+        "uq_dim_date_date_id": (star.dim_date.count(), 0),
+    }
+
+
 # Rules that clean data never breaks
 
 

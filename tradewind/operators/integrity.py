@@ -1,11 +1,11 @@
 """Foreign keys and the uniqueness of what they refer to, checked by a job since Spark enforces neither."""
 
 from functools import reduce
-from itertools import groupby
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradewind.star import Star
 
@@ -53,32 +53,44 @@ def referential_integrity_report(star: Star) -> DataFrame:
     NULL keys are neither checked nor a violation. A parent that is there several times counts once for its
     children. A table is read once for all its foreign keys: its rows unfold to one for each constraint, which
     fold again to one per constraint and key before they move.
+
+    Whole numbers are compared as such; a key is text only if it or what it refers to is. The whole-number
+    keys of a parent are a set of bits, one row for each 64 neighbours that occur: dense keys take a 64th of
+    their rows, sparse ones never more than a row each.
     """
-    referenced = dict.fromkeys((fk.parent, fk.key) for fk in FOREIGN_KEYS)
-    children = [_keys(star, child, [(fk.name, fk.column) for fk in own]) for child, own in _by_child()]
-    parents = [_keys(star, table, [(table, key)]) for table, key in referenced]
-    per_key, per_parent = (
-        reduce(DataFrame.unionByName, tables).groupBy("checked", "key").agg(F.count(F.lit(1)).alias("rows"))
-        for tables in (children, parents)
-    )
-    constraints = [
-        *[(fk.name, fk.name, fk.child, fk.column, fk.parent) for fk in FOREIGN_KEYS],
-        *[(f"uq_{table}_{key}", table, table, key, table) for table, key in referenced],
+    constraints = [(fk, _whole(star, (fk.child, fk.column), (fk.parent, fk.key))) for fk in FOREIGN_KEYS]
+    sets = [*dict.fromkeys((fk.parent, fk.key, whole) for fk, whole in constraints)]
+    children = [
+        _keys(star, child, [(k, fk.column, whole) for k, (fk, whole) in enumerate(constraints) if fk.child == child])
+        for child in dict.fromkeys(fk.child for fk in FOREIGN_KEYS)
     ]
-    names = ["constraint_name", "checked", "child_table", "child_column", "parent_table"]
-    listed = [F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names, strict=True)]) for row in constraints]
-    wanted = star.dim_date.sparkSession.range(1).select(F.inline(F.array(*listed)))
-    found = per_parent.select(F.col("checked").alias("parent_table"), "key", F.lit(True).alias("found"))
-    parent_of = wanted.select("checked", "parent_table")
-    missing = F.when(F.col("found").isNull(), F.col("rows"))
+    parents = [_keys(star, table, [(len(constraints) + k, key, whole)]) for k, (table, key, whole) in enumerate(sets)]
+    rows = F.count(F.lit(1)).alias("rows")
+    per_key = reduce(DataFrame.unionByName, children).groupBy("checked", "number", "name").agg(rows)
+    per_word = (
+        reduce(DataFrame.unionByName, parents)
+        .groupBy("checked", _word(), "name")
+        .agg(rows, F.bit_or(F.expr("shiftleft(1L, CAST(number & 63 AS INT))")).alias("present"))
+    )
+    set_of = F.array(*[F.lit(len(constraints) + sets.index((fk.parent, fk.key, whole))) for fk, whole in constraints])
+    found = per_word.select(F.col("checked").alias("set"), "word", "name", "present")
+    there = F.getbit("present", F.col("number").bitwiseAND(F.lit(63)).cast("int")) == 1
     checked = (
-        per_key.join(F.broadcast(parent_of), "checked")  # one row per constraint, a fixed number
-        .join(found, ["parent_table", "key"], "left")
-        .select("checked", "rows", F.coalesce(missing, F.lit(0)).alias("faults"))
-        .unionByName(per_parent.select("checked", "rows", (F.col("rows") - 1).alias("faults")))
+        per_key.select("*", F.get(set_of, "checked").alias("set"), _word())
+        .join(found, ["set", "word", "name"], "left")
+        .select("checked", "rows", F.when(there, 0).otherwise(F.col("rows")).alias("faults"))
+        .unionByName(per_word.select("checked", "rows", (F.col("rows") - F.bit_count("present")).alias("faults")))
         .groupBy("checked")
         .agg(F.sum("rows").alias("checked_rows"), F.sum("faults").alias("violations"))
     )
+    listed = [(k, fk.name, fk.child, fk.column, fk.parent) for k, fk in enumerate(FOREIGN_KEYS)]
+    for table, key in dict.fromkeys((fk.parent, fk.key) for fk in FOREIGN_KEYS):
+        first = next(k for k, own in enumerate(sets) if own[:2] == (table, key))
+        listed.append((len(constraints) + first, f"uq_{table}_{key}", table, key, table))
+    names = ["checked", "constraint_name", "child_table", "child_column", "parent_table"]
+    wanted = star.dim_date.sparkSession.range(1).select(
+        F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names, strict=True)]) for row in listed]))
+    )
     none = F.lit(0)
     return wanted.join(checked, "checked", "left").select(
         "constraint_name",
@@ -90,11 +102,24 @@ def referential_integrity_report(star: Star) -> DataFrame:
     )
 
 
-def _by_child():
-    return [(child, [*own]) for child, own in groupby(sorted(FOREIGN_KEYS, key=lambda fk: fk.child), lambda fk: fk.child)]
+def _word() -> Column:
+    """Which run of 64 neighbouring numbers a key is in."""
+    return F.shiftright("number", 6).alias("word")
 
 
-def _keys(star: Star, table: str, columns: list[tuple[str, str]]) -> DataFrame:
-    """(checked, key): the keys of each row as text, under the name they are checked by."""
-    keys = [F.struct(F.lit(name).alias("checked"), F.col(c).cast("string").alias("key")) for name, c in columns]
-    return getattr(star, table).select(F.inline(F.array(*keys))).dropna(subset="key")
+def _whole(star: Star, *keys: tuple[str, str]) -> bool:
+    return all(isinstance(getattr(star, table).schema[column].dataType, T.IntegralType) for table, column in keys)
+
+
+def _keys(star: Star, table: str, columns: list[tuple[int, str, bool]]) -> DataFrame:
+    """(checked, number, name): the keys of each row under the number they are checked by, with 0 as the number of
+    a text and '' as the name of a whole number."""
+    keys = [
+        F.struct(
+            F.lit(checked).alias("checked"),
+            (F.col(c) if whole else F.when(F.col(c).isNotNull(), 0)).cast("bigint").alias("number"),
+            F.lit("").alias("name") if whole else F.col(c).cast("string").alias("name"),
+        )
+        for checked, c, whole in columns
+    ]
+    return getattr(star, table).select(F.inline(F.array(*keys))).dropna(subset="number")

@@ -2,7 +2,7 @@
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions.ratios import quotient
@@ -51,9 +51,10 @@ def rep_customer_mismatch(star: Star) -> DataFrame:
     Of the assignments valid that day the latest to start counts; among those starting together,
     the one that lasts longest, then the highest id. Orders without a valid assignment drop out.
 
-    Validity depends on the day alone, so it is decided per customer and day, against at most one
-    assignment per customer and start day. Both are bounded by the calendar, however many orders
-    or assignments one customer has; the orders themselves meet just one row each.
+    Validity depends on the day alone, so it is decided per customer and day. Assignments, at most one per
+    customer and start day, are cut into spans that do not overlap; then each day looks up the last cut before
+    it. The rows formed for a customer are its days and two for each assignment, both bounded by the calendar,
+    however many orders it has; the orders themselves meet just one row each.
     """
     open_end = F.lit(date(9999, 12, 31))
     starts = star.calendar("start_date_id", F.col("full_date").alias("starts"))
@@ -64,34 +65,69 @@ def rep_customer_mismatch(star: Star) -> DataFrame:
         .join(ends, "end_date_id", "left")
         .groupBy("customer_id", "starts")
         .agg(
-            F.max_by("sales_rep_id", lasting).alias("assigned_rep"),
+            F.max_by("sales_rep_id", lasting).alias("rep"),
             F.max(F.coalesce("ends", open_end)).alias("ends"),
         )
+        .filter(F.col("ends") >= F.col("starts"))
+        .groupBy("customer_id")
+        .agg(F.array_sort(F.collect_list(F.struct("starts", "ends", "rep"))).alias("spans"))
+        .select("customer_id", F.inline(_cuts("spans")))
     )
     days = (
         star.fact_sales_orders.select("customer_id", "order_date_id")
         .distinct()
         .join(star.calendar("order_date_id", F.col("full_date").alias("day")), "order_date_id")
     )
-    # Grouping by the day as well as its id makes the result shuffle again for the join with orders.
-    # That lets Spark split a customer's busy day, which it cannot if one side is an aggregate in place.
-    assigned = (
-        days.join(spans, "customer_id")
-        .filter(F.col("day").between(F.col("starts"), F.col("ends")))
-        .groupBy("customer_id", "order_date_id", "day")
-        .agg(F.max_by("assigned_rep", "starts").alias("assigned_rep"))
+    so_far = Window.partitionBy("customer_id").orderBy("day", "turn")
+    cut = F.when(F.col("turn") < 2, F.struct("rep"))
+    looked_up = (
+        spans.withColumn("order_date_id", F.lit(None).cast("int"))
+        .unionByName(days.withColumns({"turn": F.lit(2), "rep": F.lit(None).cast("bigint")}))
+        .withColumn("cut", F.last(cut, ignorenulls=True).over(so_far))
+        .filter("turn = 2")
     )
+    assigned = looked_up.select("customer_id", "order_date_id", F.col("cut.rep").alias("assigned_rep"))
     return (
         star.fact_sales_orders.select(
             "order_id", "customer_id", "order_date_id", F.col("sales_rep_id").alias("order_rep")
         )
-        .join(assigned, ["customer_id", "order_date_id"])
+        .join(assigned.dropna(), ["customer_id", "order_date_id"])
         .filter(F.col("order_rep") != F.col("assigned_rep"))
         .join(star.dim_customers.select("customer_id", "customer_name"), "customer_id")
         .select("order_id", "customer_name", "order_rep", "assigned_rep")
     )
 
 
+def _cuts(spans: str) -> Column:
+    """Where the span that counts changes: (day, turn, rep), given spans in order of their starts.
+
+    The latest to start counts while it lasts; the day after its end the rep of the one that it hid comes back,
+    or none. ``open`` holds the spans that can still count, each ending before those under it: a new span drops
+    those that do not outlast it, for it hides them to their end. On a day with both, the start (turn 1)
+    comes after the return (turn 0).
+    """
+    cut = "struct<day: date, turn: int, rep: bigint>"
+    entry = "struct<ends: date, rep: bigint, under: bigint>"
+
+    def returns(ended: Column) -> Column:
+        return F.transform(
+            ended, lambda o: F.struct(F.date_add(o["ends"], 1).alias("day"), F.lit(0).alias("turn"), o["under"].alias("rep"))
+        )
+
+    def add(state: Column, new: Column) -> Column:
+        left = F.filter(state["open"], lambda o: o["ends"] > new["ends"])
+        under = F.get(F.transform(left, lambda o: o["rep"]), F.size(left) - 1)
+        start = F.struct(new["starts"].alias("day"), F.lit(1).alias("turn"), new["rep"].alias("rep"))
+        ended = F.filter(state["open"], lambda o: o["ends"] < new["starts"])
+        return F.struct(
+            F.concat(left, F.array(F.struct(new["ends"].alias("ends"), new["rep"].alias("rep"), under.alias("under")))).alias("open"),
+            F.concat(state["cuts"], returns(ended), F.array(start)).alias("cuts"),
+        )
+
+    nothing = F.struct(F.array().cast(f"array<{entry}>").alias("open"), F.array().cast(f"array<{cut}>").alias("cuts"))
+    return F.aggregate(spans, nothing, add, lambda state: F.concat(state["cuts"], returns(state["open"])))
+
+
 def _revenue_by_customer_and_region(star: Star) -> DataFrame:
     revenue = per_order(star, revenue=F.col("line_total"))
     orders = star.fact_sales_orders.select("order_id", "customer_id", "region_id")
