@@ -1,5 +1,6 @@
 import pytest
 import sentencepiece
+from sentencepiece import sentencepiece_model_pb2
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -67,3 +68,75 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     docs = documents(spark, ["a", "b", "c"], ids=[1, 1, None])
     assert sorted(r["decoded"] for r in pieces.encode(docs).collect()) == ["a", "b", "c"]
     assert pieces.encode(docs.limit(0)).collect() == []
+
+
+def changed_model(folder, change) -> str:
+    """The model with other settings."""
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(pieces.MODEL, "rb") as file:
+        proto.ParseFromString(file.read())
+    change(proto)
+    path = folder / "changed.model"
+    path.write_bytes(proto.SerializeToString())
+    return str(path)
+
+
+def charsmap(rule: str) -> bytes:
+    """A character map that the library has compiled in."""
+    spec = sentencepiece_model_pb2.ModelProto()
+    spec.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    return spec.normalizer_spec.precompiled_charsmap
+
+
+FOLDED = [*PARTS, "A", "\u0301", "\u0327", "ＡＢ", "㍿", "\u00a8", "\u00a0", "\u3000", "\u200b", "Å", "が", "か\u3099", "½", "ǅ", "\u0001", "각", "ß"]
+
+
+@pytest.mark.parametrize("rule", ["identity", "nfkc", "nmt_nfkc", "nmt_nfkc_cf"])
+@pytest.mark.parametrize("prefix", [True, False])
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_normaliser_settings_are_compiled(tmp_path, rule, prefix, squeeze):
+    def change(proto):
+        proto.normalizer_spec.name = rule
+        proto.normalizer_spec.precompiled_charsmap = b"" if rule == "identity" else charsmap(rule)
+        proto.normalizer_spec.add_dummy_prefix = prefix
+        proto.normalizer_spec.remove_extra_whitespaces = squeeze
+
+    path = changed_model(tmp_path, change)
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Transducer(path)
+
+    @settings(max_examples=150, deadline=None)
+    @given(text=st.one_of(st.text(max_size=40), st.lists(st.sampled_from(FOLDED), max_size=30).map("".join)))
+    def check(text):
+        assert machine.normalise(text) == library.normalize(text)
+        ids = machine.encode(text).tolist()
+        assert ids == library.encode(text)
+        assert machine.decode(ids) == library.decode(ids)
+
+    check()
+
+
+def test_what_is_not_compiled_is_refused(tmp_path):
+    def suffix(proto):
+        proto.trainer_spec.treat_whitespace_as_suffix = True
+
+    def unigram(proto):
+        proto.trainer_spec.model_type = proto.trainer_spec.UNIGRAM
+
+    def unescaped(proto):
+        proto.normalizer_spec.escape_whitespaces = False
+
+    def defined(proto):
+        proto.pieces[300].type = proto.pieces[300].USER_DEFINED
+
+    def denormaliser(proto):
+        proto.denormalizer_spec.precompiled_charsmap = charsmap("nfkc")
+
+    for change in (suffix, unigram, unescaped, defined, denormaliser):
+        with pytest.raises(ValueError):
+            pieces.Transducer(changed_model(tmp_path, change))
+
+
+def test_round_trip(spark):
+    texts = [None, "", " a  b ", "a\u2581b"]
+    got = by_id(pieces.encode(documents(spark, texts), compared=True))
+    assert [got[i]["round_trip"] for i in range(4)] == [None, True, True, False]

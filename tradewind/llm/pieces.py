@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The transducer is compiled from a BPE model file: a normaliser (dummy prefix, blanks to U+2581), one arc
-for each piece, weighted by its negated score, and a byte fallback for code points without a piece. BPE
-applies merges by rank, which a sum of piece weights alone does not reproduce, so the piece arcs are
+The transducer is compiled from a BPE model file: the model's normaliser (its character map, blanks squeezed
+and stripped, a dummy prefix, each as the model says, and blanks to U+2581), one arc
+for each piece, weighted by its negated score, and a byte fallback for code points without a piece. What is
+not compiled is refused: other kinds of model, pieces that the user defined, unused ones or ones that span
+blanks, blanks as suffixes, and a denormaliser. BPE applies merges by rank, which a sum of piece weights alone does not reproduce, so the piece arcs are
 composed with an acceptor whose states are the last piece: it lets piece b follow piece a only if merging
 the two together gives [a, b] again. A sequence all of whose neighbours pass is the one that the merges
 give for the whole text, so in the composition with an input at most one path ends in each position, and
@@ -12,7 +14,7 @@ seen before are remembered in tables of bounded size.
 
 Defined results: a null text gives null ids, no pieces and a null decoding; an empty text gives no
 pieces and decodes to the empty text. U+2581 in a text encodes as a blank, as it does in the library, so
-such a text does not round trip. Repeated rows are encoded alike, and columns other than ``doc_id`` and
+such a text does not round trip; nor does one that a model's normaliser changes. Repeated rows are encoded alike, and columns other than ``doc_id`` and
 ``text`` are ignored.
 """
 
@@ -26,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from sentencepiece import sentencepiece_model_pb2
 
 from tradewind.llm.common import arrow_map
 
@@ -35,10 +38,85 @@ _MAX_CHUNKS = 250_000
 _MAX_PAIRS = 500_000
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """The replacements in a model's compiled character map: a double-array trie over UTF-8 bytes, which gives the
+    place of each replacement among the texts after it, each ended by a zero byte."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, texts = np.frombuffer(blob[4 : 4 + size], "<u4").astype(np.int64), blob[4 + size :]
+    labels, byte = units & 0x800000FF, np.arange(1, 256)
+    below = (units >> 10) << ((units & 0x200) >> 6)
+    rules, todo = {}, [(int(below[0]), b"")]
+    while todo:
+        at, key = todo.pop()
+        next_ = at ^ byte
+        next_ = next_[next_ < len(units)]
+        for k in next_[labels[next_] == at ^ next_]:
+            here, longer = int(k ^ below[k]), key + bytes([at ^ int(k)])
+            if units[k] & 0x100:
+                start = int(units[here] & 0x7FFFFFFF)
+                rules[longer.decode()] = texts[start : texts.index(0, start)].decode()
+            todo.append((here, longer))
+    return rules
+
+
+class Normaliser:
+    """What a model does to a text before it looks for pieces: the first transducer of the composition."""
+
+    def __init__(self, spec):
+        self._rules = character_map(spec.precompiled_charsmap)
+        self._squeeze = spec.remove_extra_whitespaces
+        self._prefix = BLANK if spec.add_dummy_prefix else ""
+        if not spec.escape_whitespaces or any("  " in new for new in self._rules.values()):
+            raise ValueError("a normaliser that keeps blanks or makes two of them is not supported")
+        self._sizes: dict[str, list[int]] = {}
+        for size, first in sorted({(len(old), old[0]) for old in self._rules}, reverse=True):
+            self._sizes.setdefault(first, []).append(size)
+        firsts = "".join(map(re.escape, self._sizes))
+        self._plain = re.compile(f"[^{firsts}]+").match if firsts else None
+
+    def _mapped(self, text: str) -> str:
+        """The longest replacement at each place, from left to right; what has none stays."""
+        out, at = [], 0
+        while at < len(text):
+            plain = self._plain(text, at)
+            if plain:
+                out.append(plain[0])
+                at = plain.end()
+                continue
+            size = next((n for n in self._sizes[text[at]] if text[at : at + n] in self._rules), 0)
+            out.append(self._rules[text[at : at + size]] if size else text[at])
+            at += size or 1
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        if not text:
+            return ""
+        if self._rules:
+            text = self._mapped(text)
+        if self._squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
+            return (self._prefix + text.replace(" ", BLANK)).rstrip(BLANK)
+        return self._prefix + text.replace(" ", BLANK)
+
+
 class Transducer:
     """Encoder and decoder compiled from a SentencePiece BPE model with byte fallback."""
 
     def __init__(self, path: str = MODEL):
+        proto = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as file:
+            proto.ParseFromString(file.read())
+        if proto.trainer_spec.model_type != proto.trainer_spec.BPE:
+            raise ValueError("the model is not a BPE model")
+        if proto.trainer_spec.treat_whitespace_as_suffix or proto.denormalizer_spec.precompiled_charsmap:
+            raise ValueError("blanks as suffixes and denormalisers are not supported")
+        if any(p.type in (p.USER_DEFINED, p.UNUSED) for p in proto.pieces):
+            raise ValueError("user-defined and unused pieces are not supported")
+        self.normalise = Normaliser(proto.normalizer_spec)
+        self._strips_on = proto.normalizer_spec.remove_extra_whitespaces
+        self._strip = proto.normalizer_spec.add_dummy_prefix or self._strips_on
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [model.id_to_piece(k) for k in range(len(model))]
         self.byte_id = {int(p[3:5], 16): k for k, p in enumerate(names) if model.is_byte(k)}
@@ -151,18 +229,25 @@ class Transducer:
 
     def encode(self, text: str) -> np.ndarray:
         """Piece ids of a text."""
-        if not text:
+        chunks = self._chunks(self.normalise(text))
+        if not chunks:
             return np.zeros(0, np.int32)
-        chunks = self._chunks(BLANK + text.replace(" ", BLANK))
         ids = list(map(self._known.get, chunks))
         if None in ids:
             ids = [self._ids(chunk) if known is None else known for chunk, known in zip(chunks, ids)]
         return np.frombuffer(b"".join(ids), np.int32)
 
     def decode(self, ids) -> str:
-        """The text of piece ids: the dummy prefix goes, invalid byte runs are replaced."""
-        text = b"".join([self.piece[k] for k in ids]).decode(errors="replace")
-        return text[1:] if text.startswith(" ") else text
+        """The text of piece ids: the dummy prefix goes, invalid byte runs are replaced.
+
+        A model that strips blanks takes one off each piece until there is text.
+        """
+        found = [self.piece[k] for k in ids]
+        for k, piece in enumerate(found if self._strip else []):
+            found[k] = piece.removeprefix(b" ")
+            if found[k] or not self._strips_on:
+                break
+        return b"".join(found).decode(errors="replace")
 
 
 @lru_cache(2)
@@ -171,25 +256,35 @@ def transducer(path: str = MODEL) -> Transducer:
     return Transducer(path)
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, n_pieces, ids, decoded): piece ids of every whole text, and the text they decode to."""
+def encode(docs: DataFrame, model: str = MODEL, compared: bool = False) -> DataFrame:
+    """(doc_id, n_pieces, ids, decoded): piece ids of every whole text, and the text they decode to.
+
+    With ``compared`` also ``round_trip``: whether that is the text again, null for a null text.
+    """
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         machine = transducer(model)
-        found = [None if t is None else machine.encode(t) for t in batch.column("text").to_pylist()]
+        texts = batch.column("text").to_pylist()
+        found = [None if t is None else machine.encode(t) for t in texts]
         sizes = [0 if ids is None else len(ids) for ids in found]
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
         flat = np.concatenate([np.zeros(0, np.int32), *(ids for ids in found if ids is not None)])
         lists = pa.ListArray.from_arrays(offsets, pa.array(flat), mask=pa.array([ids is None for ids in found]))
         decoded = [None if ids is None else machine.decode(ids.tolist()) for ids in found]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), lists, pa.array(decoded, pa.string())],
-            names=["doc_id", "n_pieces", "ids", "decoded"],
-        )
+        columns = {
+            "doc_id": batch.column("doc_id"),
+            "n_pieces": pa.array(sizes, pa.int64()),
+            "ids": lists,
+            "decoded": pa.array(decoded, pa.string()),
+        }
+        if compared:
+            same = [None if t is None else t == d for t, d in zip(texts, decoded, strict=True)]
+            columns["round_trip"] = pa.array(same, pa.bool_())
+        return pa.RecordBatch.from_pydict(columns)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return arrow_map(
         docs.select("doc_id", "text"),
         rows,
-        f"doc_id {kind}, n_pieces bigint, ids array<int>, decoded string",
+        f"doc_id {kind}, n_pieces bigint, ids array<int>, decoded string" + (", round_trip boolean" if compared else ""),
     )

@@ -60,8 +60,8 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and digest of the decoded text; ``round_trip`` tells whether that is the text again."""
     docs = _table(spark, folder, "documents")
-    return pieces.encode(docs).select(
-        "doc_id", "n_pieces", "ids", F.sha2("decoded", 256).alias("decoded_sha256")
+    return pieces.encode(docs, compared=True).select(
+        "doc_id", "n_pieces", "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip"
     )
 
 
