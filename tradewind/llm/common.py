@@ -17,7 +17,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; in local mode without it, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.conf.get("spark.master", "local").startswith("local["):
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tradewind-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)

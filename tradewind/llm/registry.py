@@ -109,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": _LINE_DEDUP,
+        "op6_decontamination": _DECONTAMINATION,
         "op9_embedding_near_dedup": _EMBEDDING_NEAR_DEDUP,
         "op10_substring_dedup": _SUBSTRING_DEDUP,
         "op11_nearest_neighbours": _NEAREST_NEIGHBOURS,
@@ -140,6 +141,39 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+_DECONTAMINATION = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), items AS (
+  SELECT item_id::VARCHAR AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, size, array_to_string(words[s:s + size - 1], ' ') AS passage
+  FROM (SELECT item, words, least(len(words), 13) AS size, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS s
+        FROM items WHERE len(words) > 0)
+), passages AS (
+  SELECT DISTINCT r, s, size, array_to_string(words[s:s + size - 1], ' ') AS passage
+  FROM (SELECT r, words, size, unnest(range(1, len(words) - size + 2)) AS s
+        FROM split JOIN (SELECT DISTINCT size FROM windows) ON len(words) >= size)
+), found AS (
+  SELECT r, s, size, item FROM passages JOIN windows USING (size, passage)
+), hit AS (
+  SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(s, s + size)) AS k FROM found) GROUP BY r
+), own AS (
+  SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT r, item FROM found) GROUP BY r
+)
+SELECT doc_id, len(words) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(own.n, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(words) AS contaminated
+FROM split LEFT JOIN hit USING (r) LEFT JOIN own USING (r)
+"""
+
 _EMBEDDING_NEAR_DEDUP = r"""
 WITH RECURSIVE sound AS (
   SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v
