@@ -1,0 +1,43 @@
+"""The registry without the text operators or the libraries they need."""
+
+import sys
+from importlib.abc import MetaPathFinder
+
+import pytest
+
+import __spark_entry__ as entry
+
+
+@pytest.fixture
+def without(monkeypatch):
+    """Make modules impossible to import, as if they were not there."""
+
+    def hide(*names):
+        class Hidden(MetaPathFinder):
+            def find_spec(self, fullname, path=None, target=None):
+                if fullname in names:
+                    raise ModuleNotFoundError(f"No module named {fullname!r}", name=fullname)
+
+        for loaded in [*sys.modules]:
+            if loaded in names or loaded.startswith(("tradewind.llm", "corpus_pipeline")):
+                monkeypatch.delitem(sys.modules, loaded)
+        if "tradewind.llm" in vars(sys.modules["tradewind"]):
+            monkeypatch.delattr(sys.modules["tradewind"], "llm")
+        monkeypatch.setattr(sys, "meta_path", [Hidden(), *sys.meta_path])
+
+    return hide
+
+
+@pytest.mark.parametrize("name", ["ahocorasick", "sentencepiece"])
+def test_a_missing_library_leaves_the_other_queries(without, recwarn, name):
+    pytest.importorskip("corpus_pipeline")
+    without(name)
+    assert entry.queries().keys() == entry._QUERIES.keys() == entry.oracle_sql().keys()
+    assert any(name in str(warning.message) for warning in recwarn)
+
+
+@pytest.mark.parametrize("name", ["tradewind.llm", "corpus_pipeline"])
+def test_removed_text_operators_leave_the_other_queries(without, recwarn, name):
+    without(name)
+    assert entry.queries().keys() == entry._QUERIES.keys() == entry.oracle_sql().keys()
+    assert not any("text queries" in str(warning.message) for warning in recwarn)
