@@ -53,7 +53,7 @@ def test_run_and_registration(spark):
     got = __spark_entry__.queries()["pipeline"](spark, DATA)
     assert got.select("doc_id").distinct().count() == got.count() > 100
     numbers = [int(found[1]) for n in __spark_entry__.queries() if (found := re.match(r"op(\d+)_", n))]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
 
 
 def test_stages_take_awkward_rows(spark, tmp_path):
