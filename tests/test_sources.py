@@ -152,3 +152,22 @@ def test_filters_and_columns_reach_the_scan(spark, conf, tmp_path):
     assert "ReadSchema: struct<product_id:bigint,quantity:int,line_total:decimal(14,2)>" in summary
     top = advanced.top_customer_per_country(read)._jdf.queryExecution().executedPlan().toString()
     assert top.count("WindowGroupLimit") == 2
+
+
+def test_quotas_are_not_taken_for_a_small_table(spark):
+    """Spark broadcasts what it takes for small. A rep has over a hundred quotas, and the estimate has to know."""
+    reps = spark.range(1, 2001).select(F.col("id").alias("s_suppkey"), (F.col("id") % 25).cast("int").alias("s_nationkey"))
+    quotas = retail._quotas(reps, date(1995, 1, 1), date(2001, 8, 1))
+    # 80 months and 27 quarters, twice for every seventh rep
+    assert quotas.count() == 107 * (2000 + 2000 // 7)
+    assert int(quotas._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > 8 * quotas.count()
+
+
+def test_quotas_begin_with_the_first_whole_month(spark):
+    reps = spark.createDataFrame([(7, 1), (8, None)], "s_suppkey bigint, s_nationkey int")
+    quotas = retail._quotas(reps, date(2000, 11, 2), date(2001, 1, 31))
+    rows = sorted((r.sales_rep_id, r.date_id, r.quota_period_type, r.quota_target) for r in quotas.collect())
+    month, quarter = 7 * 7919 + 50000, 3 * (7 * 7919 + 50000)
+    one = [(7, 20001201, "Monthly", month), (7, 20010101, "Monthly", month), (7, 20010101, "Quarterly", quarter)]
+    assert rows[:6] == sorted(2 * one)
+    assert [r[:3] for r in rows[6:]] == [(8, *r[1:3]) for r in one]

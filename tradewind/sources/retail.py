@@ -309,7 +309,13 @@ def _quotas(supplier: DataFrame, first: date, last: date) -> DataFrame:
     rep = F.col("s_suppkey")
     # The first of every month of the calendar.
     start = first if first.day == 1 else date(first.year + first.month // 12, first.month % 12 + 1, 1)
-    months = F.sequence(F.lit(start), F.lit(last), F.expr("INTERVAL 1 MONTH"))
+    months = (last.year - start.year) * 12 + last.month - start.month + 1
+    # Each copy of a rep meets the periods in a join and not in an explode: Spark takes the rows of an explode to be as
+    # many as before, and would broadcast all quotas.
+    periods = supplier.sparkSession.range(2 * max(months, 0)).select(
+        (F.col("id") % 2).cast("int").alias("copy"),
+        F.add_months(F.lit(start), F.floor(F.col("id") / 2).cast("int")).alias("month_start"),
+    )
     month = F.col("month_start")
     quarterly = F.col("quota_period_type") == "Quarterly"
     target = rep * 7919 % 400000 + 50000
@@ -317,7 +323,8 @@ def _quotas(supplier: DataFrame, first: date, last: date) -> DataFrame:
     copies = F.when(rep % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     serial = (F.year(month) * 12 + F.month(month)) * 4 + F.when(quarterly, 2).otherwise(0) + F.col("copy")
     return (
-        supplier.select(rep, "s_nationkey", copies.alias("copies"), F.explode(months).alias("month_start"))
+        supplier.select(rep, "s_nationkey", F.explode(copies).alias("copy"))
+        .join(periods, "copy")
         .withColumn(
             "quota_period_type",
             F.explode(
@@ -325,7 +332,6 @@ def _quotas(supplier: DataFrame, first: date, last: date) -> DataFrame:
                 .otherwise(F.array(F.lit("Monthly")))
             ),
         )
-        .withColumn("copy", F.explode("copies"))
         .select(
             (rep * 1_000_000 + serial).alias("quota_id"),
             rep.alias("sales_rep_id"),
