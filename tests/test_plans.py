@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.plan_text import final_plan
 from tradewind.operators import advanced, integrity, kpi, selection
-from tradewind.plans import reports, summaries
+from tradewind.plans import base, reports, summaries
 from tradewind.sources.parquet import read_star, write_star
 from tradewind.sources.retail import AS_OF, load_star
 
@@ -52,6 +52,16 @@ def test_no_shuffle_by_region(files, plan):
     assert len(by_region) <= 3 and all("ReadSchema" not in line for line in by_region)
 
 
+@pytest.mark.parametrize(
+    ("query", "day"), [(base.base_sales_order_line, "order_date_id"), (base.base_returns, "return_date_id")]
+)
+def test_shuffles_of_wide_records_carry_no_days(files, plan, query, day):
+    """The calendar comes last, and orders meet customers before reps and regions give them columns."""
+    joins = re.findall(r"Join \[(\w+)#", plan(query(files)))
+    assert joins[0] == day and joins.count(day) == 1
+    assert joins.index("order_id") < joins.index("region_id") < joins.index("sales_rep_id") < joins.index("customer_id")
+
+
 def test_lines_of_one_year_only_are_summed(files, plan):
     for query in (
         partial(kpi.frequent_low_value_customers, as_of=AS_OF),
