@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,32 @@ def test_strings_stay_out_of_the_shuffles_of_counts(spark):
     assert {r["split"] for r in counts.select("split").distinct().collect()} == {""}
     tally, _ = sd.tallied(docs)
     assert [c for c, kind in tally.dtypes if kind == "string"] == ["lang", "source"]
+
+
+def test_names_take_no_rows_of_their_own(spark):
+    counts, names = sd.tallied(corpus(spark))
+    assert set(names.inputFiles()) == set(counts.inputFiles())
+    assert 0 < names.count() < counts.count()
+
+
+def test_a_batch_is_tallied_in_parts_of_whole_documents(monkeypatch):
+    texts = ["Ab é c9AB", "", None, "ab", "-", "c ab", "x" * 50 + " c", "é", "Ab c"] * 3
+    langs, sources = ["en", "de", "en"] * 9, ["t", "s", "s", "s"] * 6 + ["t"] * 3
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(langs), pa.array(sources), pa.array([None if t is None else t.encode() for t in texts], pa.binary())],
+        names=["lang", "source", "text"],
+    )
+    monkeypatch.setattr(sd, "_HELD", 6)
+    monkeypatch.setattr(sd, "_BLOCK", 16)
+    tallies = list(sd._tallies(iter([batch.slice(0, 5), batch.slice(5, 0), batch.slice(5)])))
+    assert len(tallies) > 2
+    n, in_docs = Counter(), Counter()
+    for tally in tallies:
+        terms = tally.terms.to_pylist()
+        for group, term, times, docs in zip(tally.group, tally.term, tally.n, tally.docs, strict=True):
+            key = (*tally.groups[group], terms[term].decode())
+            n[key] += times
+            in_docs[key] += docs
+    found = [[(*group, t) for t in terms_of(text)] for text, *group in zip(texts, langs, sources, strict=True)]
+    assert n == Counter(key for keys in found for key in keys)
+    assert in_docs == Counter(key for keys in found for key in set(keys))

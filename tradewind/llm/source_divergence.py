@@ -1,11 +1,12 @@
 """Audit of how far the sources of a language diverge in their terms, with the text of terms joined last.
 
-Tasks count terms by 64-bit digest and write the counts (language, source, digest, occurrences, documents) and, apart
-from them, the names (language, digest, smallest and largest term). What is shuffled to find the kept terms, to count
-them and to rank them are digests and numbers. Names are read for the digests that enough documents hold, and their text
-joins the output last, for the terms whose value reaches the least one that is reported.
+Tasks count terms by 64-bit digest and write the counts (language, source, digest, occurrences); one row of a term in a
+language also holds its name (term, documents), in columns that are read apart. What is shuffled to find the kept terms,
+to count them and to rank them are digests and numbers. Names are read for the digests that enough documents hold, and
+their text joins the output last, for the terms whose value reaches the least one that is reported. Within a task, terms
+are cut, numbered and counted as whole arrays.
 
-Digests may collide. Where the smallest and the largest term of a digest differ, it stands for several terms. Such
+Digests may collide. Where the smallest and the largest name of a digest differ, it stands for several terms. Such
 digests are split: the documents are read again, counts are taken by term for those digests, and whether a term is kept
 is judged after that. A collision can only add documents to a digest, so no kept term is missed.
 
@@ -23,11 +24,12 @@ result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,35 +43,105 @@ ADDED = 5
 BITS = 64
 TERMS = 1024
 TILE = 512
-_HELD = 1 << 19
+_HELD = 6_000_000
+_BLOCK = 1 << 22
+_ROWS = 1 << 16
 
 #: ASCII letters in lower case stay, other ASCII separates, non-ASCII stays.
 _FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
-def terms(text: bytes | None) -> list[bytes]:
-    """The lower-cased terms of a text."""
-    return (text or b"").translate(_FOLD).split()
-
+def _words(texts: pa.BinaryArray) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The lower-cased terms of some texts, and how many each text has."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    start, size = int(offsets[0]), int(offsets[-1] - offsets[0])
+    if not size:
+        return pa.array([], pa.binary()), np.zeros(len(texts), np.int64)
+    folded = np.frombuffer(texts.buffers()[2][start : start + size].to_pybytes().translate(_FOLD), np.uint8)
+    inside = folded != 32
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    bounds = offsets - start
+    first = bounds[bounds < size]
+    begins[first] = inside[first]
+    letters = folded[inside]
+    ends = np.append(np.flatnonzero(begins[inside]), len(letters)).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(letters)])
+    return found, np.diff(np.searchsorted(np.flatnonzero(begins), bounds))
+
+
+class _Tally(NamedTuple):
+    """Counts by term and group, sorted by both; ``term`` and ``group`` are places in ``terms`` and ``groups``.
+
+    ``groups`` are (lang, source) in ascending order.
+    """
 
-def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[tuple[str, str], tuple[Counter, Counter]]]:
-    """Occurrences and documents by term, for each language and source, of about ``_HELD`` entries at a time."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    groups: list[tuple[str, str]]
+    terms: pa.BinaryArray
+    group: np.ndarray
+    term: np.ndarray
+    n: np.ndarray
+    docs: np.ndarray
+
+
+def _counted(owners: list[tuple[str, str]], words: list[pa.BinaryArray], sizes: list[np.ndarray]) -> _Tally:
+    """The tally of documents, given the group of each, their terms and how many each has."""
+    found = pa.chunked_array(words, pa.binary()).dictionary_encode()
+    term = np.concatenate([chunk.indices.to_numpy() for chunk in found.chunks]).astype(np.int64)
+    groups = sorted(set(owners))
+    number = {owner: k for k, owner in enumerate(groups)}
+    group = np.array([number[owner] for owner in owners])
+    # Documents are numbered by group, so that one sort brings together the terms, their groups and their documents.
+    order = np.argsort(group, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    bits = len(owners).bit_length()
+    key = term << bits | np.repeat(place, np.concatenate(sizes))
+    key.sort()
+    term, group = key >> bits, group[order][key & (1 << bits) - 1]
+    fresh = np.append(True, key[1:] != key[:-1])
+    rows = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (group[1:] != group[:-1])))
+    n = np.diff(np.append(rows, len(key)))
+    in_docs = np.add.reduceat(fresh, rows, dtype=np.int64)
+    return _Tally(groups, found.chunk(0).dictionary, group[rows], term[rows], n, in_docs)
+
+
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[_Tally]:
+    """Tallies of about ``_HELD`` words of whole documents at a time."""
+    owners: list[tuple[str, str]] = []
+    words: list[pa.BinaryArray] = []
+    sizes: list[np.ndarray] = []
+    held = 0
     for batch in batches:
-        columns = (batch.column(k).to_pylist() for k in ("lang", "source", "text"))
-        for lang, source, text in zip(*columns, strict=True):
-            n, in_docs = held.setdefault((lang, source), (Counter(), Counter()))
-            here = terms(text)
-            n.update(here)
-            in_docs.update(set(here))
-        if sum(len(n) for n, _ in held.values()) > _HELD:
-            yield held
-            held = {}
-    yield held
-
-
-def _digests(found, bits: int) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(t) >> 64 - bits for t in found), np.uint64, len(found)).view(np.int64)
+        if not batch.num_rows:
+            continue
+        lang, source = (batch.column(k).to_pylist() for k in ("lang", "source"))
+        texts = batch.column("text").fill_null(b"")
+        until = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // _BLOCK
+        starts = [0, *(np.flatnonzero(until[1:] != until[:-1]) + 1).tolist(), len(texts)]
+        for start, end in zip(starts[:-1], starts[1:], strict=True):
+            found, counts = _words(texts.slice(start, end - start))
+            owners += [(lang[k], source[k]) for k in (start + np.flatnonzero(counts)).tolist()]
+            words.append(found)
+            sizes.append(counts[counts > 0])
+            held += len(found)
+            if held > _HELD:
+                yield _counted(owners, words, sizes)
+                owners, words, sizes, held = [], [], [], 0
+    if held:
+        yield _counted(owners, words, sizes)
+
+
+def _digests(found: pa.BinaryArray, bits: int) -> np.ndarray:
+    return np.fromiter(
+        (xxhash.xxh64_intdigest(t) >> 64 - bits for t in found.to_pylist()), np.uint64, len(found)
+    ).view(np.int64)
+
+
+def _batches(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    for start in range(0, len(whole), _ROWS):
+        yield whole.slice(start, _ROWS)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -81,51 +153,37 @@ def _read_as_empty() -> list[Column]:
 
 
 def tallied(docs: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
-    """Counts (lang, source, digest, n, docs) and names (lang, digest, least, greatest) of each task, written."""
+    """Counts (lang, source, digest, n) and names (lang, digest, term, docs) of each task, written.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _tallies(batches):
-            names: dict[str, dict[int, tuple[bytes, bytes]]] = {}
-            for (lang, source), (n, in_docs) in held.items():
-                digests, known = _digests(n, bits), names.setdefault(lang, {})
-                for digest, term in zip(digests.tolist(), n, strict=True):
-                    if digest not in known:
-                        known[digest] = (term, term)
-                    elif term not in known[digest]:
-                        known[digest] = (min(term, known[digest][0]), max(term, known[digest][1]))
-                yield rows(lang, source, digests, list(n.values()), [in_docs[term] for term in n], None, None)
-            for lang, known in names.items():
-                digests = np.fromiter(known, np.int64, len(known))
-                yield rows(lang, None, digests, None, None, *([pair[k] for pair in known.values()] for k in (0, 1)))
-
-    def rows(lang, source, digests, n, in_docs, least, greatest) -> pa.RecordBatch:
-        size = len(digests)
-
-        def column(values, kind) -> pa.Array:
-            if values is None:
-                return pa.nulls(size, kind)
-            return pa.array(values, kind) if kind == pa.int64() else pa.array(values, pa.binary()).cast(kind)
-
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([lang] * size, pa.string()),
-                pa.array([source] * size, pa.string()),
-                pa.array(digests),
-                column(n, pa.int64()),
-                column(in_docs, pa.int64()),
-                column(least, pa.string()),
-                column(greatest, pa.string()),
-                pa.array(["count" if least is None else "name"] * size, pa.string()),
-            ],
-            names=["lang", "source", "digest", "n", "docs", "least", "greatest", "kind"],
-        )
+    A name is the term of a digest; ``docs`` are the documents of the language that have it.
+    """
 
-    numbers = "digest bigint, n bigint, docs bigint"
-    schema = f"lang string, source string, {numbers}, least string, greatest string, kind string"
-    tally = written(_texts(docs).mapInArrow(run, schema), "kind")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tally in _tallies(batches):
+            langs, sources = (pa.array([group[k] for group in tally.groups], pa.string()) for k in (0, 1))
+            number = np.unique([group[0] for group in tally.groups], return_inverse=True)[1][tally.group]
+            # The first row of a term in a language holds its name.
+            named = np.append(True, (tally.term[1:] != tally.term[:-1]) | (number[1:] != number[:-1]))
+            in_docs = np.zeros(len(named), np.int64)
+            in_docs[named] = np.add.reduceat(tally.docs, np.flatnonzero(named))
+            order = np.argsort(tally.group.astype(np.int32), kind="stable")
+            group, term, unnamed = pa.array(tally.group[order]), tally.term[order], ~named[order]
+            yield from _batches(
+                {
+                    "lang": langs.take(group),
+                    "source": sources.take(group),
+                    "digest": pa.array(_digests(tally.terms, bits)[term]),
+                    "n": pa.array(tally.n[order]),
+                    "term": tally.terms.take(pa.array(term, mask=unnamed)).cast(pa.string()),
+                    "docs": pa.array(in_docs[order], mask=unnamed),
+                }
+            )
+
+    schema = "lang string, source string, digest bigint, n bigint, term string, docs bigint"
+    tally = written(_texts(docs).mapInArrow(run, schema))
     return (
-        tally.where("kind = 'count'").select("lang", "source", "digest", "n", "docs"),
-        tally.where("kind = 'name'").select("lang", "digest", "least", "greatest"),
+        tally.select("lang", "source", "digest", "n"),
+        tally.where("docs IS NOT NULL").select("lang", "digest", "term", "docs"),
     )
 
 
@@ -133,19 +191,19 @@ def tallied_by_term(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """(lang, source, digest, split, n, docs): the counts of each task by term, which ``split`` holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _tallies(batches):
-            for (lang, source), (n, in_docs) in held.items():
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(n), pa.string()),
-                        pa.array([source] * len(n), pa.string()),
-                        pa.array(_digests(n, bits)),
-                        pa.array(list(n), pa.binary()).cast(pa.string()),
-                        pa.array(list(n.values()), pa.int64()),
-                        pa.array([in_docs[term] for term in n], pa.int64()),
-                    ],
-                    names=["lang", "source", "digest", "split", "n", "docs"],
-                )
+        for tally in _tallies(batches):
+            langs, sources = (pa.array([group[k] for group in tally.groups], pa.string()) for k in (0, 1))
+            group = pa.array(tally.group)
+            yield from _batches(
+                {
+                    "lang": langs.take(group),
+                    "source": sources.take(group),
+                    "digest": pa.array(_digests(tally.terms, bits)[tally.term]),
+                    "split": tally.terms.take(pa.array(tally.term)).cast(pa.string()),
+                    "n": pa.array(tally.n),
+                    "docs": pa.array(tally.docs),
+                }
+            )
 
     schema = "lang string, source string, digest bigint, split string, n bigint, docs bigint"
     return _texts(docs).mapInArrow(run, schema)
@@ -158,10 +216,10 @@ def kept_terms(docs: DataFrame, min_documents: int, bits: int = BITS) -> tuple[D
     """
     key = ["lang", "digest"]
     counts, names = tallied(docs, bits)
-    frequent = counts.groupBy(*key).agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_documents)
+    frequent = names.groupBy(*key).agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_documents)
     frequent = written(frequent.select(*key))
     names = names.join(frequent.hint("shuffle_hash"), key, "left_semi")
-    names = written(names.groupBy(*key).agg(F.min("least").alias("least"), F.max("greatest").alias("greatest")))
+    names = written(names.groupBy(*key).agg(F.min("term").alias("least"), F.max("term").alias("greatest")))
     single, mixed = names.where("least = greatest").select(*key), names.where("least <> greatest").select(*key)
     kept = names.where("least = greatest").select(*key, F.lit("").alias("split"), F.col("least").alias("term"))
     counts = counts.join(single.hint("shuffle_hash"), key, "left_semi")
