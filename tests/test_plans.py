@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.plan_text import final_plan
+from tests.tiny import make_star
 from tradewind.operators import advanced, integrity, kpi, selection
 from tradewind.plans import base, reports, summaries
 from tradewind.sources.parquet import read_star, write_star
@@ -99,3 +100,36 @@ def test_a_rank_shares_its_input(spark, files, conf):
 def test_calendar_comes_from_orders(spark, plan):
     text = plan(selection.dates_in_years(load_star(spark, FOLDER), years=(1999,)))
     assert "orders.parquet" in text and "Range (" not in text
+
+
+def test_sold_products_are_looked_up_as_bits(spark):
+    """Keys stay few in the driver: a row of bits for 64 neighbours, not one for each key."""
+    ids = [*range(-70, 130), 2**62, 2**62 + 63, 2**63 - 1, -(2**63)]
+    odd = [2**62 + 1, 500, -71, 130, None]
+    products = [{"product_id": i, "category_id": 1} for i in [*ids, *ids[:5], None]] + [{"product_id": 500, "category_id": 2}]
+    star = make_star(
+        spark,
+        dim_categories=[{"category_id": 1}],
+        dim_products=products,
+        fact_order_line_items=[{"line_item_id": f"{k}", "product_id": i} for k, i in enumerate([*ids, *ids[:5], *odd])],
+    )
+    found = star.sold_lines
+    assert found.columns == star.fact_order_line_items.columns
+    assert sorted(row["product_id"] for row in found.collect()) == sorted([*ids, *ids[:5]])
+    looked_up = [
+        node.metrics().get("numOutputRows").get().value()
+        for node in exchanges(found._jdf.queryExecution().executedPlan())
+    ]
+    assert looked_up and max(looked_up) < len(ids) / 10
+
+
+def exchanges(node):
+    """The broadcasts of an executed plan, those below adaptive stages included."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return exchanges(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return exchanges(node.plan())
+    own = [node] if kind == "BroadcastExchangeExec" else []
+    below = node.children()
+    return own + [found for k in range(below.size()) for found in exchanges(below.apply(k))]
