@@ -113,7 +113,7 @@ def test_sold_products_are_looked_up_as_bits(spark):
         dim_products=products,
         fact_order_line_items=[{"line_item_id": f"{k}", "product_id": i} for k, i in enumerate([*ids, *ids[:5], *odd])],
     )
-    found = star.sold_lines
+    found = star.sold_lines_by_bits
     assert found.columns == star.fact_order_line_items.columns
     assert sorted(row["product_id"] for row in found.collect()) == sorted([*ids, *ids[:5]])
     looked_up = [
@@ -123,6 +123,10 @@ def test_sold_products_are_looked_up_as_bits(spark):
     assert looked_up and max(looked_up) < len(ids) / 10
 
 
+def test_the_scorecard_looks_products_up_as_bits(files, plan):
+    assert "bit_or" in plan(reports.rep_performance_scorecard(files))
+
+
 def exchanges(node):
     """The broadcasts of an executed plan, those below adaptive stages included."""
     kind = node.getClass().getSimpleName()

@@ -45,7 +45,7 @@ def order_sales(star: Star, *measures: str, days: DataFrame | None = None) -> Da
     calendar = star.dim_date if days is None else days
     dates = calendar.select(F.col("date_id").alias("order_date_id"), "full_date", *_MONTHS)
     orders = star.returnable_orders.select(*keys).join(dates, "order_date_id")
-    lines = star.sold_lines
+    lines = star.sold_lines if days is None else star.sold_lines_by_bits
     if "cost" in measures:
         lines = star.fact_order_line_items.join(star.sold_products.select("product_id", "unit_cost"), "product_id")
     folded = {name: F.expr(_MEASURES[name]) for name in measures}

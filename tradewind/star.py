@@ -58,10 +58,15 @@ class Star:
 
     @property
     def sold_lines(self) -> DataFrame:
-        """Lines of sold products. Whether they have an order shows when they meet it.
+        """Lines of sold products. Whether they have an order shows when they meet it."""
+        return self.fact_order_line_items.join(self.sold_products.select("product_id"), "product_id", "left_semi")
 
-        They look products up as sets of bits, one row for each 64 neighbouring keys that occur: by its files' size a
-        table of keys seems small enough to broadcast when in the driver's memory it is many times larger.
+    @property
+    def sold_lines_by_bits(self) -> DataFrame:
+        """The same lines, with products looked up as sets of bits, one row for each 64 neighbouring keys that occur.
+
+        By its files' size a table of keys seems small enough to broadcast when in the driver's memory it is many times
+        larger, which a plan that is large itself has no room for.
         """
         key = F.col("product_id")
         run, place = F.shiftright(key, 6), key.bitwiseAND(F.lit(63)).cast("int")
