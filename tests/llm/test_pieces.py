@@ -1,3 +1,5 @@
+import sys
+
 import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
@@ -40,6 +42,20 @@ def test_remembered_chunks_are_bounded(library, monkeypatch):
         assert len(machine._known) <= 20 and len(machine._follows) <= 10
 
 
+def test_remembered_chunks_take_little_memory():
+    """Two generations of chunks, and the pairs, at their largest."""
+    machine = pieces.Transducer()
+    for k in range(520_000):
+        machine._ids(f"▁{k:06d}")
+    assert len(machine._earlier) == pieces._MAX_CHUNKS
+    names = list(machine.arcs)
+    for k in range(pieces._MAX_PAIRS):
+        machine._may_follow(names[k % 500][:1] + names[k % 500][1:], names[k // 500])
+    tables = (machine._known, machine._earlier, machine._follows)
+    parts = {id(p): p for table in tables for k, v in table.items() for p in (k, v, *(k if isinstance(k, tuple) else ()))}
+    assert sum(map(sys.getsizeof, [*tables, *parts.values()])) < 80e6
+
+
 def test_the_path_is_the_only_one(library):
     """No other segmentation passes the acceptor, so the path found is the shortest."""
     machine = pieces.Transducer()

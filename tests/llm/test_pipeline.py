@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from tests.llm.samples import words
 from tests.llm.test_decontam import _brute as decontaminated
 from tests.llm.test_line_dedup import _brute as lines_kept
 from tests.llm.test_simhash import _brute_components, _brute_fingerprint
-from tradewind.llm import pieces
+from tradewind.llm import common, pieces
 
 DATA = "/root/testdata/sf0.001"
 
@@ -71,3 +72,31 @@ def test_stages_take_awkward_rows(spark, tmp_path):
             at = stage(spark, at, folder)
         assert {"doc_id", "ids"} <= set(at.columns)
         at.collect()
+
+
+def test_batches_of_texts_are_bounded(spark):
+    """Tasks get texts in batches of a few MB, a longer text as one batch, whatever their number; a size set by the user stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+
+    def sizes(batch):
+        return pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    text = F.repeat(F.lit("abcdefghij"), F.when(F.col("id") == 7, 600_000).otherwise(200).cast("int")).alias("text")
+    docs = spark.range(0, 9000, 1, 1).select(F.col("id").alias("doc_id"), text)
+    rows = common.arrow_map(docs, sizes, "n bigint, size bigint").collect()
+    assert sum(r["n"] for r in rows) == 9000
+    assert sorted(r["size"] for r in rows)[-2] <= 1.1 * common.BATCH_BYTES
+    assert max(r["size"] for r in rows) <= 6_000_000 + 1.1 * common.BATCH_BYTES
+
+    spark.conf.set(name, "20m")
+    assert max(r["n"] for r in common.arrow_map(docs, sizes, "n bigint, size bigint").collect()) > 5000
+    spark.conf.unset(name)
+
+
+def test_every_stage_bounds_its_batches(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(50)
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs, DATA)
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(common.BATCH_BYTES)

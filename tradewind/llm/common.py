@@ -13,6 +13,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch, one row at least. Each task holds several copies of a batch, in the JVM's own memory outside
+#: its heap and in the Python worker, and neither gives all of it back.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session cuts Arrow batches at ``BATCH_BYTES`` from now on unless it was told a size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; in local mode without it, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -73,7 +86,7 @@ def arrow_map(
         for batch in batches:
             yield rows(batch)
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

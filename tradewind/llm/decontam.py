@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import arrow_map, raw, written
+from tradewind.llm.common import arrow_map, bounded_batches, raw, written
 
 WINDOW = 13
 MAX_WORDS = 2_000_000
@@ -196,7 +196,7 @@ def _scan(df: DataFrame, shared: Broadcast) -> DataFrame:
         names = batch.schema.names
         return pa.RecordBatch.from_arrays([columns.get(c, batch.column(c)) for c in names], names=names)
 
-    return df.mapInArrow(lambda batches: map(rows, batches), schema)
+    return bounded_batches(df).mapInArrow(lambda batches: map(rows, batches), schema)
 
 
 def _unsearched(docs: DataFrame, *columns: Column) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import arrow_map, shared_folder, written
+from tradewind.llm.common import arrow_map, bounded_batches, shared_folder, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -218,7 +218,7 @@ def dedup_lines(
     docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, **runs
 ) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``; a null text stays null."""
-    joined = _with_given_up(docs, min_chars, min_docs, **runs)
+    joined = _with_given_up(bounded_batches(docs), min_chars, min_docs, **runs)
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, given_up: pd.Series) -> pd.Series:

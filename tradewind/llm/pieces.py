@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from functools import lru_cache
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ from tradewind.llm.common import arrow_map
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-_MAX_CHUNKS = 250_000
-_MAX_PAIRS = 500_000
+_MAX_CHUNKS = 100_000
+_MAX_PAIRS = 200_000
 
 
 def character_map(blob: bytes) -> dict[str, str]:
@@ -158,7 +159,7 @@ class Transducer:
         """The acceptor's arc: does merging a and b together leave them apart?"""
         if len(self._follows) >= _MAX_PAIRS:
             self._follows.clear()
-        known = self._follows[a, b] = self._merges(a + b) == [a, b]
+        known = self._follows[intern(a), intern(b)] = self._merges(a + b) == [a, b]
         return known
 
     def _shortest(self, chunk: str) -> list[str]:

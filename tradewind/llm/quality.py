@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewind.llm.common import crc_mod, raw
+from tradewind.llm.common import bounded_batches, crc_mod, raw
 
 THRESHOLD = 0.3
 MAX_TRAINING = 12_000
@@ -148,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) ->
         .limit(max_training)
     )
     rows = (
-        docs.select("doc_id", "text")
+        bounded_batches(docs)
+        .select("doc_id", "text")
         .join(F.broadcast(sample), "doc_id")
         .select("doc_id", "quality", _features_of(raw(F.col("text"))).alias("x"))
         .groupBy("doc_id", "quality")
