@@ -56,6 +56,39 @@ def test_remembered_chunks_take_little_memory():
     assert sum(map(sys.getsizeof, [*tables, *parts.values()])) < 80e6
 
 
+def test_a_position_takes_few_lookups(library):
+    """Arcs are found by few looks into the trie, and chunks of plain texts are held at one byte a code point."""
+
+    class Counted(dict):
+        looks = 0
+
+        def get(self, *key):
+            Counted.looks += 1
+            return super().get(*key)
+
+        def __contains__(self, key):
+            Counted.looks += 1
+            return super().__contains__(key)
+
+    machine = pieces.Transducer()
+    machine._trie = Counted(machine._trie)
+    text = " ".join(a + b + c for a in ("er", "the", "Wh") for b in ("lich", "tion", "out", "nd") for c in ("ing", "heit", "ha"))
+    ids = machine.encode(text).tolist()
+    assert ids == library.encode(text)
+    assert 0 < Counted.looks <= 4 * len(ids)
+    assert all(map(str.isascii, machine._known))
+
+
+def test_chunks_forgotten_within_a_text(library, monkeypatch):
+    monkeypatch.setattr(pieces, "_MAX_CHUNKS", 3)
+    monkeypatch.setattr(pieces, "_MAX_PAIRS", 4)
+    machine = pieces.Transducer()
+    text = " ".join(f"x{k % 5}a{k % 11}, thing{k % 3}\u2581é日{k}" for k in range(60))
+    assert machine.encode(text).tolist() == library.encode(text)
+    assert len(machine._known) <= 3 and len(machine._earlier) <= 3
+    assert 0 < sum(map(len, machine._follows.values())) <= 4
+
+
 def test_the_path_is_the_only_one(library):
     """No other segmentation passes the acceptor, so the path found is the shortest."""
     machine = pieces.Transducer()

@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from operator import add
 from sys import intern
 
 import numpy as np
@@ -68,7 +70,7 @@ class Normaliser:
     def __init__(self, spec):
         self._rules = character_map(spec.precompiled_charsmap)
         self._squeeze = spec.remove_extra_whitespaces
-        self._prefix = BLANK if spec.add_dummy_prefix else ""
+        self._prefix = " " if spec.add_dummy_prefix else ""
         if not spec.escape_whitespaces or any("  " in new for new in self._rules.values()):
             raise ValueError("a normaliser that keeps blanks or makes two of them is not supported")
         self._sizes: dict[str, list[int]] = {}
@@ -91,15 +93,29 @@ class Normaliser:
             at += size or 1
         return "".join(out)
 
-    def __call__(self, text: str) -> str:
+    def spaced(self, text: str) -> str:
+        """The normal form with a blank wherever it has U+2581, so that plain texts keep one byte a code point."""
         if not text:
             return ""
         if self._rules:
             text = self._mapped(text)
         if self._squeeze:
             text = re.sub(" +", " ", text).strip(" ")
-            return (self._prefix + text.replace(" ", BLANK)).rstrip(BLANK)
-        return self._prefix + text.replace(" ", BLANK)
+            return (self._prefix + text.replace(BLANK, " ")).rstrip(" ")
+        return self._prefix + text.replace(BLANK, " ")
+
+    def __call__(self, text: str) -> str:
+        return self.spaced(text).replace(" ", BLANK)
+
+
+class _Remembered(dict[str, bytes]):
+    """Piece ids of chunks or pieces; ``find`` gives those of the others."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        self._find = find
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self._find(chunk)
 
 
 class Transducer:
@@ -132,34 +148,49 @@ class Transducer:
             self.piece[k] = bytes([value])
         inside = {c for p in self.arcs if len(p) > 1 for c in p}
         ends = "".join(c for c in "\n\t" if c not in inside)  # no piece spans these either
-        self._chunks = re.compile(f"{BLANK}*[^{BLANK}{ends}]+|{BLANK}+" + (f"|[{ends}]+" if ends else "")).findall
         #: Neighbouring code points inside pieces; no piece spans any others.
         self._spanned = {p[k : k + 2] for p in self.arcs for k in range(len(p) - 1)}
-        self._letters = re.compile(rf"{BLANK}*[^\W\d_]+").match
+        behind = {b for a, b in self._spanned if re.match(r"[^\W\d_]", a)}
+        marks = "".join(c for c in "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~" if c not in behind)  # no piece has one behind a letter
+        word = rf"[^\W\d_]++(?:(?=[{re.escape(marks)}])|[^ {ends}]*+)|" if marks else ""
+        self._chunks = re.compile(f" *+(?:{word}[^ {ends}]++)| ++" + (f"|[{ends}]++" if ends else "")).findall
+        self._letters = re.compile(r" *[^\W\d_]+").match
         # an arc whose own merges do not make it cannot be on the path
         self.arcs = {p: arc for p, arc in self.arcs.items() if self._merges(p) == [p]}
-        #: Pieces and their proper beginnings; the latter have no arc.
-        self._trie = {p[:k]: None for p in self.arcs for k in range(1, len(p))} | self.arcs
-        self._known: dict[str, bytes] = {}
+        self._codes = _Remembered(self._fallback)
+        self._codes.update((p, np.int32(k).tobytes()) for p, (k, _) in self.arcs.items())
+        #: Pieces and their beginnings, each with the arcs along it, longest first; a lone code point has one at any rate.
+        self._trie: dict[str, tuple[str, ...]] = {}
+        for p in sorted({intern(p[:k]) for p in self.arcs for k in range(1, len(p) + 1)}, key=len):
+            before = self._trie[p[:-1]] if len(p) > 1 else ()
+            self._trie[p] = (p, *before) if p in self.arcs or len(p) == 1 else before
+        self._known = _Remembered(self._ids)
         self._earlier: dict[str, bytes] = {}
-        self._follows: dict[tuple[str, str], bool] = {}
+        #: The acceptor's arcs that were asked for, by the last piece.
+        self._follows: dict[str, dict[str, bool]] = {}
+        self._pairs = 0
 
-    def _merges(self, text: str) -> list[str]:
-        """What merging neighbours by rank makes of a short text."""
-        parts = list(text)
+    def _merges(self, text: str, place: int = 0) -> list[str]:
+        """What merging neighbours by rank makes of a short text; nothing once a merge spans ``place``, if one is given."""
+        arc_of, parts = self.arcs.get, list(text)
         while len(parts) > 1:
-            ranked = [(self.arcs[a + b][1], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.arcs]
+            ranked = [(arc[1], k) for k, pair in enumerate(map(add, parts, parts[1:])) if (arc := arc_of(pair))]
             if not ranked:
                 break
             k = min(ranked)[1]
+            if k + 1 == place:
+                return []
+            place -= k < place
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
     def _may_follow(self, a: str, b: str) -> bool:
         """The acceptor's arc: does merging a and b together leave them apart?"""
-        if len(self._follows) >= _MAX_PAIRS:
+        if self._pairs >= _MAX_PAIRS:
             self._follows.clear()
-        known = self._follows[intern(a), intern(b)] = self._merges(a + b) == [a, b]
+            self._pairs = 0
+        self._pairs += 1
+        known = self._follows.setdefault(intern(a), {})[intern(b)] = self._merges(a + b, len(a)) == [a, b]
         return known
 
     def _shortest(self, chunk: str) -> list[str]:
@@ -168,43 +199,57 @@ class Transducer:
         At most one path reaches a position, so its weight cannot be improved on: the search takes the
         longest arcs first, never enters a position twice, and may stop at the first whole path.
         """
-        n, trie, follows, spanned = len(chunk), self._trie, self._follows, self._spanned
+        n, leaving, follows, spanned = len(chunk), self._leaving, self._follows, self._spanned
         path: list[str] = []
-        entered = {0}
-        open_: list[list[str]] = []
+        left: set[int] = set()
+        open_: list[Iterator[str]] = []
         at = 0
+        arcs = iter(leaving(chunk, 0))
+        next_: dict[str, bool] | None = None  # what may follow the last piece; none if anything may
         while at < n:
-            # the arcs that leave this position, longest last; a lone code point has one at any rate
-            arcs, end = [chunk[at]], at + 2
-            if chunk[at] in trie:
-                while end <= n:
-                    piece = chunk[at:end]
-                    arc = trie.get(piece, 0)
-                    if arc == 0:
-                        break
-                    if arc is not None:
-                        arcs.append(piece)
-                    end += 1
-            open_.append(arcs)
-            while True:
-                while not open_[-1]:
-                    open_.pop()
-                    at -= len(path.pop())
-                piece = open_[-1].pop()
-                if at + len(piece) in entered:
+            for piece in arcs:
+                if left and at + len(piece) in left:
                     continue
-                if path and path[-1][-1] + piece[0] in spanned:
-                    follow = follows.get((path[-1], piece))
+                if next_ is not None:
+                    follow = next_.get(piece)
                     if follow is None:
                         follow = self._may_follow(path[-1], piece)
                     if not follow:
                         continue
                 break
+            else:
+                left.add(at)
+                arcs = open_.pop()
+                at -= len(path.pop())
+                next_ = follows.get(path[-1], {}) if path and chunk[at - 1 : at + 1] in spanned else None
+                continue
+            open_.append(arcs)
             path.append(piece)
             at += len(piece)
-            entered.add(at)
+            if at < n:
+                arcs = iter(leaving(chunk, at))
+                next_ = follows.get(piece, {}) if chunk[at - 1 : at + 1] in spanned else None
         return path
 
+    def _leaving(self, chunk: str, at: int) -> tuple[str, ...]:
+        """The arcs that leave a position, longest first."""
+        trie, end = self._trie, at + 4
+        found = trie.get(chunk[at:end])
+        if found is None:
+            return trie.get(chunk[at : at + 3]) or trie.get(chunk[at : at + 2]) or trie.get(chunk[at]) or (chunk[at],)
+        n = len(chunk)
+        while end < n:
+            end += 1
+            longer = trie.get(chunk[at:end])
+            if longer is None:
+                break
+            found = longer
+        return found
+
+    def _fallback(self, point: str) -> bytes:
+        """The ids of a code point's bytes."""
+        return np.array([self.byte_id[b] for b in point.encode()], np.int32).tobytes()
+
     def _ids(self, chunk: str) -> bytes:
         """Piece ids of a chunk, 4 bytes each, remembered if the chunk is short."""
         ids = self._known.get(chunk)
@@ -217,33 +262,27 @@ class Transducer:
             if 0 < cut < len(chunk) and chunk[cut - 1 : cut + 1] not in self._spanned:
                 ids = self._ids(chunk[:cut]) + self._ids(chunk[cut:])
             else:
-                found: list[int] = []
-                for piece in self._shortest(chunk):
-                    arc = self.arcs.get(piece)
-                    found += [arc[0]] if arc else [self.byte_id[b] for b in piece.encode()]
-                ids = np.array(found, np.int32).tobytes()
+                path = self._shortest(chunk.replace(" ", BLANK))
+                ids = b"".join(map(self._codes.__getitem__, path))
         if len(chunk) <= 64:
             if len(self._known) >= _MAX_CHUNKS:
-                self._earlier, self._known = self._known, {}
+                self._earlier, self._known = self._known, _Remembered(self._ids)
             self._known[chunk] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
         """Piece ids of a text."""
-        chunks = self._chunks(self.normalise(text))
+        chunks = self._chunks(self.normalise.spaced(text))
         if not chunks:
             return np.zeros(0, np.int32)
-        ids = list(map(self._known.get, chunks))
-        if None in ids:
-            ids = [self._ids(chunk) if known is None else known for chunk, known in zip(chunks, ids)]
-        return np.frombuffer(b"".join(ids), np.int32)
+        return np.frombuffer(b"".join(map(self._known.__getitem__, chunks)), np.int32)
 
     def decode(self, ids) -> str:
         """The text of piece ids: the dummy prefix goes, invalid byte runs are replaced.
 
         A model that strips blanks takes one off each piece until there is text.
         """
-        found = [self.piece[k] for k in ids]
+        found = list(map(self.piece.__getitem__, ids))
         for k, piece in enumerate(found if self._strip else []):
             found[k] = piece.removeprefix(b" ")
             if found[k] or not self._strips_on:
