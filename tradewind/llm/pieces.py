@@ -37,8 +37,8 @@ from tradewind.llm.common import arrow_map
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-_MAX_CHUNKS = 100_000
-_MAX_PAIRS = 200_000
+_MAX_CHUNKS = 150_000
+_MAX_PAIRS = 300_000
 
 
 def character_map(blob: bytes) -> dict[str, str]:
