@@ -63,6 +63,20 @@ def test_shuffles_of_wide_records_carry_no_days(files, plan, query, day):
     assert joins.index("order_id") < joins.index("region_id") < joins.index("sales_rep_id") < joins.index("customer_id")
 
 
+@pytest.mark.parametrize("query", [base.base_sales_order_line, base.base_returns])
+def test_shuffles_of_wide_records_carry_no_categories_and_texts_last(files, plan, query):
+    df = query(files)
+    joins = re.findall(r"Join \[(\w+)#", plan(df))
+    assert joins.index("category_id") < joins.index("order_id") < joins.index("product_id")
+    [orders] = [
+        node.output()
+        for node in shuffles(df._jdf.queryExecution().executedPlan())
+        if "region_name" in node.output().mkString(" ") and "hashpartitioning(order_id" in node.toString().splitlines()[0]
+    ]
+    is_text = [orders.apply(k).dataType().simpleString() == "string" for k in range(orders.size())]
+    assert is_text == sorted(is_text) and sum(is_text) > 8
+
+
 def test_lines_of_one_year_only_are_summed(files, plan):
     for query in (
         partial(kpi.frequent_low_value_customers, as_of=AS_OF),
@@ -137,3 +151,15 @@ def exchanges(node):
     own = [node] if kind == "BroadcastExchangeExec" else []
     below = node.children()
     return own + [found for k in range(below.size()) for found in exchanges(below.apply(k))]
+
+
+def shuffles(node):
+    """The shuffles of a plan, executed or not."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffles(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffles(node.plan())
+    own = [node] if kind == "ShuffleExchangeExec" else []
+    below = node.children()
+    return own + [found for k in range(below.size()) for found in shuffles(below.apply(k))]
