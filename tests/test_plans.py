@@ -77,6 +77,44 @@ def test_shuffles_of_wide_records_carry_no_categories_and_texts_last(files, plan
     assert is_text == sorted(is_text) and sum(is_text) > 8
 
 
+def test_lines_without_a_return_are_dropped_before_the_shuffle(files, conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    df = base.base_returns(files)
+    rows = len(df.collect())
+    written = [
+        node.metrics().get("shuffleRecordsWritten").get().value()
+        for node in shuffles(df._jdf.queryExecution().executedPlan())
+        if "hashpartitioning(line_item_id" in node.toString().splitlines()[0]
+    ]
+    assert len(written) == 2 and rows > 100
+    assert max(written) < rows * 1.05 < files.fact_order_line_items.count() / 2
+
+
+@pytest.mark.parametrize("places", [1, 7, 40_000, base._PLACES])
+def test_all_returned_lines_are_found(spark, monkeypatch, places):
+    """However many lines share a place, and where keys repeat, dangle or are null."""
+    monkeypatch.setattr(base, "_PLACES", places)
+    lines = [{"line_item_id": f"{k}", "order_id": k} for k in range(500)]
+    lines += [{"line_item_id": "7", "order_id": 7}, {"line_item_id": None, "order_id": 1}, {"line_item_id": "", "order_id": 2}]
+    returns = [{"return_id": f"R{k}", "line_item_id": f"{k}"} for k in [*range(0, 600, 3), 7, 7]]
+    returns += [{"return_id": "R", "line_item_id": None}, {"return_id": "R-", "line_item_id": ""}]
+    star = make_star(spark, fact_order_line_items=lines, fact_returns=returns)
+    some = base._maybe_returned(star.fact_order_line_items, star.fact_returns)
+    assert some.columns == star.fact_order_line_items.columns
+
+    def met(lines):
+        return sorted(map(tuple, lines.join(star.fact_returns, "line_item_id").select("order_id", "return_id").collect()))
+
+    assert met(some) == met(star.fact_order_line_items) and len(met(some)) == 167 + 4 + 1
+    if places > 40_000:
+        assert some.count() < 180
+
+
+def test_lines_without_any_return(spark):
+    star = make_star(spark, fact_order_line_items=[{"line_item_id": "1", "order_id": 1}])
+    assert base.base_returns(star).count() == 0
+
+
 def test_lines_of_one_year_only_are_summed(files, plan):
     for query in (
         partial(kpi.frequent_low_value_customers, as_of=AS_OF),
